@@ -140,7 +140,7 @@ def _columns(bits: np.ndarray, n: np.ndarray) -> dict:
     for i in range(2):
         out[f"b{i}"] = pa.array(np.where(small, bits[:, i] | bits[:, i + 2], bits[:, i]).view(np.int64))
         out[f"b{i + 2}"] = pa.array(bits[:, i + 2].view(np.int64), mask=small)
-    return out
+    return {c: out[c] for c in ("b0", "b1", "b2", "b3")}  # Spark takes the columns by place
 
 
 def _column(b, name: str) -> np.ndarray:

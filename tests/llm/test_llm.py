@@ -46,6 +46,8 @@ def fixture(rnd):
             for _ in range(rnd.randrange(6)):
                 new[rnd.randrange(len(new))] = rnd.choice(words)
             texts.append(new)
+    for n in (127, 128, 129, 130, 131, 132, 135, 256, 257):  # sizes on both sides of the bitmap widths, nearly the same text
+        texts.append([f"v{i}" for i in range(n + 2)])
     boiler = ["proc", "sql", "create", "table", "as", "select", "from"]
     out = [" ".join(t) for t in texts] + [" ".join(boiler * 3 + [rnd.choice(words) for _ in range(4)]) for _ in range(80)]
     return out + [out[3]] * 40 + [out[0].upper(), "", None, "one two", "-- !!"]
