@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import data_problems
+from quillspan.plans import data_problems, dialect_queries
 
-MODULES = [data_problems]
+MODULES = [data_problems, dialect_queries]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p3_counts"](spark, sf_dir)
+    return dialect_queries.flagship(spark, sf_dir)
