@@ -7,8 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.operators.hierarchy import hierarchy
 from quillspan.session import Scratch
 
+#: Steps of a relaxation that one job takes before its result is written.
+STEPS = 4
+
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "down") -> DataFrame:
     """Nodes within ``hops`` of the seeds (column node) along or against the edges: node, hop (0 for seeds)."""
@@ -49,6 +53,28 @@ def closure(edges: DataFrame, within: int | None = None) -> DataFrame:
     return known
 
 
+def _one_parent(e: DataFrame) -> bool:
+    return e.groupBy("dst").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
+def _tree(e: DataFrame) -> DataFrame:
+    return hierarchy(e.withColumn("g", F.lit("")), "g", "dst", "src").drop("g")
+
+
+def _forest_components(scratch: Scratch, e: DataFrame) -> DataFrame:
+    """Where every node has at most one edge in, loops are told by the hierarchy operator; their least node by doubling along them."""
+    tree = scratch.write(_tree(e), "tree")
+    ring = tree.filter("depth = -1").select("node")
+    ptr = scratch.write(e.join(ring, F.col("dst") == F.col("node"), "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("next"), F.least("dst", "src").alias("least")), "ring")
+    while not ptr.isEmpty():
+        look = ptr.select(F.col("node").alias("n"), F.col("next").alias("next2"), F.col("least").alias("least2"))
+        new = scratch.write(ptr.join(look, F.col("next") == F.col("n")).select("node", F.col("next2").alias("next"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved")), "ring")
+        if new.filter("moved").isEmpty():
+            break
+        ptr = new.drop("moved")
+    return tree.select("node").join(ptr.select("node", "least"), "node", "left").select("node", F.coalesce("least", "node").alias("component"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Strongly connected components: node, component (its least node).
 
@@ -57,6 +83,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession, "components")
     e = scratch.write(edges.select("src", "dst").dropna().distinct(), "edges")
+    if _one_parent(e):
+        return _forest_components(scratch, e)
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     left = scratch.write(e.filter("src != dst"), "left")
     found = []
@@ -101,13 +129,27 @@ def run_order(edges: DataFrame) -> DataFrame:
     own = edges.filter("src = dst").select(F.col("src").alias("node")).distinct().withColumn("own", F.lit(True))
     e = edges.select("src", "dst").dropna().distinct().join(comp.select(F.col("node").alias("sn"), F.col("component").alias("a")), F.col("src") == F.col("sn")).join(comp.select(F.col("node").alias("dn"), F.col("component").alias("b")), F.col("dst") == F.col("dn"))
     e = scratch.write(e.filter("a != b").select("a", "b").distinct(), "condensed")
+    if _one_parent(e.withColumnsRenamed({"a": "src", "b": "dst"})):
+        deep = _tree(e.withColumnsRenamed({"a": "src", "b": "dst"})).select(F.col("node").alias("component"), F.col("depth").alias("d"))
+        level = size.select("component").join(deep, "component", "left").select("component", F.coalesce("d", F.lit(0)).alias("level"))
+        return _ordered(comp, level, size, own)
     level = scratch.write(size.select("component", F.lit(0).alias("level")), "level")
     while True:
-        push = e.join(level, F.col("a") == F.col("component")).groupBy(F.col("b").alias("c")).agg((F.max("level") + 1).alias("l"))
-        next_ = scratch.write(level.join(push, F.col("component") == F.col("c"), "left").select("component", F.greatest("level", "l").alias("level"), (F.col("l") > F.col("level")).alias("moved")), "level")
+        next_ = level
+        for _ in range(STEPS):
+            push = e.join(next_, F.col("a") == F.col("component")).groupBy(F.col("b").alias("c")).agg((F.max("level") + 1).alias("l"))
+            next_ = next_.join(push, F.col("component") == F.col("c"), "left").select("component", F.greatest("level", "l").alias("level"))
+        was = level.select("component", F.col("level").alias("was"))
+        next_ = scratch.write(next_.join(was, "component").withColumn("moved", F.col("level") > F.col("was")), "level")
         if next_.filter("moved").isEmpty():
             break
+        scratch.drop(level)
         level = next_.select("component", "level")
+        level._scratch_path = next_._scratch_path
+    return _ordered(comp, level, size, own)
+
+
+def _ordered(comp: DataFrame, level: DataFrame, size: DataFrame, own: DataFrame) -> DataFrame:
     return comp.join(level, "component").join(size, "component").join(own, "node", "left").select("node", "component", ((F.col("size") > 1) | F.coalesce("own", F.lit(False))).alias("in_loop"), "level")
 
 

@@ -31,30 +31,29 @@ def _parents(links: DataFrame, scope: str, child: str, parent: str) -> DataFrame
     return links.select(F.col(scope).alias("g"), F.explode(ends).alias("e")).filter("e.v is not null").groupBy("g", F.col("e.v").alias("v")).agg(F.min("e.p").alias("p"))
 
 
-def _double(scratch: Scratch, state: DataFrame, stop_at: Column | None, label: str) -> DataFrame:
-    """Doubles the pointers of all rows until they end, or until the walking ones only go round."""
-    ended = state.filter(F.col("state") != WALKING)
-    walking = scratch.write(state.filter(F.col("state") == WALKING), f"{label}-walking")
-    done = [scratch.write(ended, f"{label}-ended")]
-    left = walking.count()
+def _step(state: DataFrame) -> DataFrame:
+    """Every walking row takes over the pointer of where it points to."""
     cols = state.columns
-    while left:
-        everyone = walking
-        for d in done:
-            everyone = everyone.union(d)
-        look = everyone.select(F.col("g").alias("lg"), F.col("v").alias("lv"), *[F.col(c).alias(f"l{c}") for c in ("cur", "dist", "state", "seg") if c in cols])
-        stepped = walking.join(look, F.col("g").eqNullSafe(F.col("lg")) & (F.col("cur") == F.col("lv")))
-        step = scratch.write(stepped.select("g", "v", F.col("lcur").alias("cur"), (F.col("dist") + F.col("ldist")).alias("dist"), F.col("lstate").alias("state"), *([F.concat("seg", "lseg").alias("seg")] if "seg" in cols else [])), label)
-        scratch.drop(walking)
-        done.append(step.filter(F.col("state") != WALKING))
-        walking, before = step.filter(F.col("state") == WALKING), left
-        left = walking.count()
-        if left == before:
-            break
-    out = walking
-    for d in done:
-        out = out.union(d)
-    return out
+    look = state.select(F.col("g").alias("lg"), F.col("v").alias("lv"), *[F.col(c).alias(f"l{c}") for c in ("cur", "dist", "state", "seg") if c in cols])
+    stepped = state.filter(F.col("state") == WALKING).join(look, F.col("g").eqNullSafe(F.col("lg")) & (F.col("cur") == F.col("lv")))
+    stepped = stepped.select("g", "v", F.col("lcur").alias("cur"), (F.col("dist") + F.col("ldist")).alias("dist"), F.col("lstate").alias("state"), *([F.concat("seg", "lseg").alias("seg")] if "seg" in cols else []))
+    return stepped.union(state.filter(F.col("state") != WALKING))
+
+
+def _double(scratch: Scratch, state: DataFrame, label: str) -> DataFrame:
+    """Doubles the pointers of all rows until they end, or until the walking ones only go round.
+
+    As long as a walk is unfinished there are nodes at every distance along it, so some end in every round; if none does, the
+    rest goes round. Two doublings make one job.
+    """
+    before = None
+    while True:
+        new = scratch.write(_step(_step(state)), label)
+        scratch.drop(state)
+        state, left = new, new.filter(F.col("state") == WALKING).count()
+        if left in (0, before):
+            return state
+        before = left
 
 
 def hierarchy(links: DataFrame, scope: str, child: str, parent: str, every: int = 16, with_path: bool = False) -> DataFrame:
@@ -75,11 +74,11 @@ def hierarchy(links: DataFrame, scope: str, child: str, parent: str, every: int
 
     first = nodes.select("g", "v", F.coalesce("p", "v").alias("cur"), F.when(F.col("p").isNull(), 0).otherwise(1).alias("dist"),
                          F.when(F.col("p").isNull(), AT_ROOT).when(splits("p"), AT_SPLITTER).otherwise(WALKING).alias("state"), *([F.when(F.col("p").isNull(), no_seg).otherwise(F.array("p")).alias("seg")] if with_path else []))
-    walked = scratch.write(_double(scratch, first, None, "walk"), "walked")
+    walked = _double(scratch, first, "walk")
 
     # the reduced graph: a splitter that stopped at a splitter walks on from there
     reduced = walked.filter(splits("v")).withColumn("state", F.when(F.col("state") == AT_SPLITTER, WALKING).otherwise(F.when(F.col("state") == WALKING, AT_SPLITTER).otherwise(AT_ROOT)))
-    solved = scratch.write(_double(scratch, reduced, None, "reduced"), "solved")
+    solved = _double(scratch, reduced, "reduced")
     tops = solved.filter(F.col("state") == AT_ROOT).select(F.col("g").alias("sg"), F.col("v").alias("sv"), F.col("cur").alias("sroot"), F.col("dist").alias("sdist"), *([F.col("seg").alias("sseg")] if with_path else []))
 
     at_root = walked.filter(F.col("state") == AT_ROOT).select("g", "v", F.col("cur").alias("root"), F.col("dist").alias("depth"), *(["seg"] if with_path else []))
@@ -105,14 +104,18 @@ def _loops(scratch: Scratch, nodes: DataFrame, lost: DataFrame) -> DataFrame | N
     if f.isEmpty():
         return None
     first, size = f, None
+
+    def twice(f: DataFrame) -> DataFrame:
+        look = f.select(F.col("g").alias("lg"), F.col("v").alias("lv"), F.col("cur").alias("lcur"))
+        return f.join(look, F.col("g").eqNullSafe(F.col("lg")) & (F.col("cur") == F.col("lv"))).select("g", "v", F.col("lcur").alias("cur"))
+
     while True:
         image = f.select("g", F.col("cur").alias("v")).distinct()
         now = image.count()
         if now == size:
             break
         size = now
-        look = f.select(F.col("g").alias("lg"), F.col("v").alias("lv"), F.col("cur").alias("lcur"))
-        f = scratch.write(f.join(look, F.col("g").eqNullSafe(F.col("lg")) & (F.col("cur") == F.col("lv"))).select("g", "v", F.col("lcur").alias("cur")), "loop")
+        f = scratch.write(twice(twice(f)), "loop")
     ring = image.select(F.col("g").alias("rg"), F.col("v").alias("rv"), F.lit(True).alias("hit"))
     return first.join(ring, F.col("g").eqNullSafe(F.col("rg")) & (F.col("v") == F.col("rv")), "left").select("g", "v", F.when(F.col("hit"), -1).otherwise(-2).alias("depth"))
 

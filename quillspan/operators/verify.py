@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspan.lang import ast as A
 from quillspan.operators.ranking import global_rank
@@ -16,19 +17,32 @@ DIGITS = 6
 VERDICTS = ["FAIL", "REF_MISSING", "CONV_MISSING", "PASS"]
 
 
-def normal(c: Column) -> Column:
-    """One cell as canonical text: trimmed; numbers rounded, whole ones without a point; one spelling of nan and infinities. Null stays null."""
-    s = F.trim(c.cast("string"), F.lit(" \t\r\n"))
-    low = F.lower(s)
-    sign = F.when(F.startswith(low, F.lit("-")), "-").otherwise("")
-    bare = F.regexp_replace(low, r"^[+-]", "")
-    numeric = s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    d = F.when(numeric, s.try_cast("double"))
+def _number(d: Column) -> Column:
+    """A finite double rounded to DIGITS, without needless zeros."""
     r = F.round(d, DIGITS)
-    whole = F.when(F.abs(r) < 1e18, r.cast("decimal(38,0)").cast("string"))
-    plain = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{DIGITS}f", r), "0+$", ""), r"\.$", "")
-    number = F.when(r == 0, "0").when(r == F.floor(r), F.coalesce(whole, plain)).otherwise(plain)
-    return F.when(bare == "nan", "nan").when(bare.isin("inf", "infinity"), F.concat(sign, F.lit("inf"))).when(d.isNotNull(), number).otherwise(s)
+    exact = F.regexp_replace(d.try_cast(f"decimal(34,{DIGITS})").cast("string"), r"\.?0+$", "")
+    return F.when(d.isNotNull(), F.when(r == 0, "0").otherwise(F.coalesce(exact, F.regexp_replace(F.format_string("%.0f", r), r"\.0*$", ""))))
+
+
+def _special(low: Column) -> Column:
+    """nan, inf and -inf in one spelling, else null."""
+    bare = F.regexp_replace(low, r"^[+-]", "")
+    return F.when(bare == "nan", "nan").when(bare.isin("inf", "infinity"), F.concat(F.when(F.startswith(low, F.lit("-")), "-").otherwise(""), F.lit("inf")))
+
+
+def normal(c: Column, kind: T.DataType | None = None) -> Column:
+    """One cell as canonical text: trimmed; numbers rounded, whole ones without a point; one spelling of nan and infinities. Null stays null.
+
+    With the column's type, integers and doubles skip what only text needs.
+    """
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return c.cast("string")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        odd = F.isnan(c) | (F.abs(c) == float("inf"))
+        return F.when(odd, _special(F.lower(c.cast("string")))).otherwise(_number(c.cast("double")))
+    s = F.trim(c.cast("string"), F.lit(" \t\r\n"))
+    d = F.when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
+    return F.coalesce(_special(F.lower(s)), _number(d), s)
 
 
 def multiset_diff(ref: DataFrame, conv: DataFrame) -> DataFrame:
@@ -36,7 +50,7 @@ def multiset_diff(ref: DataFrame, conv: DataFrame) -> DataFrame:
     n = max(len(ref.columns), len(conv.columns))
 
     def side(df: DataFrame, a: int, b: int) -> DataFrame:
-        cells = [normal(F.col(f"`{df.columns[i]}`")) if i < len(df.columns) else F.lit(None).cast("string") for i in range(n)]
+        cells = [normal(F.col(f"`{df.columns[i]}`"), df.schema[i].dataType) if i < len(df.columns) else F.lit(None).cast("string") for i in range(n)]
         return df.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)], F.lit(a).alias("ref"), F.lit(b).alias("conv"))
 
     both = side(ref, 1, 0).unionAll(side(conv, 0, 1))

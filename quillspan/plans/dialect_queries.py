@@ -114,8 +114,8 @@ _sas("sas_missing_compare", "work.m", "data work.m; set tpch.gaps; lt = value <
      """with g as (select event_id, case when event_id % 7 = 0 then null else value end v, case when event_id % 11 = 0 then null else user_id end u from events)
  select event_id, (v is null or v < 20)::int::double lt, (v is not null and v >= 20)::int::double ge, (v is null)::int::double eq, (u is not null)::int::double ne,
   ((v is null and u is not null) or coalesce(v < u, false))::int::double less, coalesce(u in (1, 2, 3), false)::int::double inn from g where v is null or v <= 20 or coalesce(u > 100, false)""")
-_sas("sas_missing_sort", "work.s", "proc sql; create table work.s as select user_id, event_id from tpch.gaps where event_id < 2000 order by user_id, event_id limit 150; quit;",
-     "select case when event_id % 11 = 0 then null else user_id end user_id, event_id from events where event_id < 2000 order by 1 nulls first, 2 limit 150")
+_sas("sas_missing_sort", "work.s", "proc sql; create table work.s as select user_id, event_id from tpch.gaps order by user_id, event_id limit 150; quit;",
+     "select case when event_id % 11 = 0 then null else user_id end user_id, event_id from events order by 1 nulls first, 2 limit 150")
 _sas("sas_missing_arith", "work.a", "data work.a; set tpch.gaps; x = value + user_id * 2; y = -value; z = sum(value, user_id); m = max(value, user_id); n = nmiss(value, user_id); keep event_id x y z m n; run;",
      """with g as (select event_id, case when event_id % 7 = 0 then null else value end v, case when event_id % 11 = 0 then null else user_id end u from events)
  select event_id, v + u * 2 x, -v y, case when v is not null or u is not null then coalesce(v, 0) + coalesce(u, 0) end z, greatest(v, u) m, ((v is null)::int + (u is null)::int) n from g""")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,8 +55,8 @@ _ROWWISE = {"sum": lambda a: F.when(F.coalesce(*a).isNotNull(), sum((F.coalesce(
 class Lower:
     """Lowers expressions over one DataFrame."""
 
-    def __init__(self, dialect: str, df: DataFrame, scalar: Callable | None = None, known: dict | None = None, rowwise: bool = False):
-        self.dialect, self.df, self.scalar, self.known, self.rowwise = dialect, df, scalar, known or {}, rowwise
+    def __init__(self, dialect: str, df: DataFrame, scalar: Callable | None = None, known: dict | None = None, rowwise: bool = False, names: set | None = None):
+        self.dialect, self.df, self.scalar, self.known, self.rowwise, self.names = dialect, df, scalar, known or {}, rowwise, names
 
     def kind(self, c: Column) -> T.DataType:
         return self.df.select(c).schema[0].dataType
@@ -73,11 +72,8 @@ class Lower:
     def column(self, name: str, rel: str | None) -> Column:
         if rel in ("first", "last") and f"{rel}__{name}" in self.df.columns:
             return F.col(f"{rel}__{name}")
-        if rel and self.dialect == "pig":
-            try:  # a relation's name stays usable while its fields are unambiguous
-                self.kind(F.col(f"`{rel}`.`{name}`"))
-            except AnalysisException:
-                rel = None
+        if rel and self.names is not None and rel not in self.names:
+            rel = None  # a relation's own name stays usable while its fields are unambiguous
         return F.col(f"`{rel}`.`{name}`" if rel else f"`{name}`")
 
     def value(self, e) -> Column:

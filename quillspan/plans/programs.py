@@ -63,21 +63,30 @@ class Pig:
 
     def __init__(self, catalog: Catalog):
         catalog.default = ""
-        self.catalog, self.rels, self.grouped, self.registered, self.stores, self.joined = catalog, {}, {}, [], [], set()
+        self.catalog, self.rels, self.grouped, self.registered, self.stores = catalog, {}, {}, [], []
+        #: Names by which a relation's fields can be qualified: its own, or those of a join's sides.
+        self.names: dict[str, set] = {}
 
     def rel(self, name: str) -> DataFrame:
         if name not in self.rels:
             self.rels[name] = self.catalog.get(name).alias(name)
         return self.rels[name]
 
+    def low(self, name: str, **more) -> Lower:
+        return Lower("pig", self.rel(name), names=self.names.get(name, {name}), **more)
+
     def run(self, text: str, params: dict | None = None) -> dict[str, DataFrame]:
         for s in parse_pig(text, params):
             made = getattr(self, f"_{s.kind}")(s)
             if s.target and made is not None:
                 # the fields of a join keep the names of its sides
-                joined = s.kind in ("join", "cross") or (s.kind in ("filter", "order", "limit", "distinct") and s.args["rel"] in self.joined)
-                self.rels[s.target] = made if joined else made.alias(s.target)
-                (self.joined.add if joined else self.joined.discard)(s.target)
+                if s.kind in ("join", "cross"):
+                    sides = [x[0] for x in s.args["sides"]] if s.kind == "join" else s.args["rels"]
+                    names = set().union(*(self.names.get(x, {x}) for x in sides))
+                else:
+                    names = self.names.get(s.args.get("rel")) if s.kind in ("filter", "order", "limit", "distinct") else None
+                self.rels[s.target] = made if names else made.alias(s.target)
+                self.names[s.target] = names or {s.target}
         return self.rels
 
     def _register(self, s: Statement):
@@ -96,13 +105,12 @@ class Pig:
             self.rel(s.args["rel"]).write.mode("overwrite").csv(s.args["path"], sep=s.args["sep"], header=False)
 
     def _filter(self, s: Statement):
-        df = self.rel(s.args["rel"])
-        return df.filter(Lower("pig", df).condition(s.args["cond"]))
+        return self.rel(s.args["rel"]).filter(self.low(s.args["rel"]).condition(s.args["cond"]))
 
     def _split(self, s: Statement):
         df = self.rel(s.args["rel"])
         for name, cond in s.args["branches"]:
-            self.rels[name] = df.filter(Lower("pig", df).condition(cond)).alias(name)
+            self.rels[name] = df.filter(self.low(s.args["rel"]).condition(cond)).alias(name)
 
     def _group(self, s: Statement):
         self.grouped[s.target] = (s.args["rel"], s.args["keys"])
@@ -112,11 +120,11 @@ class Pig:
         names = [p.alias or (p.expr.name if isinstance(p.expr, A.Col) else f"_auto{i + 1}") for i, p in enumerate(projs)]
         if rel not in self.grouped:
             df = self.rel(rel)
-            low = Lower("pig", df, rowwise=True)
+            low = self.low(rel, rowwise=True)
             return df.select(*[low.value(p.expr).alias(n) for p, n in zip(projs, names)])
         base, keys = self.grouped[rel]
         df = self.rel(base)
-        low = Lower("pig", df)
+        low = self.low(base)
         # COUNT(bag) counts rows; SUM(bag.f) reads the field f of the grouped relation
         exprs = [_in_bag(p.expr, base) for p in projs]
         aggregates = list(dict.fromkeys(x for e in exprs for x in A.walk(e) if A.is_aggregate(x)))
@@ -132,11 +140,11 @@ class Pig:
     def _join(self, s: Statement):
         (first, keys, _), *others = s.args["sides"]
         df = self.rel(first)
-        low = Lower("pig", df)
+        low = self.low(first)
         left = [low.value(k if not isinstance(k, A.Col) or k.rel else A.Col(k.name, first)) for k in keys]
         for name, other, _ in others:
             right = self.rel(name)
-            on = [a == Lower("pig", right).value(k if k.rel else A.Col(k.name, name)) for a, k in zip(left, other)]
+            on = [a == self.low(name).value(k if k.rel else A.Col(k.name, name)) for a, k in zip(left, other)]
             df = df.join(right, reduce(lambda a, b: a & b, on), "inner")
         return df
 
@@ -144,7 +152,7 @@ class Pig:
         sides = []
         for i, (name, keys, inner) in enumerate(s.args["sides"]):
             df = self.rel(name)
-            low = Lower("pig", df)
+            low = self.low(name)
             sides.append(df.groupBy(*[low.value(k).alias(f"_k{j}") for j, k in enumerate(keys)]).agg(F.collect_list(F.struct(*df.columns)).alias(name)))
         n_keys = len(s.args["sides"][0][1])
         ks = [f"_k{j}" for j in range(n_keys)]
@@ -160,7 +168,7 @@ class Pig:
 
     def _order(self, s: Statement):
         df = self.rel(s.args["rel"])
-        low = Lower("pig", df)
+        low = self.low(s.args["rel"])
         return df.orderBy(*[low.value(e).desc() if d else low.value(e).asc() for e, d in s.args["keys"]])
 
     def _limit(self, s: Statement):

@@ -14,7 +14,7 @@ from quillspan.lang.scan import split_blocks
 from quillspan.names import file_of, file_sql, name_of, name_sql
 from quillspan.operators import graph, store, verify
 from quillspan.operators.ranking import global_rank, latest_before
-from quillspan.session import Scratch, table
+from quillspan.session import Scratch, spread, table
 from quillspan.sources.readers import scan_term, synthetic_edges
 from quillspan.sources.writers import numbered, upsert, with_overflow, write_partitioned
 
@@ -35,13 +35,14 @@ def query(sql: str | None = None):
 n, f = name_sql, file_sql
 
 # ---- verification ----
-_PERTURBED = "select o_orderkey, o_custkey, case when o_orderkey % 97 = 0 then o_totalprice + 1 else o_totalprice end o_totalprice, o_orderstatus from orders where o_orderkey % 101 <> 0"
+_PERTURBED = "select o_orderkey, o_custkey, case when o_totalprice > 400000 then o_totalprice + 1 else o_totalprice end o_totalprice, o_orderstatus from orders where o_totalprice >= 2000"
 
 
 def _pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The orders, and a copy in which the dearest are changed and the cheapest are missing."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    k = F.col("o_orderkey")
-    return o, o.filter(k % 101 != 0).withColumn("o_totalprice", F.when(k % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    price = F.col("o_totalprice")
+    return o, o.filter(price >= 2000).withColumn("o_totalprice", F.when(price > 400000, price + 1).otherwise(price))
 
 
 _NEQ = f"""a as (select o_orderkey, o_custkey, round(o_totalprice, 6) p, o_orderstatus, count(*) n from orders group by all),
@@ -73,11 +74,10 @@ def ver_normalise_value(spark, d):
     return spark.createDataFrame([(x,) for x in raw], "raw string").select("raw", verify.normal(F.col("raw")).alias("normal"))
 
 
-@query("select o_orderpriority grp, case min(case o_orderkey % 50 when 0 then 0 when 1 then 1 when 2 then 2 else 3 end) when 0 then 'FAIL' when 1 then 'REF_MISSING' when 2 then 'CONV_MISSING' else 'PASS' end verdict from orders where o_orderkey % 50 > (ascii(o_orderpriority) - 48) - 3 group by 1")
+@query("select c_nationkey grp, case min(case when c_acctbal < -990 then 0 when c_acctbal < -950 then 1 when c_acctbal < -900 then 2 else 3 end) when 0 then 'FAIL' when 1 then 'REF_MISSING' when 2 then 'CONV_MISSING' else 'PASS' end verdict from customer group by 1")
 def ver_rollup(spark, d):
-    v = table(spark, d, "orders").filter(F.col("o_orderkey") % 50 > F.ascii("o_orderpriority") - 48 - 3)
-    k = F.col("o_orderkey") % 50
-    return verify.roll_up(v.select(F.col("o_orderpriority").alias("grp"), F.when(k == 0, "FAIL").when(k == 1, "REF_MISSING").when(k == 2, "CONV_MISSING").otherwise("PASS").alias("verdict")), ["grp"])
+    v = F.when(F.col("c_acctbal") < -990, "FAIL").when(F.col("c_acctbal") < -950, "REF_MISSING").when(F.col("c_acctbal") < -900, "CONV_MISSING").otherwise("PASS")
+    return verify.roll_up(table(spark, d, "customer").select(F.col("c_nationkey").alias("grp"), v.alias("verdict")), ["grp"])
 
 
 @query("""with r as (select event_id, event_type, value, row_number() over (order by event_id) r, count(*) over () n from events),
@@ -112,19 +112,24 @@ def lin_file_flow_asof(spark, d):
     return latest_before(occurrences(spark, d), ["fileid", "tbl"], "n", F.col("role") == "write", "writer").filter("role = 'read' and writer is not null").select("fileid", "tbl", F.col("n").alias("reader"), "writer")
 
 
-@query(f"with {_OCC}, w as (select distinct fileid, tbl from occ where role = 'write'), r as (select distinct fileid, tbl from occ where role = 'read') select w.fileid src_file, r.fileid dst_file, count(*) n_tables, string_agg(tbl, ',' order by tbl) as tables from w join r using (tbl) where w.fileid <> r.fileid group by 1, 2")
+_FLOW5 = f"x as (select distinct {f('fileid')} fileid, {n('block_id')} block_id, {n('source_canonical_name')} src, {n('target_canonical_name')} dst from lineage where snapshot_no = 5)"
+
+
+@query(f"with {_FLOW5}, w as (select distinct fileid, dst tbl from x where dst is not null), r as (select distinct fileid, src tbl from x where src is not null) select w.fileid src_file, r.fileid dst_file, count(*) n_tables, string_agg(tbl, ',' order by tbl) as tables from w join r using (tbl) where w.fileid <> r.fileid group by 1, 2")
 def lin_project_flow(spark, d):
-    o = occurrences(spark, d)
-    w, r = o.filter("role = 'write'").select("tbl", F.col("fileid").alias("src_file")).distinct(), o.filter("role = 'read'").select("tbl", F.col("fileid").alias("dst_file")).distinct()
+    """Files that write a table that another file reads, with the tables."""
+    e = provided(spark, d, 5)
+    w, r = e.select(F.col("dst").alias("tbl"), F.col("fileid").alias("src_file")).distinct(), e.select(F.col("src").alias("tbl"), F.col("fileid").alias("dst_file")).distinct()
     return w.join(r, "tbl").filter("src_file != dst_file").groupBy("src_file", "dst_file").agg(F.count("*").alias("n_tables"), F.concat_ws(",", F.sort_array(F.collect_set("tbl"))).alias("tables"))
 
 
-@query(f"with {_OCC}, w as (select fileid, tbl, max(n) writer from occ where role = 'write' and n > 9000 group by 1, 2) select w.fileid src_file, writer, o.fileid dst_file, o.n reader, tbl from w join occ o using (tbl) where o.role = 'read' and o.fileid <> w.fileid and o.n > 9000")
+@query(f"with {_FLOW5}, b as (select *, try_cast(split_part(block_id, '_', 2) as int) no from x where block_id is not null), w as (select fileid, dst tbl, max(no) writer from b where dst is not null group by 1, 2), r as (select distinct fileid, src tbl, no from b where src is not null) select w.fileid src_file, writer, r.fileid dst_file, r.no reader, tbl from w join r using (tbl) where r.fileid <> w.fileid")
 def lin_block_links(spark, d):
-    """Latest writer of each file and table, linked to all readers in other files (of the newest blocks)."""
-    o = occurrences(spark, d).filter("n > 9000")
-    w = o.filter("role = 'write'").groupBy("tbl", F.col("fileid").alias("src_file")).agg(F.max("n").alias("writer"))
-    return w.join(o.filter("role = 'read'").select("tbl", F.col("fileid").alias("dst_file"), F.col("n").alias("reader")), "tbl").filter("src_file != dst_file").select("src_file", "writer", "dst_file", "reader", "tbl")
+    """Latest writing block of each file and table, linked to all reading blocks in other files."""
+    b = provided(spark, d, 5).filter("block_id is not null").withColumn("no", F.split_part("block_id", F.lit("_"), F.lit(2)).try_cast("int"))
+    w = b.filter("dst is not null").groupBy(F.col("dst").alias("tbl"), F.col("fileid").alias("src_file")).agg(F.max("no").alias("writer"))
+    r = b.filter("src is not null").select(F.col("src").alias("tbl"), F.col("fileid").alias("dst_file"), F.col("no").alias("reader")).distinct()
+    return w.join(r, "tbl").filter("src_file != dst_file").select("src_file", "writer", "dst_file", "reader", "tbl")
 
 
 @query(f"with {_OCC} select w.fileid, w.tbl, w.n writer, r.n reader from occ w join occ r on w.fileid = r.fileid and w.tbl = r.tbl and r.n > w.n where w.role = 'write' and r.role = 'read'")
@@ -210,7 +215,7 @@ def lin_block_scan(spark, d):
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), *[pa.string()] * 4])], ["block_key", "kind", "status", "reads", "writes"])
 
-    return table(spark, d, "blocks").select("block_key", F.coalesce("sas_text", "sas_code")).mapInArrow(scan, "block_key long, kind string, status string, reads string, writes string")
+    return spread(table(spark, d, "blocks").select("block_key", F.coalesce("sas_text", "sas_code").alias("text")), "block_key").mapInArrow(scan, "block_key long, kind string, status string, reads string, writes string")
 
 
 _PROGRAM = """data work.o; set tpch.orders; yr = year(o_orderdate); if o_totalprice > 10; keep o_custkey o_totalprice yr; run;
@@ -442,9 +447,9 @@ def evt_retention(spark, d):
     return store.retained(table(spark, d, "store_log"), 31).select("seq", "ts")
 
 
-@query("select event_id, (select max(seq) from store_log) + row_number() over (order by event_id) seq from events where event_id < 500")
+@query("select event_id, (select max(seq) from store_log) + row_number() over (order by event_id) seq from events")
 def evt_append(spark, d):
-    return numbered(table(spark, d, "store_log"), table(spark, d, "events").filter("event_id < 500").select("event_id"), ["event_id"])
+    return numbered(table(spark, d, "store_log"), table(spark, d, "events").select("event_id"), ["event_id"])
 
 
 @query("select p_partkey, p_size from part where p_brand not in (select p_brand from part where p_size = 7) union all select p_partkey, -p_size from part where p_brand in (select p_brand from part where p_size = 7) and p_size % 2 = 0")

@@ -72,3 +72,9 @@ class Scratch:
             jvm = self.spark._jvm
             p = jvm.org.apache.hadoop.fs.Path(where)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores, for stages in Python: a small file is one task otherwise. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores, by)
