@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.tokens import DEFAULT, tokens
+from quillspan.session import spread
 
 _BREAK = r"(?:\r\n|\r|\n)"
 _HEADINGS = re.compile(
@@ -205,7 +206,7 @@ def cut(rows: DataFrame, key: str, text: str, limits: list[tuple[str, int, int]]
                     out, held = [], 0
             yield _batch(out, fields)
 
-    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(pieces, f"limit_name string, key {kind}, piece int, start_char long, end_char long, start_token long, end_token long, shared_tokens int, n_tokens int, text string")
+    return spread(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), "key").mapInArrow(pieces, f"limit_name string, key {kind}, piece int, start_char long, end_char long, start_token long, end_token long, shared_tokens int, n_tokens int, text string")
 
 
 def _batch(rows: list[tuple], fields: dict) -> pa.RecordBatch:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.running import running_total
 from quillspan.llm.tokens import DEFAULT, tokens
-from quillspan.session import Scratch
+from quillspan.session import Scratch, spread
 
 #: Sources a mix may list: patterns are at most 2 ** MOST_SOURCES.
 MOST_SOURCES = 16
@@ -132,7 +132,7 @@ class Mix:
                 yield pa.record_batch([b.column("key"), b.column("bit"), b.column("h0"), b.column("h1"), pa.array(n, pa.int64())], ["key", "bit", "h0", "h1", "n"])
 
         texts = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), bit.alias("bit"), F.xxhash64(F.lit(1), text).alias("h0"), F.xxhash64(F.lit(2), text).alias("h1")).filter("bit > 0 and text is not null and text != ''")
-        counted = texts.mapInArrow(count, f"key {kind}, bit long, h0 long, h1 long, n long")
+        counted = spread(texts, "key").mapInArrow(count, f"key {kind}, bit long, h0 long, h1 long, n long")
         units = counted.groupBy("h0", "h1").agg(F.min("key").alias("key"), F.bit_or("bit").alias("pattern"), F.max("n").alias("n")).select("key", "pattern", "n")
         self.units = scratch.write(units.filter("n > 0"), "units")
         sizes = {r.pattern: r.n for r in self.units.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}  # at most 2 ** MOST_SOURCES rows

@@ -21,13 +21,12 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.shingles import class_ids, mix, shingle_sets
-from quillspan.session import Scratch
+from quillspan.session import Scratch, spread
 
 #: Slots of the load table (4 bytes each while counted, one when broadcast) and the parts it is added up in.
 LOAD_SLOTS, LOAD_PARTS = 1 << 20, 16
@@ -288,7 +287,7 @@ class NearDuplicates:
     def __init__(self, rows: DataFrame, key: str, text: str, k: int = 5, t: float = 0.8):
         spark = rows.sparkSession
         self.scratch = Scratch(spark, "neardup")
-        texts = rows.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).filter("key is not null")
+        texts = spread(rows.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).filter("key is not null"), "key")
         sc = spark.sparkContext
         load = sc.broadcast(_load_table(texts, k))
         self.members = self.scratch.write(_members(texts, k).distinct(), "members")

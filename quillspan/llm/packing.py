@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.running import running_total
 from quillspan.llm.tokens import DEFAULT, count_column
-from quillspan.session import Scratch
+from quillspan.session import Scratch, spread
 
 
 def sized(rows: DataFrame, key: str, text: str, tokenizer: str = DEFAULT) -> DataFrame:
@@ -34,7 +34,7 @@ def sized(rows: DataFrame, key: str, text: str, tokenizer: str = DEFAULT) -> Dat
             yield pa.record_batch([b.column(0), count_column(b.column(1), tokenizer)], ["key", "n_tokens"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(count, f"key {kind}, n_tokens long")
+    return spread(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), "key").mapInArrow(count, f"key {kind}, n_tokens long")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[dict[str, np.ndarray], int]:

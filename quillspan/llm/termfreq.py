@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.session import Scratch
+
 #: A term is heavy from 1 / HEAVY of all rows, so there are at most HEAVY of them; counters that one task's summary keeps.
 HEAVY, COUNTERS = 1024, 8192
 
@@ -54,7 +56,7 @@ def term_counts(rows: DataFrame, term: str, record: str) -> DataFrame:
     terms like any other; other columns are ignored; an empty table gives no rows.
     """
     rows = rows.select(F.col(term).cast("string").alias("term"), F.col(record).alias("record")).filter("term is not null and record is not null")
-    heavy = F.broadcast(_heavy(rows))
+    heavy = F.broadcast(Scratch(rows.sparkSession, "terms").write(_heavy(rows), "heavy"))  # at most HEAVY rows
     tagged = rows.join(heavy, "term", "left")
 
     def count_local(batches):
