@@ -188,7 +188,8 @@ def _show(e, level: int) -> str:
         case Un("not", a):
             return wrap(f"not {_show(a, 3)}", 3)
         case Un(op, a):
-            return wrap(f"{op}{_show(a, 8)}", 8)
+            inner = _show(a, 8)
+            return wrap(f"{op} {inner}" if inner.startswith(op) else f"{op}{inner}", 8)  # two in a row would begin a comment
         case In(a, items, neg):
             return wrap(f"{_show(a, 5)} {'not ' if neg else ''}in ({', '.join(_show(x, 0) for x in items)})", 4)
         case Between(a, lo, hi, neg):

@@ -245,7 +245,7 @@ def expand(text: str, known: dict[str, Macro] | None = None) -> tuple[str, list[
             if end < len(text) and text[end] == ";":
                 end += 1
             calls.append((macro.name, values))
-            text = text[: m.start()] + substitute(macro.body, values) + text[end:]
+            text = text[: m.start()] + substitute(macro.body, lets | values) + text[end:]
             m = next((m for m in re.finditer(r"%(\w+)", text) if m[1].lower() in known), None)
     return text, calls
 
