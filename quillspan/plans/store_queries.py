@@ -12,7 +12,8 @@ from quillspan.lang.facts import facts
 from quillspan.lang.parser import parse_expr
 from quillspan.lang.scan import split_blocks
 from quillspan.names import file_of, file_sql, name_of, name_sql
-from quillspan.operators import graph, store, verify
+from quillspan.lang.workflows import transfer, workflow_tables
+from quillspan.operators import graph, reports, store, verify
 from quillspan.operators.ranking import global_rank, latest_before
 from quillspan.session import Scratch, spread, table
 from quillspan.sources.readers import scan_term, synthetic_edges
@@ -495,3 +496,65 @@ def jon_update_step(spark, d):
 def set_lineage_except(spark, d):
     named = "src is not null and dst is not null"
     return provided(spark, d, 5).filter(named).select("src", "dst").subtract(provided(spark, d, 1).filter(named).select("src", "dst"))
+
+
+_AT = f"ea as (select edit_id, coalesce(edited_at, received_at) tm, {n('action')} as action, {n('src')} src, {n('dst')} dst, {n('table_name')} table_name, {n('level')} as level, coalesce(requires_check, false) rc from (select *, row_number() over (partition by edit_id order by received_at desc nulls last) rn from human_edits) where rn = 1)"
+
+
+@query(f"""with {_AT}, w as (select *, min(case when action = 'confirm' then row(tm, edit_id) end) over l c, min(case when action = 'reject' then row(tm, edit_id) end) over l r from ea
+ window l as (partition by src, dst, table_name, level order by tm nulls first, edit_id rows between 1 following and unbounded following)) select edit_id, rc and c is not null cleared, rc and r is not null and (c is null or r < c) out_of_queue from w""")
+def grf_edit_lifecycle(spark, d):
+    raw = table(spark, d, "human_edits")
+    keep = ["edited_at", "action", "src", "dst", "table_name", "level", "requires_check", "received_at"]
+    one = raw.groupBy("edit_id").agg(F.max(F.struct(F.col("received_at").alias("got"), *keep)).alias("r")).select("edit_id", *[F.col(f"r.{c}").alias(c) for c in keep])
+    e = one.withColumns({c: name_of(c) for c in ("action", "src", "dst", "table_name", "level")}).withColumn("at", F.coalesce("edited_at", "received_at"))
+    return reports.edit_lifecycle(e, ["src", "dst", "table_name", "level"]).select("edit_id", "cleared", "out_of_queue")
+
+
+@query(f"""with e as {_E}, i as (select dst node, count(distinct src) c, list(distinct src order by src) l from e where src <> dst group by 1), o as (select src node, count(distinct dst) c, list(distinct dst order by dst) l from e where src <> dst group by 1)
+ select s.node, s.node || ': ' || case when i.c > 0 then 'fed by ' || i.c || ' (' || array_to_string(i.l[1:2], ', ') || ')' else 'fed by none' end || '; ' || case when o.c > 0 then 'feeds ' || o.c || ' (' || array_to_string(o.l[1:2], ', ') || ')' else 'feeds none' end || '.' sentence from {_SEEDS} s left join i using (node) left join o using (node)""")
+def grf_story(spark, d):
+    e = project_edges(spark, d)
+    return reports.story(e, seeds(e))
+
+
+@query(f"select distinct fileid, block_id, src, dst, case when contains(src, '.') then split_part(src, '.', 1) else 'work' end src_schema, split_part(src, '.', -1) src_name, case when contains(dst, '.') then split_part(dst, '.', 1) else 'work' end dst_schema, split_part(dst, '.', -1) dst_name, level from {_provided(5)} where src is not null and dst is not null")
+def lin_export_rows(spark, d):
+    return reports.export_rows(provided(spark, d, 5).filter("src is not null and dst is not null")).distinct()
+
+
+@query(f"with b as (select distinct block_key, n, {n('name')} nm, sas_code from blocks where sas_code is not null), o as (select distinct split_part(nm, '.', 2) nm from b where nm is not null), w as (select block_key, n, unnest(list_distinct(regexp_extract_all(lower(sas_code), '\w+'))) word from b) select o.nm as name, arg_max(block_key, row(n, block_key)) block from o join w on w.word = o.nm group by 1")
+def win_attribute_outputs(spark, d):
+    """The block that mentions each written table last."""
+    b = table(spark, d, "blocks").filter("sas_code is not null").select(F.col("block_key").alias("block"), F.col("n").alias("seq"), F.col("sas_code").alias("term"), name_of("name").alias("nm")).distinct()
+    return reports.attribute_outputs(b, b.filter("nm is not null").select(F.split_part("nm", F.lit("."), F.lit(2)).alias("name")))
+
+
+@query("select custkey, case when not hp then 'no program' when not hi then 'no inputs' when not ht then 'no table' when n is null then 'missing' when m > 0 then 'differs' when n = 0 or w then 'match-warn' else 'match' end verdict from (select c_custkey custkey, c_acctbal > -900 hp, c_acctbal > -700 hi, c_nationkey <> 3 ht, case when c_nationkey <> 4 then c_nationkey end n, case when c_acctbal > 9000 then 1 else 0 end m, c_mktsegment = 'BUILDING' w from customer)")
+def ver_block_verdict(spark, d):
+    bal, nat = F.col("c_acctbal"), F.col("c_nationkey")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), reports.block_verdict(bal > -900, bal > -700, nat != 3, F.when(nat != 4, nat), F.when(bal > 9000, 1).otherwise(0), F.col("c_mktsegment") == "BUILDING").alias("verdict"))
+
+
+@query(f"select (select count(distinct {f('fileid')}) from files) n_files, (select count(distinct block_key) from blocks) n_blocks, (select count(*) from {_provided(5)}) n_edges, (select count(distinct {n('term')}) from mentions where {n('term')} is not null) n_tables")
+def grf_counts(spark, d):
+    one = lambda t, c, name: table(spark, d, t).agg(F.count_distinct(c).alias(name)).scalar().alias(name)
+    return spark.range(1).select(one("files", file_of("fileid"), "n_files"), one("blocks", F.col("block_key"), "n_blocks"), provided(spark, d, 5).agg(F.count("*")).scalar().alias("n_edges"), one("mentions", name_of("term"), "n_tables"))
+
+
+_WORKFLOW = """<workflow-app xmlns="uri:oozie:workflow:0.5" name="nightly"><start to="split"/><fork name="split"><path start="load"/><path start="clean"/></fork>
+<action name="load"><sqoop/><ok to="meet"/><error to="dead"/></action><action name="clean"><pig/><ok to="meet"/><error to="dead"/></action><join name="meet" to="report"/>
+<action name="report"><hive/><ok to="done"/><error to="dead"/></action><kill name="dead"/><end name="done"/></workflow-app>"""
+
+
+@query("select * from (values ('start', 'start', 0), ('split', 'fork', 1), ('load', 'action', 2), ('clean', 'action', 2), ('meet', 'join', 3), ('report', 'action', 4), ('done', 'end', 5)) t(node, kind, level)")
+def wfl_run_order(spark, d):
+    """A workflow's nodes with their place in the order of runs; error edges play no part."""
+    nodes, edges = workflow_tables(spark, _WORKFLOW)
+    return nodes.join(graph.run_order(edges.filter("kind != 'error'")), "node").select("node", "kind", "level")
+
+
+@query("select 'import' tool, 'jdbc:db2://h/x' connect, 'orders' source, 'a > 1' cond, '/in/orders' target, 'id' split_by, 8 mappers")
+def wfl_transfer_descriptor(spark, d):
+    t = transfer("sqoop import --connect jdbc:db2://h/x --table orders --where 'a > 1' --target-dir /in/orders --split-by id -m 8 --verbose")
+    return spark.createDataFrame([(t["tool"], t["connect"], t["source"], t["where"], t["target"], t["split_by"], t["mappers"])], "tool string, connect string, source string, cond string, target string, split_by string, mappers int")

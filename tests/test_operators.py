@@ -148,3 +148,38 @@ def test_event_stream_equals_batch(spark, tmp_path):
     assert {r.fileid: r.set_by for r in folded.read().collect()} == {"a": "s4", "b": "s1", "c": "s3"}
     assert {r.fileid for r in store.latest_state(df).filter("present").collect()} == {"a", "b", "c"}
     assert sum(r.n for r in eventlog.per_window(df).collect()) == 6
+
+
+def test_workflow_and_transfer():
+    from quillspan.lang.parser import LanguageError
+    from quillspan.lang.workflows import transfer, workflow
+
+    nodes, edges = workflow('<workflow-app><start to="a"/><action name="a"><pig/><ok to="e"/><error to="k"/></action><kill name="k"/><end name="e"/></workflow-app>')
+    assert ("a", "action", "pig") in nodes and ("a", "k", "error") in edges
+    with pytest.raises(LanguageError):
+        workflow('<workflow-app><start to="nowhere"/></workflow-app>')
+    assert transfer("sqoop export --connect c --table t --export-dir /d --batch --input-null-string x")["options"] == {"batch": "true", "input-null-string": "x"}
+    with pytest.raises(LanguageError):
+        transfer("sqoop eval --connect c")
+
+
+def test_plan_lineage(spark):
+    from quillspan.lang.planlineage import lineage
+
+    a = spark.createDataFrame([(1, 2)], "x int, y int")
+    df = a.filter("y > 1").groupBy((F.col("x") + F.col("y")).alias("k")).agg(F.max("y").alias("m"), F.count("*").alias("n")).withColumn("z", F.col("m") * 2)
+    assert lineage(df) == [("k", "x"), ("k", "y"), ("m", "y"), ("z", "y")]
+
+
+def test_lifecycle_and_verdicts(spark):
+    from quillspan.operators import reports
+
+    e = spark.createDataFrame([("1", 1, "add", "f", True), ("2", 2, "confirm", "f", None), ("3", 3, "reject", "f", True), ("4", 1, "add", "g", True), ("5", 9, "reject", "g", False), ("6", None, "add", None, True)], "edit_id string, at int, action string, src string, requires_check boolean")
+    got = {r.edit_id: (r.cleared, r.out_of_queue) for r in reports.edit_lifecycle(e, ["src"]).collect()}
+    assert got == {"1": (True, False), "2": (False, False), "3": (False, False), "4": (False, True), "5": (False, False), "6": (False, False)}
+    t = spark.createDataFrame([(True, False, True), (False, True, True), (True, True, True), (True, False, False)], "p boolean, b boolean, r boolean")
+    assert [r[0] for r in t.select(reports.three_way(F.col("p"), F.col("b"), F.col("r"))).collect()] == ["rows", "MISSING", "bytes", "FAIL"]
+    m = spark.createDataFrame([("a", "f1"), ("a", "f2"), ("b", "f1")], "macroname string, fileid string")
+    assert {r.macroname: (r.n_defined, r.calls) for r in reports.pivot_by_macro(m, m.filter("macroname = 'a'")).collect()} == {"a": (2, 2), "b": (1, 0)}
+    c = spark.createDataFrame([(2, "added"), (2, "removed"), (2, "added"), (3, "changed")], "v int, change_type string")
+    assert {r.v: (r.n_added, r.n_removed, r.n_changed) for r in reports.timeline(c, "v").collect()} == {2: (2, 1, 0), 3: (0, 0, 1)}
