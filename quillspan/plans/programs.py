@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillspan.catalog import SEQ, Catalog, visible
 from quillspan.lang import ast as A
@@ -196,11 +195,13 @@ def _in_bag(e, base: str):
 
 
 # ---- SAS ----
-def run_sas(catalog: Catalog, text: str) -> Catalog:
-    """Runs a program; its tables are in the catalog afterwards, its messages too."""
+def run_sas(catalog: Catalog, text: str, block: int | None = None) -> Catalog:
+    """Runs a program; its tables are in the catalog afterwards, its messages too. With ``block`` only that step runs, on tables put there before."""
     catalog.default = "work"
     step = DataStep(catalog)
-    for s in parse_sas(text):
+    for i, s in enumerate(parse_sas(text)):
+        if block not in (None, i):
+            continue
         if s.kind == "libname":
             catalog.libs.setdefault(s.target, s.args["path"])
         elif s.kind == "data":
@@ -230,10 +231,7 @@ def run_sas(catalog: Catalog, text: str) -> Catalog:
     return catalog
 
 
+
 def schema_union(dfs: list[DataFrame]) -> list[str]:
     """Columns of all tables in first-seen order."""
     return list(dict.fromkeys(c for d in dfs for c in visible(d).columns))
-
-
-def empty(catalog: Catalog) -> DataFrame:
-    return catalog.spark.createDataFrame([], T.StructType([]))

@@ -268,6 +268,14 @@ def grf_roles(spark, d):
     return graph.roles(e, seeds(e), 1, 1)
 
 
+@query(f"""with recursive e as {_E}, d as (select node, 0 hop from {_SEEDS} union select e.dst, d.hop + 1 from d join e on e.src = d.node where d.hop < 2), u as (select node, 0 hop from {_SEEDS} union select e.src, u.hop + 1 from u join e on e.dst = u.node where u.hop < 2),
+ x as (select node, 1 u, 0 d, (hop = 0)::int s from u union all select node, 0, 1, (hop = 0)::int from d) select node, case when max(s) = 1 then 'seed' when max(u) = 1 and max(d) = 1 then 'both' when max(u) = 1 then 'up' else 'down' end as role from x group by 1 order by max(s) desc, node limit 200""")
+def grf_neighbourhood(spark, d):
+    """The neighbourhood two steps up and down, seeds first; at most 200 nodes are shown."""
+    e = project_edges(spark, d)
+    return graph.roles(e, seeds(e), 2, 2).orderBy((F.col("role") == "seed").desc(), "node").limit(200)
+
+
 @query(f"with recursive e as {_E}, c as (select src, dst from e union select c.src, e.dst from c join e on c.dst = e.src) select src, dst from c")
 def grf_transitive_closure(spark, d):
     return graph.closure(project_edges(spark, d)).select("src", "dst")

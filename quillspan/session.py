@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not said:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        said = "file://" + tempfile.mkdtemp(prefix="quillspan-")
+        own = tempfile.mkdtemp(prefix="quillspan-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        said = f"file://{own}"
         sc.setCheckpointDir(said)
     return said.rstrip("/")
 

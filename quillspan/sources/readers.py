@@ -63,3 +63,8 @@ def synthetic_edges(spark: SparkSession, files: int, per_file: int) -> DataFrame
 def scan_term(sources: DataFrame, text: str, term: str) -> DataFrame:
     """Sources that hold a term, in any case."""
     return sources.filter(F.contains(F.lower(text), F.lit(term.lower())))
+
+
+def delimited(lines: DataFrame, text: str, columns: str, sep: str = "|") -> DataFrame:
+    """Delimited lines in a column (quoted values may hold the separator): typed columns; a dot or nothing is missing, a short line is padded."""
+    return lines.select(F.from_csv(F.col(text), columns, {"sep": sep, "nullValue": ".", "mode": "PERMISSIVE"}).alias("__r")).select("__r.*")

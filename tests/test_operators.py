@@ -183,3 +183,15 @@ def test_lifecycle_and_verdicts(spark):
     assert {r.macroname: (r.n_defined, r.calls) for r in reports.pivot_by_macro(m, m.filter("macroname = 'a'")).collect()} == {"a": (2, 2), "b": (1, 0)}
     c = spark.createDataFrame([(2, "added"), (2, "removed"), (2, "added"), (3, "changed")], "v int, change_type string")
     assert {r.v: (r.n_added, r.n_removed, r.n_changed) for r in reports.timeline(c, "v").collect()} == {2: (2, 1, 0), 3: (0, 0, 1)}
+
+
+def test_delimited_and_single_block(spark):
+    from quillspan.catalog import Catalog
+    from quillspan.plans.programs import run_sas
+
+    lines = spark.createDataFrame([("1|\"a|b\"|2.5",), ("2|.|",), ("3",), (None,)], "line string")
+    assert [tuple(r) for r in readers.delimited(lines.filter("line is not null"), "line", "id int, s string, n double").collect()] == [(1, "a|b", 2.5), (2, None, None), (3, None, None)]
+    cat = Catalog(spark)
+    cat.put("a", spark.createDataFrame([(1,), (5,)], "x int"), ["x"])
+    run_sas(cat, "data work.a; set work.none; run; data work.b; set work.a; if x > 2; run;", block=1)
+    assert [r.x for r in cat.get("b").collect()] == [5] and not cat.messages
