@@ -531,7 +531,7 @@ def lin_export_rows(spark, d):
     return reports.export_rows(provided(spark, d, 5).filter("src is not null and dst is not null")).distinct()
 
 
-@query(f"with b as (select distinct block_key, n, {n('name')} nm, sas_code from blocks where sas_code is not null), o as (select distinct split_part(nm, '.', 2) nm from b where nm is not null), w as (select block_key, n, unnest(list_distinct(regexp_extract_all(lower(sas_code), '\w+'))) word from b) select o.nm as name, arg_max(block_key, row(n, block_key)) block from o join w on w.word = o.nm group by 1")
+@query(f"with b as (select distinct block_key, n, {n('name')} nm, sas_code from blocks where sas_code is not null), o as (select distinct split_part(nm, '.', 2) nm from b where nm is not null), w as (select block_key, n, unnest(list_distinct(regexp_extract_all(lower(sas_code), '[a-z0-9_]+'))) word from b) select o.nm as name, arg_max(block_key, row(n, block_key)) block from o join w on w.word = o.nm group by 1")
 def win_attribute_outputs(spark, d):
     """The block that mentions each written table last."""
     b = table(spark, d, "blocks").filter("sas_code is not null").select(F.col("block_key").alias("block"), F.col("n").alias("seq"), F.col("sas_code").alias("term"), name_of("name").alias("nm")).distinct()
