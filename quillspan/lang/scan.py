@@ -55,6 +55,7 @@ def statements(text: str) -> list[Scanned]:
     return out
 
 
+#: Fixed value: the format of annotations that give a step its id.
 _BLOCKID = re.compile(r"/\*BLOCKID\s+([\w:.]+).*?\*/", re.I | re.S)
 _OPENERS = {"data", "proc"}
 

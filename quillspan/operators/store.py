@@ -74,7 +74,7 @@ def stale_colour(edits: DataFrame, edges: DataFrame) -> DataFrame:
 def pivot_by_table(edges: DataFrame) -> DataFrame:
     """Per table: files that read and that write it, and all of them."""
     use = edges.select(F.col("src").alias("table_name"), "fileid", F.lit("read").alias("role")).union(edges.select("dst", "fileid", F.lit("write"))).filter("table_name is not null").distinct()
-    return use.groupBy("table_name").agg(F.count(F.when(F.col("role") == "read", F.col("fileid"))).alias("reader_files"), F.count(F.when(F.col("role") == "write", F.col("fileid"))).alias("writer_files"), F.count_distinct("fileid").alias("n_files"))
+    return use.groupBy("table_name").agg(F.count(F.when(F.col("role") == "read", F.col("fileid"))).alias("n_reading"), F.count(F.when(F.col("role") == "write", F.col("fileid"))).alias("n_writing"), F.count_distinct("fileid").alias("n_files"))
 
 
 def pivot_by_file(files: DataFrame, blocks: DataFrame, edges: DataFrame, literal: bool = False) -> DataFrame:

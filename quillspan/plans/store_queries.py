@@ -327,9 +327,10 @@ _EDITS = f"""ed as (select edit_id, edited_at, {n('action')} as action, {n('src'
  from (select *, row_number() over (partition by edit_id order by received_at desc nulls last, edited_at desc nulls last) rn from human_edits) where rn = 1)"""
 
 
-@query(f"""with {_EDITS}, e as {_provided(5)}, live as (select * from ed where not rc)
- select fileid, block_id, src, dst, table_name, level, case when exists (select 1 from live c where c.action = 'confirm' and c.block_id = e.block_id and (c.fileid is null or c.fileid = e.fileid)) then 'human_gold' else provenance end provenance, freshness from e
-  where block_id is null or not exists (select 1 from live r where r.action = 'reject' and r.block_id = e.block_id and (r.fileid is null or r.fileid = e.fileid))
+@query(f"""with {_EDITS}, e as {_provided(5)}, live as (select * from ed where not rc),
+ said as (select block_id, fileid, max((action = 'reject')::int) no, max((action = 'confirm')::int) yes from live where block_id is not null and action in ('reject', 'confirm') group by 1, 2),
+ heard as (select e.*, coalesce(max(no), 0) no, coalesce(max(yes), 0) yes from e left join said s on s.block_id = e.block_id and (s.fileid = e.fileid or s.fileid is null) group by all)
+ select fileid, block_id, src, dst, table_name, level, if(yes = 1, 'human_gold', provenance) provenance, freshness from heard where no = 0
  union all select coalesce(fileid, src), block_id, src, dst, table_name, level, 'human_gold', 'green' from live where action in ('add', 'correct')""")
 def grf_merged_edges(spark, d):
     return store.merged_edges(provided(spark, d, 5), full_edits(spark, d))
@@ -365,7 +366,7 @@ def grf_pending(spark, d):
     return e.filter(F.coalesce("requires_check", F.lit(False)) & ~F.coalesce("dismissed", F.lit(False))).orderBy("edited_at", "edit_id").select("edit_id", "action", "src", "dst", "level")
 
 
-@query(f"with e as {_provided(5)}, u as (select distinct src t, fileid, 'read' as role from e union select dst, fileid, 'write' from e) select t table_name, count(distinct fileid) filter (role = 'read') reader_files, count(distinct fileid) filter (role = 'write') writer_files, count(distinct fileid) n_files from u where t is not null group by 1")
+@query(f"with e as {_provided(5)}, rd as (select src t, count(distinct fileid) c from e group by 1), wr as (select dst t, count(distinct fileid) c from e group by 1), al as (select t, count(distinct fileid) c from (select src t, fileid from e union select dst, fileid from e) group by 1) select t table_name, coalesce(rd.c, 0) n_reading, coalesce(wr.c, 0) n_writing, al.c n_files from al left join rd using (t) left join wr using (t) where t is not null")
 def grf_pivot_by_table(spark, d):
     return store.pivot_by_table(provided(spark, d, 5))
 
