@@ -23,6 +23,8 @@ from quillspan.session import Scratch, spread
 
 #: Sources a mix may list: patterns are at most 2 ** MOST_SOURCES.
 MOST_SOURCES = 16
+#: A text is large beside a pattern's flow if it is over 1 / GRAINS of it; at scale no text is.
+GRAINS = 200
 
 
 def cheapest_flow(sizes: dict[int, int], caps: list[int], quotas: list[float]) -> tuple[dict[tuple[int, int], float], float]:
@@ -107,7 +109,8 @@ class Mix:
                any text stay at 0. With a total that some source cannot fill, the source gives all it may, and the report shows it.
 
     ``uses`` has one row per text and source it is used for; ``report`` has one row per listed source with target and reached share.
-    Shares are met up to one text at each border between sources in a pattern. Empty tables give no uses and shares of 0.
+    Shares are met up to one text at each border between sources in a pattern; texts that are large beside the tokens wanted of their
+    pattern come last in the seeded order, smaller ones first, so that this is little on small inputs too. Empty tables give no uses and shares of 0.
     """
 
     def __init__(self, rows: DataFrame, key: str, text: str, source: str, targets: list[tuple[str, float, int]], total: float | None = None, seed: int = 0, tokenizer: str = DEFAULT):
@@ -149,6 +152,9 @@ class Mix:
             if mine:
                 lines[p] = (sizes[p], min(caps[s] for s in range(len(targets)) if p >> s & 1), np.cumsum([f for _, f in mine]), [s for s, _ in mine])
         held = self.spark.sparkContext.broadcast(lines)
+        # texts that are large beside what is wanted of their pattern come last and by size, so that a border cuts off little
+        grains = self.spark.createDataFrame([(p, max(1.0, float(ends[-1]) / GRAINS)) for p, (_, _, ends, _) in lines.items()], "p long, grain double")
+        ranked = self.units.join(F.broadcast(grains), F.col("pattern") == F.col("p")).withColumn("rank", F.when(F.col("n") <= F.col("grain"), 0).otherwise(F.ceil(F.log2(F.col("n") / F.col("grain")))).cast("int"))
 
         def lay(batches):
             for b in batches:
@@ -172,7 +178,7 @@ class Mix:
                 at = np.concatenate(key_at) if key_at else np.empty(0, np.int64)
                 yield pa.record_batch([b.column("key").take(pa.array(at)), pa.array((np.concatenate(src) if src else at).astype(np.int32)), pa.array((np.concatenate(times) if times else at).astype(np.int32)), pa.array(n[at])], ["key", "s", "uses", "n_tokens"])
 
-        laid = running_total(self.units, ["pattern"], "key", "n", seed).select("key", "pattern", "n", "before").mapInArrow(lay, f"key {kind}, s int, uses int, n_tokens long")
+        laid = running_total(ranked.select("key", "pattern", "n", "rank"), ["pattern"], "key", "n", seed, "rank").select("key", "pattern", "n", "before").mapInArrow(lay, f"key {kind}, s int, uses int, n_tokens long")
         self.uses = laid.select("key", F.element_at(F.array(*[F.lit(t[0]) for t in targets]) if targets else F.array(F.lit("")), F.col("s") + 1).alias("source"), "uses", "n_tokens")
 
     def report(self) -> DataFrame:
