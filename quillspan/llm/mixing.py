@@ -5,7 +5,9 @@ sources they occur in, a bit per source), so the flow network has one node per p
 arcs, whatever the number of texts. A pattern with T tokens and cap m has m arcs of capacity T with costs 0, 1, ..., m - 1: the r-th
 use of a text costs more than the one before (convex), so nothing is repeated while fresh text is left for the same quota. Each
 source's arc to the sink has its quota. The cheapest flow tells how many tokens of each pattern go to each source; the texts of a
-pattern, in a seeded order, are then laid out pass by pass along that many tokens and cut at the sources' borders.
+pattern, in a seeded order that knows nothing of their sizes, are then laid out pass by pass along that many tokens and cut at the
+sources' borders. A text that lies across a border goes to the side that has its middle; the few texts next to the border then make up
+for what that side has too much or too little.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from quillspan.session import Scratch, spread
 
 #: Sources a mix may list: patterns are at most 2 ** MOST_SOURCES.
 MOST_SOURCES = 16
-#: A text is large beside a pattern's flow if it is over 1 / GRAINS of it; at scale no text is.
-GRAINS = 200
+#: Texts that may make up for the error of a border lie within so many texts of mean size of it, on either side.
+REACH = 200
 
 
 def cheapest_flow(sizes: dict[int, int], caps: list[int], quotas: list[float]) -> tuple[dict[tuple[int, int], float], float]:
@@ -97,6 +99,60 @@ def largest_total(sizes: dict[int, int], caps: list[int], shares: list[float]) -
     return low
 
 
+def passes(size: int, ends: np.ndarray) -> list[int]:
+    """The pass over a pattern's texts in which each border lies; one at the end of a pass belongs to it."""
+    return [max(0, int(np.ceil(e / size - 1e-9)) - 1) for e in ends]
+
+
+def windows(size: int, ends: np.ndarray, reach: float) -> list[tuple[float, float]]:
+    """Where in the seeded order the texts near the borders lie; a window over the end of a pass goes on at its beginning."""
+    out = []
+    for e, r in zip(ends, passes(size, ends)):
+        at = e - r * size
+        out.append((at - reach, at + reach))
+        if at < reach and r:
+            out.append((at - reach + size, float(size)))
+        if at + reach > size:
+            out.append((0.0, at + reach - size))
+    return out
+
+
+def settle(size: int, cap: int, ends: np.ndarray, sources: list[int], near: list[tuple[int, int]], owed: list[float]) -> list[tuple[int, int, int]]:
+    """(before, place in sources, +1 or -1): uses to add or take away so that the borders of a pattern are met.
+
+    near has (before, n) of the texts near the borders. owed has the tokens that each source lacks from other patterns; the last border
+    makes up for those of its source too, and what this pattern leaves open is put back. The nearest texts that fit are moved, so the
+    seeded order decides; at the last border a text larger than its source's whole part is left out.
+    """
+    at = passes(size, ends)
+    rounds = {r for x in at for r in (x - 1, x, x + 1) if 0 <= r < cap}
+    line = sorted((r * size + b, n, r, b) for r in rounds for b, n in near)
+    slot = [int(np.searchsorted(ends, x + n / 2, "left")) for x, n, _, _ in line]
+    was, over, last = list(slot), [0.0] * (len(ends) + 1), len(ends) - 1
+    for j in range(last, -1, -1):
+        e, wanted, out = ends[j], owed[sources[j]] if j == last else 0.0, None
+        lacks = wanted
+        for i, (x, n, _, _) in enumerate(line):
+            if x < e < x + n:
+                lacks -= (x + n - e) if slot[i] <= j else (x - e)
+                if j == last and slot[i] == j and n > e - (ends[j - 1] if j else 0.0):
+                    slot[i], out = j + 1, i
+                    lacks += n
+        for i in sorted(range(len(line)), key=lambda i: (slot[i] > last and line[i][2] > at[last], abs(line[i][0] + line[i][1] / 2 - e), line[i][0])):  # no repeats while fresh text fits
+            n = line[i][1]
+            if lacks > 0 and slot[i] == j + 1 and n <= lacks and i != out:
+                slot[i] = j
+                lacks -= n
+            elif lacks < 0 and slot[i] == j and n <= -lacks:
+                slot[i] = j + 1
+                lacks += n
+        over[j] = wanted - lacks
+    for j in range(len(ends)):
+        owed[sources[j]] -= over[j] - (over[j - 1] if j else 0.0)
+    moved = [(line[i][3], was[i], slot[i]) for i in range(len(line)) if was[i] != slot[i]]
+    return [(b, k, d) for b, a, z in moved for k, d in ((a, -1), (z, 1)) if k <= last]
+
+
 class Mix:
     """Texts combined so that each source gets its share of the total.
 
@@ -109,8 +165,9 @@ class Mix:
                any text stay at 0. With a total that some source cannot fill, the source gives all it may, and the report shows it.
 
     ``uses`` has one row per text and source it is used for; ``report`` has one row per listed source with target and reached share.
-    Shares are met up to one text at each border between sources in a pattern; texts that are large beside the tokens wanted of their
-    pattern come last in the seeded order, smaller ones first, so that this is little on small inputs too. Empty tables give no uses and shares of 0.
+    Texts are taken in the seeded order, whatever their size. Where a border between sources in a pattern cuts a text, texts next to it
+    make up for the difference; what is left is less than the smallest of them as a rule, and at most half of the text cut unless that is
+    larger than its source's whole part. Empty tables give no uses and shares of 0.
     """
 
     def __init__(self, rows: DataFrame, key: str, text: str, source: str, targets: list[tuple[str, float, int]], total: float | None = None, seed: int = 0, tokenizer: str = DEFAULT):
@@ -138,7 +195,8 @@ class Mix:
         counted = spread(texts, "key").mapInArrow(count, f"key {kind}, bit long, h0 long, h1 long, n long")
         units = counted.groupBy("h0", "h1").agg(F.min("key").alias("key"), F.bit_or("bit").alias("pattern"), F.max("n").alias("n")).select("key", "pattern", "n")
         self.units = scratch.write(units.filter("n > 0"), "units")
-        sizes = {r.pattern: r.n for r in self.units.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}  # at most 2 ** MOST_SOURCES rows
+        totals = self.units.groupBy("pattern").agg(F.sum("n").alias("n"), F.avg("n").alias("mean")).collect()  # at most 2 ** MOST_SOURCES rows
+        sizes = {r.pattern: r.n for r in totals}
         caps, shares = [t[2] for t in targets], [t[1] for t in targets]
         there = [any(p >> s & 1 for p in sizes) for s in range(len(targets))]
         weight = sum(q for q, t in zip(shares, there) if t) or 1.0
@@ -151,10 +209,17 @@ class Mix:
             mine = [(s, flow[p, s]) for s in range(len(targets)) if (p, s) in flow]
             if mine:
                 lines[p] = (sizes[p], min(caps[s] for s in range(len(targets)) if p >> s & 1), np.cumsum([f for _, f in mine]), [s for s, _ in mine])
-        held = self.spark.sparkContext.broadcast(lines)
-        # texts that are large beside what is wanted of their pattern come last and by size, so that a border cuts off little
-        grains = self.spark.createDataFrame([(p, max(1.0, float(ends[-1]) / GRAINS)) for p, (_, _, ends, _) in lines.items()], "p long, grain double")
-        ranked = self.units.join(F.broadcast(grains), F.col("pattern") == F.col("p")).withColumn("rank", F.when(F.col("n") <= F.col("grain"), 0).otherwise(F.ceil(F.log2(F.col("n") / F.col("grain")))).cast("int"))
+        order = scratch.write(running_total(self.units, ["pattern"], "key", "n", seed).select("key", "pattern", "n", "before"), "order")
+        around = self.spark.createDataFrame([(r.pattern, float(lo), float(hi)) for r in totals if r.pattern in lines for lo, hi in windows(r.n, lines[r.pattern][2], REACH * r.mean)], "p long, lo double, hi double")
+        near: dict[int, list[tuple[int, int]]] = {}
+        # as many rows as lie in the windows, some REACH on either side of each border
+        for r in order.join(F.broadcast(around), F.expr("pattern = p and before < hi and before + n > lo")).select("pattern", "before", "n").distinct().collect():
+            near.setdefault(r.pattern, []).append((r.before, r.n))
+        owed, moves = [0.0] * len(targets), {}
+        for p in sorted(lines, key=lambda p: (-p.bit_count(), p)):  # texts of one source come last and make up for the others
+            size, cap, ends, sources = lines[p]
+            moves[p] = np.array(sorted(settle(size, cap, ends, sources, near.get(p, []), owed)), np.int64).reshape(-1, 3)
+        held = self.spark.sparkContext.broadcast({p: (*lines[p], moves[p]) for p in lines})
 
         def lay(batches):
             for b in batches:
@@ -163,7 +228,7 @@ class Mix:
                 for p in np.unique(pattern).tolist():
                     if p not in held.value:
                         continue
-                    size, cap, ends, sources = held.value[p]
+                    size, cap, ends, sources, moved = held.value[p]
                     rows_at = np.flatnonzero(pattern == p)
                     middle = before[rows_at] + n[rows_at] / 2
                     uses = np.zeros((len(rows_at), len(sources)), np.int64)
@@ -171,6 +236,10 @@ class Mix:
                         at = np.searchsorted(ends, middle + r * size, "left")
                         inside = at < len(ends)
                         uses[np.flatnonzero(inside), at[inside]] += 1
+                    by = np.argsort(before[rows_at])
+                    at = np.searchsorted(before[rows_at], moved[:, 0], sorter=by).clip(max=len(by) - 1)
+                    hit = before[rows_at][by[at]] == moved[:, 0]
+                    np.add.at(uses, (by[at[hit]], moved[hit, 1]), moved[hit, 2])
                     i, j = np.nonzero(uses)
                     key_at.append(rows_at[i])
                     src.append(np.asarray(sources)[j])
@@ -178,7 +247,7 @@ class Mix:
                 at = np.concatenate(key_at) if key_at else np.empty(0, np.int64)
                 yield pa.record_batch([b.column("key").take(pa.array(at)), pa.array((np.concatenate(src) if src else at).astype(np.int32)), pa.array((np.concatenate(times) if times else at).astype(np.int32)), pa.array(n[at])], ["key", "s", "uses", "n_tokens"])
 
-        laid = running_total(ranked.select("key", "pattern", "n", "rank"), ["pattern"], "key", "n", seed, "rank").select("key", "pattern", "n", "before").mapInArrow(lay, f"key {kind}, s int, uses int, n_tokens long")
+        laid = order.mapInArrow(lay, f"key {kind}, s int, uses int, n_tokens long")
         self.uses = laid.select("key", F.element_at(F.array(*[F.lit(t[0]) for t in targets]) if targets else F.array(F.lit("")), F.col("s") + 1).alias("source"), "uses", "n_tokens")
 
     def report(self) -> DataFrame:

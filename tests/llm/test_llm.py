@@ -10,7 +10,7 @@ import pytest
 
 from quillspan.llm import neardup
 from quillspan.llm.cutting import cut
-from quillspan.llm.mixing import Mix, cheapest_flow
+from quillspan.llm.mixing import Mix, cheapest_flow, settle
 from quillspan.llm.neardup import NearDuplicates
 from quillspan.llm.packing import pack, plan
 from quillspan.llm.running import running_total
@@ -193,6 +193,42 @@ def test_mix(spark):
     assert none.uses.count() == 0 and none.report().first().share == 0.0
 
 
+def test_mix_takes_texts_of_all_sizes(spark):
+    rnd = random.Random(3)
+    sized = lambda n: " ".join(rnd.choice(["alpha", "beta", "row"]) for _ in range(n))
+    data = [(i, sized(rnd.randrange(200, 400) if i % 10 == 0 else rnd.randrange(3, 15)) + f" {i}", "a") for i in range(2000)]
+    data += [(5000 + i, sized(rnd.randrange(3, 15)) + f" {i}", "b") for i in range(700)]
+    df = spark.createDataFrame(data, "id long, text string, src string")
+    m = Mix(df, "id", "text", "src", [("a", 0.5, 1), ("b", 0.5, 1)], seed=1)
+    for r in m.report().collect():
+        assert r.share == pytest.approx(0.5, abs=0.003)
+    a = [r.n_tokens for r in m.uses.collect() if r.source == "a"]
+    all_a = [r.n for r in m.units.filter("pattern = 1").collect()]
+    big = lambda ns: sum(n for n in ns if n > 100) / sum(ns)
+    assert sum(a) < 0.2 * sum(all_a) and big(a) == pytest.approx(big(all_a), abs=0.15)
+
+
+def test_settle_meets_borders():
+    rnd = random.Random(6)
+    for _ in range(300):
+        ns = [rnd.randrange(1, 60) if rnd.random() < 0.9 else rnd.randrange(200, 2000) for _ in range(300)]
+        before, size, cap = np.cumsum([0, *ns[:-1]]).tolist(), sum(ns), 3
+        ends = np.sort(np.array([rnd.uniform(0, cap * size) for _ in range(rnd.randint(1, 3))]))
+        k = len(ends)
+        uses = np.zeros((len(ns), k + 1), int)
+        for r in range(cap):
+            for i, (b, n) in enumerate(zip(before, ns)):
+                uses[i, np.searchsorted(ends, r * size + b + n / 2, "left")] += 1
+        owed = [0.0] * k
+        for b, j, d in settle(size, cap, ends, list(range(k)), list(zip(before, ns)), owed):
+            uses[before.index(b), j] += d
+        assert uses.min() >= 0 and uses[:, :k].sum(axis=1).max() <= cap
+        got = uses[:, :k].T @ np.array(ns)
+        assert np.allclose(np.diff([0, *ends]) - got, owed)
+        if min(np.diff([0, *ends, cap * size])) > 10000:
+            assert np.abs(owed).max() < 60
+
+
 def test_cut(spark):
     rnd = random.Random(10)
     sentence = lambda: " ".join(rnd.choice(["The", "merge", "schlüssel", "表", "keeps", "dwh.calendar_dim", "😀"]) for _ in range(rnd.randrange(3, 15))) + rnd.choice([". ", "! ", "。", ".\n"])
