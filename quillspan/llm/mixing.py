@@ -163,6 +163,7 @@ class Mix:
                most as often as the least of their caps says, over all sources together.
     total      tokens wanted. None: the largest total at which every source that has any text gets its share exactly; sources without
                any text stay at 0. With a total that some source cannot fill, the source gives all it may, and the report shows it.
+    part       instead of total: the total as a multiple of the tokens of all texts of listed sources, each counted once.
 
     ``uses`` has one row per text and source it is used for; ``report`` has one row per listed source with target and reached share.
     Texts are taken in the seeded order, whatever their size. Where a border between sources in a pattern cuts a text, texts next to it
@@ -170,7 +171,9 @@ class Mix:
     larger than its source's whole part. Empty tables give no uses and shares of 0.
     """
 
-    def __init__(self, rows: DataFrame, key: str, text: str, source: str, targets: list[tuple[str, float, int]], total: float | None = None, seed: int = 0, tokenizer: str = DEFAULT):
+    def __init__(self, rows: DataFrame, key: str, text: str, source: str, targets: list[tuple[str, float, int]], total: float | None = None, seed: int = 0, tokenizer: str = DEFAULT, part: float | None = None):
+        if total is not None and part is not None:
+            raise ValueError("a mix takes a total or a part, not both")
         if len(targets) > MOST_SOURCES or len({t[0] for t in targets}) < len(targets):
             raise ValueError(f"a mix lists at most {MOST_SOURCES} sources, each once")
         self.spark = rows.sparkSession
@@ -200,6 +203,8 @@ class Mix:
         caps, shares = [t[2] for t in targets], [t[1] for t in targets]
         there = [any(p >> s & 1 for p in sizes) for s in range(len(targets))]
         weight = sum(q for q, t in zip(shares, there) if t) or 1.0
+        if part is not None:
+            total = part * sum(sizes.values())
         if total is None:
             total = largest_total(sizes, caps, shares)
             shares = [q / weight if t else 0.0 for q, t in zip(shares, there)]

@@ -74,9 +74,9 @@ def targets(spark: SparkSession, d: str) -> list[tuple[str, float, int]]:
     return sorted((r.s, r.target_share, r.max_repeats) for r in table(spark, d, "mix_targets").select(name_of("source").alias("s"), "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect())
 
 
-def mix(spark: SparkSession, d: str, total: float | None = None) -> Mix:
+def mix(spark: SparkSession, d: str, total: float | None = None, part: float | None = None) -> Mix:
     docs = table(spark, d, "documents").select("doc_id", "text", name_of("source").alias("source"))
-    return Mix(docs, "doc_id", "text", "source", targets(spark, d), total=total, seed=8)
+    return Mix(docs, "doc_id", "text", "source", targets(spark, d), total=total, seed=8, part=part)
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -89,12 +89,17 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mix(spark, d).report()
 
 
+def p8_report_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same with as many tokens as all listed texts have: short sources give all they may, and the shares reached differ."""
+    return mix(spark, d, part=1.0).report()
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of all texts over the cut limits."""
     return cut(table(spark, d, "documents"), "doc_id", "text", limits(spark, d, "cut_")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes, "p4_documents": p4_documents, "p6_found": p6_found, "p6_terms": p6_terms, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_report": p8_report, "p9_pieces": p9_pieces}
+QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes, "p4_documents": p4_documents, "p6_found": p6_found, "p6_terms": p6_terms, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_report": p8_report, "p8_report_whole": p8_report_whole, "p9_pieces": p9_pieces}
 
 _TERMS = f"""m as (select {name_sql('term')} term, {file_sql('fileid')} f from mentions), c as (select * from m where term is not null and f is not null),
  t as (select term, count(*) n, count(distinct f) n_files, (select count(distinct f) from c) total from c group by 1),

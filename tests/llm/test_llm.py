@@ -208,6 +208,18 @@ def test_mix_takes_texts_of_all_sizes(spark):
     assert sum(a) < 0.2 * sum(all_a) and big(a) == pytest.approx(big(all_a), abs=0.15)
 
 
+def test_mix_of_a_part(spark):
+    data = [(i, f"row {i} alpha", "a") for i in range(500)] + [(1000 + i, f"key {i} beta", "b") for i in range(20)]
+    df = spark.createDataFrame(data, "id long, text string, src string")
+    m = Mix(df, "id", "text", "src", [("a", 0.5, 1), ("b", 0.5, 3)], part=1.0)
+    n = {r.source: r for r in m.report().collect()}
+    listed = m.units.groupBy().sum("n").first()[0]
+    assert n["b"].n_texts == 20 and n["b"].n_uses == 60 and n["b"].share < 0.3  # short: all it may give
+    assert n["a"].n_tokens == pytest.approx(listed / 2, abs=5)
+    with pytest.raises(ValueError):
+        Mix(df, "id", "text", "src", [("a", 1.0, 1)], total=10.0, part=1.0)
+
+
 def test_settle_meets_borders():
     rnd = random.Random(6)
     for _ in range(300):
