@@ -308,6 +308,17 @@ class NearDuplicates:
         one = m.join(size.join(links, ["c0", "c1"], "left"), ["c0", "c1"], "left")
         return one.select("key", F.coalesce("class_key", "key").alias("class_key"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
+    def class_links(self) -> DataFrame:
+        """class_a < class_b, similarity: the links between classes by their least keys, so copies add no rows.
+
+        A key whose texts differ may be the least of several classes: its link to itself is left out, and the best of equal pairs counts.
+        """
+        least = self.members.filter("n > 0").groupBy("c0", "c1").agg(F.min("key").alias("key"))
+        a = least.select(F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("key").alias("x"))
+        z = least.select(F.col("c0").alias("z0"), F.col("c1").alias("z1"), F.col("key").alias("y"))
+        both = self.links.join(a, ["a0", "a1"]).join(z, ["z0", "z1"]).filter("x != y")
+        return both.groupBy(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b")).agg(F.max("similarity").alias("similarity"))
+
     def pairs(self) -> DataFrame:
         """key_a < key_b for every pair of keys that are alike, copies included: as many rows as there are such pairs."""
         m = self.members.filter("n > 0")

@@ -33,6 +33,12 @@ def p4_documents(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(table(spark, d, "documents"), "doc_id", "text").classes().withColumnsRenamed({"key": "doc_id", "class_key": "class_doc_id"})
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """Which classes of p4_documents are near-duplicates of which, and how alike they are."""
+    found = NearDuplicates(table(spark, d, "documents"), "doc_id", "text").class_links()
+    return found.withColumnsRenamed({"class_a": "class_doc_id_a", "class_b": "class_doc_id_b"})
+
+
 def mentions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "mentions").select(name_of("term").alias("term"), file_of("fileid").alias("fileid"))
 
@@ -99,7 +105,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return cut(table(spark, d, "documents"), "doc_id", "text", limits(spark, d, "cut_")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes, "p4_documents": p4_documents, "p6_found": p6_found, "p6_terms": p6_terms, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_report": p8_report, "p8_report_whole": p8_report_whole, "p9_pieces": p9_pieces}
+QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes, "p4_documents": p4_documents, "p4_links": p4_links, "p6_found": p6_found, "p6_terms": p6_terms, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_report": p8_report, "p8_report_whole": p8_report_whole, "p9_pieces": p9_pieces}
 
 _TERMS = f"""m as (select {name_sql('term')} term, {file_sql('fileid')} f from mentions), c as (select * from m where term is not null and f is not null),
  t as (select term, count(*) n, count(distinct f) n_files, (select count(distinct f) from c) total from c group by 1),

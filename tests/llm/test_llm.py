@@ -73,6 +73,18 @@ def test_near_duplicates(spark, monkeypatch, chunk):
         assert (classes[i].class_key, classes[i].n_copies, classes[i].n_links) == (min(same), len(same) - 1, len(links))
 
 
+def test_near_duplicates_class_links(spark):
+    texts = fixture(random.Random(8))
+    found = NearDuplicates(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t", k=3, t=0.7)
+    least = {}
+    for i, t in enumerate(texts):
+        least.setdefault(frozenset(word_sets(t, 3)), i)
+    least.pop(frozenset(), None)
+    like = {(i, j): len(s & z) / len(s | z) for s, i in least.items() for z, j in least.items() if i < j}
+    got = {(r.class_a, r.class_b): r.similarity for r in found.class_links().collect()}
+    assert got and got == pytest.approx({p: s for p, s in like.items() if s >= 0.7 - 1e-12})
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "id long, t string")
     found = NearDuplicates(df, "id", "t")
