@@ -427,6 +427,38 @@ def grf_levenshtein_suggest(spark, d):
     return table(spark, d, "nation").filter(dist <= 4).select("n_name", dist.cast("long").alias("dist"))
 
 
+_SOURCE_WORDS = f"w as (select distinct {n('source')} s, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) x from documents where {n('source')} is not null), g as (select s, count(*) c from w group by 1)"
+
+
+@query(f"with {_SOURCE_WORDS}, o as (select a.s a, b.s b, count(*) k from w a join w b on a.x = b.x and a.s < b.s group by 1, 2) select a, b, round(k / (p.c + q.c - k), 6) jaccard from o join g p on p.s = a join g q on q.s = b")
+def grf_similar_sources(spark, d):
+    """Jaccard of the word sets of all documents of a source; a word is in at most as many sets as there are sources."""
+    w = table(spark, d, "documents").select(name_of("source").alias("s"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("x")).filter("s is not null").distinct()
+    size = w.groupBy("s").agg(F.count("*").alias("c"))
+    both = w.select(F.col("s").alias("a"), "x").join(w.select(F.col("s").alias("b"), "x"), "x").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    j = both.join(size.select(F.col("s").alias("a"), F.col("c").alias("ca")), "a").join(size.select(F.col("s").alias("b"), F.col("c").alias("cb")), "b")
+    return j.select("a", "b", F.round(F.col("n") / (F.col("ca") + F.col("cb") - F.col("n")), 6).alias("jaccard"))
+
+
+_TERM_FILES = f"m as (select distinct {n('term')} term, {f('fileid')} x from mentions where {n('term')} is not null and {f('fileid')} is not null), g as (select term, count(*) c from m group by 1)"
+
+
+@query(f"with {_TERM_FILES}, o as (select a.term sub, b.term sup, count(*) k from m a join m b on a.x = b.x and a.term <> b.term group by 1, 2) select sub, sup from o join g on g.term = sub where k = c")
+def grf_subset_terms(spark, d):
+    """Terms whose files all mention another term too; the join is by file, so it grows with the files."""
+    m = table(spark, d, "mentions").select(name_of("term").alias("term"), file_of("fileid").alias("x")).dropna().distinct()
+    size = m.groupBy(F.col("term").alias("sub")).agg(F.count("*").alias("c"))
+    both = m.select(F.col("term").alias("sub"), "x").join(m.select(F.col("term").alias("sup"), "x"), "x").filter("sub != sup").groupBy("sub", "sup").agg(F.count("*").alias("n"))
+    return both.join(size, "sub").filter("n = c").select("sub", "sup")
+
+
+@query(f"select distinct {n('term')} term, levenshtein({n('term')}, 'dwh.calender_dim') dist from mentions where levenshtein({n('term')}, 'dwh.calender_dim') <= 8")
+def grf_suggest_terms(spark, d):
+    """Distinct terms near a misspelt one."""
+    dist = F.levenshtein("term", F.lit("dwh.calender_dim"))
+    return table(spark, d, "mentions").select(name_of("term").alias("term")).distinct().filter(dist <= 8).select("term", dist.cast("long").alias("dist"))
+
+
 @query(f"select fileid, case when ok = n then 'converted' when ok > 0 then 'partial' else 'not converted' end status, n n_blocks, ok n_parsed from (select {f('fileid')} fileid, count(*) n, count(*) filter ({n('status')} = 'parsed') ok from (select distinct fileid, block_key, status from blocks) group by 1)")
 def grf_conversion_coverage(spark, d):
     b = table(spark, d, "blocks").select("fileid", "block_key", "status").distinct().select(file_of("fileid").alias("fileid"), name_of("status").alias("status"))

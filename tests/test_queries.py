@@ -26,6 +26,14 @@ def test_query(spark, con, name):
         assert df.count() >= 0
 
 
+def test_set_queries_tell_sets_apart(spark):
+    q = entry.queries()
+    assert len({r.jaccard for r in q["grf_similar_sources"](spark, DIR).collect()}) > 5
+    subs = {tuple(r) for r in q["grf_subset_terms"](spark, DIR).collect()}
+    assert subs and any((b, a) not in subs for a, b in subs)
+    assert len({r.dist for r in q["grf_suggest_terms"](spark, DIR).collect()}) > 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
