@@ -526,6 +526,12 @@ def src_synthetic_edges(spark, d):
     return synthetic_edges(spark, 300, 100).groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
+@query("select 'BLOCK_FLOW' edge_type, 2400000::bigint n union all select 'FILE_FLOW', 600000")
+def src_synthetic_edges_scale(spark, d):
+    """At the size of the reference's load test: 30,000 files of 100 edges."""
+    return synthetic_edges(spark, 30_000, 100).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
 @query("select c_custkey, coalesce(o.p, c_acctbal) bal from customer left join (select o_custkey, max(o_totalprice) p from orders where o_totalprice > 300000 group by 1) o on o_custkey = c_custkey")
 def jon_update_step(spark, d):
     """UPDATE: master rows with the transaction's value where it has one."""

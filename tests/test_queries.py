@@ -34,6 +34,10 @@ def test_set_queries_tell_sets_apart(spark):
     assert len({r.dist for r in q["grf_suggest_terms"](spark, DIR).collect()}) > 1
 
 
+def test_synthetic_edges_scale(spark):
+    assert sum(r.n for r in entry.queries()["src_synthetic_edges_scale"](spark, DIR).collect()) == 3_000_000
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
