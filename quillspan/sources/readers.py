@@ -37,7 +37,7 @@ def listing(lines: DataFrame, order: str, text: str) -> DataFrame:
     tagged = lines.filter(F.trim(text) != "").withColumn("__t", F.when(title != "", title)).withColumn("title", F.last("__t", ignorenulls=True).over(w)).withColumn("__before", F.lag("__t").over(w))
     rows = tagged.filter(F.col("__t").isNull() & F.col("__before").isNull() & F.col("title").isNotNull())
     parts = F.split(F.trim(text), r"\s+")
-    return rows.select("title", parts[0].try_cast("int").alias("obs"), F.slice(parts, 2, 1000).alias("values"))
+    return rows.select("title", parts[0].try_cast("int").alias("obs"), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))).alias("values"))
 
 
 def estate(spark: SparkSession, folder: str, known: DataFrame | None = None, version: str = "1") -> DataFrame:

@@ -125,6 +125,13 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [tuple(r) for r in readers.part_files(spark, str(tmp_path / "p"), ["a", "b"]).collect()] == [("1", "2")]
 
 
+def test_listing_of_many_columns(spark):
+    wide = " ".join(f"v{i}" for i in range(1500))
+    lines = spark.createDataFrame(list(enumerate(["Table: work.w", "obs a b", f"1 {wide}", "2"])), "i int, line string")
+    got = {r.obs: list(r["values"]) for r in readers.listing(lines, "i", "line").collect()}
+    assert got == {1: wide.split(), 2: []}
+
+
 def test_estate(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "X.sas").write_text("data a; run;")
