@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from quillspan.llm import neardup
-from quillspan.llm.cutting import cut
+from quillspan.llm.cutting import cut, cut_text, read_tree
 from quillspan.llm.mixing import Mix, cheapest_flow, settle
 from quillspan.llm.neardup import NearDuplicates
 from quillspan.llm.packing import pack, plan
@@ -286,3 +286,51 @@ def test_cut_prefers_structure(spark):
     text = "".join(f"# Head {i}\n\n" + "A line of some plain words.\n" * 8 + "\n" for i in range(6))
     out = cut(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t", [("x", 130, 0)]).collect()
     assert all(r.text.startswith("# Head") for r in out)
+
+
+def outline(node):
+    """The tree as nested lists: kinds with levels, and the numbers of leaves."""
+    return [node.kind if node.kind not in ("section", "item") else f"{node.kind} {node.level}", *[k if isinstance(k, int) else outline(k) for k in node.kids]]
+
+
+def test_read_tree():
+    text = (
+        "intro line\n\n# One\n\n## Two\npara a\npara b\n\n- item\n  more\n  - inner\n- last\n\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n\n```sas\ndata a;\n\nrun;\n```\n"
+        "Under\n\nTitle\n=====\n<div>\n<p>x</p>\ny\n</div>\n\n## Empty\n\n## End\n"
+    )
+    root, starts, lines = read_tree(text)
+    assert outline(root) == [
+        "text", ["paragraph", 0],
+        ["section 1", ["section 2", ["paragraph", 1, 2], ["list", ["item 0", 3, 4, ["item 2", 5]], ["item 0", 6]], ["table", 7, 8], ["fence", ["paragraph", 9], ["paragraph", 10, 11]], ["paragraph", 12]]],
+        ["section 1", ["element", 13, ["element", 14], ["paragraph", 15], 16]],
+    ]
+    begins = [text[a : a + 5] for a in starts]
+    assert begins[0] == "intro" and begins[1] == "# One" and begins[7] == "| a |" and begins[9] == "```sa" and begins[13] == "Title"
+    assert text[lines[1] :].startswith("para a") and text[lines[7] :].startswith("| 1") and starts == sorted(starts)
+    assert outline(read_tree("# a\n# b")[0]) == ["text", ["section 1", 0]] and read_tree("# a\n# b")[1] == [0]
+    deep = "".join("<div>\n" for _ in range(3000)) + "x " * 3000
+    assert cut_text(deep, 64, 8)
+
+
+def test_cut_small_limits_and_headings():
+    rnd = random.Random(12)
+    tok = tokens()
+    for limit, overlap in ((4, 1), (6, 2), (40, 8)):
+        for _ in range(40):
+            t = "".join(rnd.choice("ab表é😀 \n\n  .#|-1") for _ in range(rnd.randrange(5, 500)))
+            at = 0
+            for _, a, z, start, end, shared, n, piece in cut_text(t, limit, overlap):
+                assert piece == t[a:z] and n == len(tok.encode(piece)) <= limit and start + shared == at < end
+                at = end
+    for _ in range(30):
+        parts = []
+        for i in range(rnd.randrange(2, 12)):
+            parts.append("#" * rnd.randint(1, 3) + f" Heading {i}\n\n")
+            parts.append("".join("- " * rnd.randint(0, 1) + "some words of a line " * rnd.randint(1, 9) + "\n" * rnd.randint(1, 2) for _ in range(rnd.randrange(0, 12))))
+        text = "".join(parts) + "the last words\n"
+        rows = cut_text(text, 60, 6)
+        for (*_, start, end, shared, _, _), (*_, end_b, _, _, _) in zip(rows, rows[1:]):
+            assert end_b - start > 60  # no two neighbours fit into one
+        for _, a, z, _, _, _, _, piece in rows:
+            last = piece.rstrip().splitlines()[-1] if piece.strip() else ""
+            assert z == len(text) or not last.startswith("#")  # a heading goes with what follows it
