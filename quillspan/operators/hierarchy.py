@@ -18,7 +18,7 @@ nodes point to one node, the probing side's partition is split by Spark's skew h
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.session import Scratch
@@ -48,9 +48,9 @@ def _double(scratch: Scratch, state: DataFrame, label: str) -> DataFrame:
     """
     before = None
     while True:
-        new = scratch.write(_step(_step(state)), label)
+        new, left = scratch.counted(_step(_step(state)), F.col("state") == WALKING, label)
         scratch.drop(state)
-        state, left = new, new.filter(F.col("state") == WALKING).count()
+        state = new
         if left in (0, before):
             return state
         before = left
@@ -100,8 +100,9 @@ def hierarchy(links: DataFrame, scope: str, child: str, parent: str, every: int
 def _loops(scratch: Scratch, nodes: DataFrame, lost: DataFrame) -> DataFrame | None:
     """Tells the nodes on loops from those below, among nodes that reach no root."""
     keys = lost.select(F.col("g").alias("xg"), F.col("v").alias("xv"))
-    f = scratch.write(nodes.join(keys, F.col("g").eqNullSafe(F.col("xg")) & (F.col("v") == F.col("xv")), "left_semi").select("g", "v", F.col("p").alias("cur")), "loop")
-    if f.isEmpty():
+    mine = nodes.join(keys, F.col("g").eqNullSafe(F.col("xg")) & (F.col("v") == F.col("xv")), "left_semi").select("g", "v", F.col("p").alias("cur"))
+    f, n = scratch.counted(mine, F.lit(True), "loop")
+    if not n:
         return None
     first, size = f, None
 
@@ -124,3 +125,38 @@ def below(tree: DataFrame, scope: str) -> DataFrame:
     """All descendants: one row per ancestor and node below it, with their distance, from ``hierarchy(..., with_path=True)``."""
     up = tree.filter("path is not null").select(scope, "node", "depth", F.posexplode("path").alias("at", "ancestor"))
     return up.filter(F.col("at") < F.col("depth")).select(scope, "ancestor", F.col("node").alias("descendant"), (F.col("depth") - F.col("at")).alias("distance"))
+
+
+#: Siblings are cut into so many groups by the hash of their names, so that no window holds all children of a node.
+SIBLING_GROUPS = 1024
+
+
+def intervals(links: DataFrame, scope: str, child: str, parent: str) -> DataFrame:
+    """All descendants in linear size: one row per scope and node of a tree, with ``enter`` and ``leave``.
+
+    A node lies below another exactly if they have the same scope and root and its ``enter`` lies between the other's ``enter`` and
+    ``leave``; (leave - enter - 1) / 2 nodes lie below a node. The numbers are the places of the walk around each tree that goes down to
+    a node and up from it. The walk is a list, so ``hierarchy`` numbers it, whatever the depth of the tree. Siblings are visited in the
+    order of the hash of their names, in groups that are linked end to end. Nodes in and below loops have no rows; else as ``hierarchy``.
+    """
+    scratch = Scratch(links.sparkSession, "intervals")
+    placed = hierarchy(links, scope, child, parent).filter("depth >= 0").select(F.col(scope).alias("g"), F.col("node").alias("v"), "root")
+    up = _parents(links, scope, child, parent).select(F.col("g").alias("pg"), F.col("v").alias("pv"), "p")
+    nodes = scratch.write(placed.join(up, F.col("g").eqNullSafe(F.col("pg")) & (F.col("v") == F.col("pv"))).select("g", "v", "p", "root"), "nodes")
+    kids = nodes.filter("p is not null").select("g", "p", "v", F.xxhash64("v").alias("h")).withColumn("c", F.pmod("h", F.lit(SIBLING_GROUPS)))
+    inside = Window.partitionBy("g", "p", "c").orderBy("h", "v")
+    near = kids.select("g", "p", "c", "v", F.lead("v").over(inside).alias("next"))
+    ends = kids.groupBy("g", "p", "c").agg(F.min_by("v", F.struct("h", "v")).alias("head"))
+    ends = ends.select(F.col("g").alias("eg"), F.col("p").alias("ep"), F.col("c").alias("ec"), F.lead("head").over(Window.partitionBy("g", "p").orderBy("c")).alias("after"))
+    near = near.join(ends, F.col("g").eqNullSafe(F.col("eg")) & (F.col("p") == F.col("ep")) & (F.col("c") == F.col("ec"))).select("g", "p", "v", F.coalesce("next", "after").alias("next"))
+    first = kids.groupBy("g", "p").agg(F.min_by("v", F.struct("c", "h", "v")).alias("first")).select(F.col("g").alias("fg"), F.col("p").alias("fv"), "first")
+    down = lambda c: F.concat(F.lit("d"), c)
+    rise = lambda c: F.concat(F.lit("u"), c)
+    goes = nodes.join(first, F.col("g").eqNullSafe(F.col("fg")) & (F.col("v") == F.col("fv")), "left").select("g", down("v").alias("a"), F.coalesce(down("first"), rise("v")).alias("b"))
+    back = near.select("g", rise("v").alias("a"), F.coalesce(down("next"), rise("p")).alias("b"))
+    walk = hierarchy(goes.union(back), "g", "a", "b").select("g", F.substring("node", 1, 1).alias("way"), F.expr("substring(node, 2)").alias("v"), "depth")
+    places = walk.groupBy("g", "v").agg(F.max(F.when(F.col("way") == "d", F.col("depth"))).alias("d"), F.max(F.when(F.col("way") == "u", F.col("depth"))).alias("u"))
+    top = places.select(F.col("g").alias("tg"), F.col("v").alias("tv"), F.col("d").alias("td"))
+    out = nodes.select("g", "v", "root").join(places.withColumnsRenamed({"g": "xg", "v": "xv"}), F.col("g").eqNullSafe(F.col("xg")) & (F.col("v") == F.col("xv")))
+    out = out.join(top, F.col("g").eqNullSafe(F.col("tg")) & (F.col("root") == F.col("tv")))
+    return out.select(F.col("g").alias(scope), F.col("v").alias("node"), "root", (F.col("td") - F.col("d")).alias("enter"), (F.col("td") - F.col("u")).alias("leave"))

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from quillspan.names import file_of, file_sql, name_of, name_sql
 from quillspan.operators.changefeed import DELETE, PATCH, PUT, MergeStore, latest_copy
-from quillspan.operators.hierarchy import below, hierarchy
+from quillspan.operators.hierarchy import below, hierarchy, intervals
 from quillspan.operators.orphans import broken_references
 from quillspan.operators.snapshots import snapshot_changes
-from quillspan.session import Scratch, table
+from quillspan.session import table
 
 
 def edits(spark: SparkSession, d: str) -> DataFrame:
     """human_edits with compared names, one row per edit_id (its latest delivery), and the edit's time ``at``."""
     raw = table(spark, d, "human_edits").select(
         "edit_id", "received_at", F.coalesce("edited_at", "received_at").alias("at"), name_of("action").alias("action"), name_of("src").alias("src"), name_of("dst").alias("dst"),
-        name_of("level").alias("level"), name_of("block_id").alias("block_id"), F.coalesce(file_of("fileid"), F.when(name_of("block_id").isNotNull(), file_of("src"))).alias("fileid"), "requires_check")
-    return latest_copy(raw, "edit_id", ["received_at"], ["at", "action", "src", "dst", "level", "block_id", "fileid", "requires_check"])
+        name_of("level").alias("level"), name_of("block_id").alias("block_id"), F.coalesce(file_of("fileid"), F.when(name_of("block_id").isNotNull(), file_of("src"))).alias("fileid"), file_of("fileid").alias("own_fileid"), "requires_check")
+    return latest_copy(raw, "edit_id", ["received_at"], ["at", "action", "src", "dst", "level", "block_id", "fileid", "own_fileid", "requires_check"])
 
 
 def broken(spark: SparkSession, d: str) -> DataFrame:
@@ -38,34 +38,47 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return broken(spark, d).select("edit_id", "ref_table", "state", "period")
 
 
+def p1_partial(spark: SparkSession, d: str) -> DataFrame:
+    """References of edits to blocks with partial match: what an edit says of (fileid, block_id) must occur together in some block."""
+    e = edits(spark, d).withColumn("fileid", F.col("own_fileid"))
+    blocks = table(spark, d, "blocks").select(file_of("fileid").alias("fileid"), name_of("block_id").alias("block_id"), "parsed_at")
+    found = broken_references(e, blocks, ["fileid", "block_id"], "partial", "at", "parsed_at")
+    return found.select("edit_id", "fileid", "block_id", "state")
+
+
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     """Broken references per referenced table, state and month, with how many carry requires_check."""
     return broken(spark, d).groupBy("ref_table", "state", "period").agg(F.count("*").alias("n_refs"), F.count_if("requires_check").alias("n_requires_check"))
 
 
-#: How many batches of arrival the feed is appended in.
-BATCHES = 6
+#: In how many deliveries of about equal size a feed that lies there as one table is appended; the result does not depend on it.
+DELIVERIES = 5
+
+
+def arrivals(feed: DataFrame, received: str, n: int) -> list[DataFrame]:
+    """The rows of a feed as they came, cut into n deliveries by the time they were received; rows without one come first."""
+    seconds = F.unix_micros(F.col(received).cast("timestamp"))
+    cuts = feed.agg(F.percentile_approx(seconds, [i / n for i in range(1, n)], 1000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    edges = list(zip([None, *cuts], [*cuts, None]))
+    at = lambda c: F.lit(c).cast("long")
+    out = []
+    for i, (lo, hi) in enumerate(edges):
+        inside = (seconds > at(lo) if lo is not None else F.lit(True)) & (seconds <= at(hi) if hi is not None else F.lit(True))
+        out.append(feed.filter(inside | seconds.isNull() if i == 0 else inside))
+    return out
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The flows that stand at the end, from a merge store to which the feed is appended in batches of arrival."""
-    raw = table(spark, d, "human_edits").select("edit_id", "received_at", F.coalesce("edited_at", "received_at").alias("at"), name_of("action").alias("action"), name_of("src").alias("src"), name_of("dst").alias("dst"), name_of("level").alias("level"))
-    raw = raw.withColumn("arrived", F.col("received_at"))
-    feed = latest_copy(raw, "edit_id", ["received_at"], ["arrived", "at", "action", "src", "dst", "level"])
-    op = F.when(F.col("action") == "add", PUT).when(F.col("action") == "reject", DELETE).when(F.col("action") == "correct", PATCH)
-    feed = feed.withColumn("op", op).filter("op is not null")
-    scratch = Scratch(spark, "feed")
-    ends = raw.agg(F.min("received_at").alias("a"), F.max("received_at").alias("b")).first()
-    width = max(1, int((ends.b - ends.a).total_seconds())) if ends.a else 1
-    start = F.lit(ends.a.isoformat() if ends.a else "1970-01-01").cast("timestamp_ntz")
-    batch = F.least(F.lit(BATCHES - 1), F.floor(F.timestamp_diff("SECOND", start, "arrived") * BATCHES / width))
-    where = scratch.path("batches")
-    feed.withColumn("batch", F.coalesce(batch, F.lit(0)).cast("int")).repartition("batch", F.pmod(F.xxhash64("edit_id"), F.lit(16))).write.partitionBy("batch").parquet(where)
-    batches = spark.read.schema(feed.schema.add("batch", "integer")).parquet(where)
-    store = MergeStore(spark, ["src", "dst", "level"], ["at", "edit_id"], "op", ["edit_id"])
-    for b in range(BATCHES):
-        store.append(batches.filter(F.col("batch") == b))
-    return store.read()
+    """The flows that stand at the end, from a merge store that takes the feed as it comes, repeated and amended deliveries included."""
+    feed = table(spark, d, "human_edits").select("edit_id", "received_at", F.coalesce("edited_at", "received_at").alias("at"), name_of("action").alias("action"), name_of("src").alias("src"), name_of("dst").alias("dst"), name_of("level").alias("level"))
+    feed = feed.withColumn("op", F.when(F.col("action") == "add", PUT).when(F.col("action") == "reject", DELETE).when(F.col("action") == "correct", PATCH))
+    store = MergeStore(spark, ["src", "dst", "level"], ["at", "edit_id"], "op", ["edit_id"], change=["edit_id"], version=["received_at"])
+    for delivery in arrivals(feed, "received_at", DELIVERIES):
+        store.append(delivery)
+    state = store.read()
+    store.release()
+    return state
 
 
 LINEAGE_KEYS = ["fileid", "source_canonical_name", "target_canonical_name"]
@@ -102,12 +115,18 @@ def p5_below(spark: SparkSession, d: str) -> DataFrame:
     return below(hierarchy(links(spark, d), "level", "dst", "src", with_path=True), "level")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_paths": p5_paths, "p5_below": p5_below}
+def p5_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """How many tables lie below each table, from the places at which a walk around its tree enters and leaves it."""
+    t = intervals(links(spark, d), "level", "dst", "src")
+    return t.select("level", F.col("node").alias("table_name"), F.floor((F.col("leave") - F.col("enter") - 1) / 2).alias("n_below"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_partial": p1_partial, "p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_paths": p5_paths, "p5_below": p5_below, "p5_intervals": p5_intervals}
 
 n, f = name_sql, file_sql
-_EDITS = f"""e as (select edit_id, tm, action, src, dst, level, block_id, fileid, requires_check from (
+_EDITS = f"""e as (select edit_id, tm, action, src, dst, level, block_id, fileid, own_fileid, requires_check from (
   select edit_id, coalesce(edited_at, received_at) tm, {n('action')} action, {n('src')} src, {n('dst')} dst, {n('level')} level, {n('block_id')} block_id,
-    coalesce({f('fileid')}, case when {n('block_id')} is not null then {f('src')} end) fileid, requires_check,
+    coalesce({f('fileid')}, case when {n('block_id')} is not null then {f('src')} end) fileid, {f('fileid')} own_fileid, requires_check,
     row_number() over (partition by edit_id order by received_at desc nulls last) rn from human_edits) where rn = 1)"""
 _BROKEN = f"""{_EDITS},
  fi as (select {f('fileid')} fileid, min(analyzed_at) t from files group by 1),
@@ -132,6 +151,12 @@ _TREE = f"""recursive l as (select distinct {n('level')} level, {n('src_table')}
 
 ORACLE = {
     "p1_found": f"with {_BROKEN} select edit_id, ref_table, state, strftime(tm, '%Y-%m') period from br where state is not null",
+    "p1_partial": f"""with {_EDITS}, bl as (select {f('fileid')} fileid, {n('block_id')} block_id, parsed_at from blocks),
+ c as (select edit_id, own_fileid fileid, block_id, tm from e where own_fileid is not null or block_id is not null),
+ m as (select distinct c.*, (select min(coalesce(parsed_at, timestamp '9999-01-01')) from bl where c.fileid = bl.fileid and c.block_id = bl.block_id) t from c where fileid is not null and block_id is not null
+  union all select distinct c.*, (select min(coalesce(parsed_at, timestamp '9999-01-01')) from bl where c.fileid = bl.fileid) t from c where block_id is null
+  union all select distinct c.*, (select min(coalesce(parsed_at, timestamp '9999-01-01')) from bl where c.block_id = bl.block_id) t from c where fileid is null)
+ select edit_id, fileid, block_id, case when t is null then 'missing' else 'late' end state from m where t is null or (t > tm and t < timestamp '9999-01-01')""",
     "p1_report": f"with {_BROKEN} select ref_table, state, strftime(tm, '%Y-%m') period, count(*) n_refs, count(*) filter (requires_check) n_requires_check from br where state is not null group by all",
     "p2_found": f"""with {_EDITS}, k as (select *, case action when 'add' then 1 when 'reject' then 1 when 'correct' then 2 end kind from e),
  a as (select src, dst, level, max(row(tm, edit_id)) s, arg_max(action, row(tm, edit_id)) act, arg_max(edit_id, row(tm, edit_id)) id from k where kind = 1 group by all),
@@ -144,6 +169,9 @@ ORACLE = {
  select level, v, '', case when (level, v) in (select level, v from onring) then -1 else -2 end from lost""",
     "p5_paths": f"""with {_TREE} select level, v table_name, root root_table, depth::int depth, path from w union all
  select level, v, '', case when (level, v) in (select level, v from onring) then -1 else -2 end, '' from lost""",
+    "p5_intervals": f"""with {_TREE}, b as (select level, p ancestor, v descendant from par where p is not null and (level, v) in (select level, v from w)
+   union all select b.level, par.p, b.descendant from b join par on par.level = b.level and par.v = b.ancestor where par.p is not null)
+ select w.level, w.v table_name, count(b.descendant) n_below from w left join b on b.level = w.level and b.ancestor = w.v group by all""",
     "p5_below": f"""with {_TREE}, b as (select level, p ancestor, v descendant, 1 distance from par where p is not null and (level, v) in (select level, v from w)
    union all select b.level, par.p, b.descendant, b.distance + 1 from b join par on par.level = b.level and par.v = b.ancestor where par.p is not null)
  select level, ancestor, descendant, distance::int distance from b""",

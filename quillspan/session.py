@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cpus: int | str = "*", memory: str = "8g", partitions: int | None = None) -> SparkSession:
@@ -51,13 +52,19 @@ class Scratch:
     """Tables of one operator run, written under the shared folder.
 
     A written table cuts the lineage and survives the loss of executors. ``drop`` removes a table that no later step reads, so that
-    iterative operators hold two rounds at a time.
+    iterative operators hold two rounds at a time. ``close`` removes the whole folder, once nothing reads the operator's result any
+    more; what is not closed by then goes when the session ends.
     """
 
+    _open: dict[str, SparkSession] = {}
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        if not Scratch._open:
+            atexit.register(close_scratch)
+        Scratch._open[self.root] = spark
 
     def path(self, label: str = "t") -> str:
         self._n += 1
@@ -70,15 +77,50 @@ class Scratch:
         out._scratch_path = where
         return out
 
+    def counted(self, df: DataFrame, what: Column, label: str = "t") -> tuple[DataFrame, int]:
+        """The written table and how many of its rows ``what`` holds for, counted by the job that writes."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count_if(what).alias("n")), label)
+        return out, seen.get["n"]
+
     def drop(self, df: DataFrame) -> None:
         where = getattr(df, "_scratch_path", None)
         if where:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(where)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self.remove(where)
+
+    def remove(self, where: str) -> None:
+        _remove(self.spark, where)
+
+    def close(self) -> None:
+        if Scratch._open.pop(self.root, None):
+            _remove(self.spark, self.root)
+
+
+def _remove(spark: SparkSession, where: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(where)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def close_scratch() -> None:
+    """Removes all folders that operators have left; their results cannot be read any more."""
+    for root, spark in list(Scratch._open.items()):
+        Scratch._open.pop(root)
+        try:
+            _remove(spark, root)
+        except Exception:  # the session has ended; its folder is its owner's to clear
+            return
+
+
+#: Input splits over which an input is left as it is; a smaller one would be a single task.
+SMALL_SPLIT = 0.25
 
 
 def spread(df: DataFrame, by: str) -> DataFrame:
-    """``df`` over at least as many tasks as there are cores, for stages in Python: a small file is one task otherwise. Larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores, by)
+    """``df`` over all cores, for stages in Python, if its input is less than a quarter of one input split and so one task.
+
+    The size is the optimizer's estimate, so no job runs, and what is shuffled is bounded by that quarter whatever the cluster.
+    """
+    spark = df.sparkSession
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism, by) if size < split * SMALL_SPLIT else df

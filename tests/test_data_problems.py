@@ -1,13 +1,17 @@
 """Orphans, change feeds, snapshots and hierarchies: against plain Python, with nulls, ties, repeats, empty tables and clashing columns."""
 
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.operators.changefeed import DELETE, PATCH, PUT, MergeStore, latest_copy
-from quillspan.operators.hierarchy import below, hierarchy
+from quillspan.operators.hierarchy import below, hierarchy, intervals
 from quillspan.operators.orphans import broken_references
 from quillspan.operators.snapshots import snapshot_changes
+from quillspan.plans import data_problems
+from quillspan.session import Scratch, spread
 
 
 def rows(df):
@@ -57,27 +61,81 @@ def test_merge_store(spark):
     ops = [PUT, DELETE, PATCH, "other", None]
     changes = [(rnd.choice([None, "", "a", "b", "hot", "hot", "hot", f"k{rnd.randrange(30)}"]), rnd.choice([None, *range(20)]), i, rnd.choice(ops), f"v{i}") for i in range(400)]
     want = replay(changes)
-    for fan_in in (1, 3, 9):
+    for fan_in in (2, 3, 9):
         rnd.shuffle(changes)
         store = MergeStore(spark, ["k"], ["t", "i"], "op", ["v"], buckets=3, fan_in=fan_in)
         for n in range(0, len(changes), 80):
             part = changes[n : n + 80] + rnd.sample(changes, 15)  # repeats, out of order
             store.append(spark.createDataFrame(part, "k string, t int, i int, op string, v string"))
         assert {r.k: r.v for r in store.read().collect()} == want
-        assert len(store.runs) <= fan_in
+        assert max(store.runs.values()) < fan_in or len(store.runs) == 1
+        store.compact()
+        assert sum(store.runs.values()) == 1 and {r.k: r.v for r in store.read().collect()} == want
+        store.close()
     empty = MergeStore(spark, ["k"], ["t", "i"], "op", ["v"], buckets=2)
     with pytest.raises(ValueError):
         empty.read()
     empty.append(spark.createDataFrame([], "k string, t int, i int, op string, v string"))
     assert empty.read().count() == 0
+    empty.close()
 
 
 def test_merge_reads_without_shuffle(spark):
-    store = MergeStore(spark, ["k"], ["t"], "op", ["v"], buckets=4)
-    for n in range(2):
+    store = MergeStore(spark, ["k"], ["t"], "op", ["v"], buckets=4, fan_in=3)
+    for n in range(5):
         store.append(spark.createDataFrame([("a", n, PUT, "x")], "k string, t int, op string, v string"))
+    assert store.runs == {0: 2, 1: 1}
     plan = store.read()._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+    store.close()
+
+
+FEED = "id string, got int, at int, k string, op string"
+
+
+def test_merge_store_takes_amendments(spark):
+    """The deliveries of a change in every order: only the latest counts, also where it moves the change to another key or takes it back."""
+    feed = [("e1", 1, 1, "A", PUT), ("e1", 1, 1, "A", PUT), ("e1", 5, 1, "B", PUT), ("e2", 2, 2, "A", PATCH), ("e3", 3, 9, "C", DELETE), ("e3", 4, 0, "C", DELETE), ("e4", 2, 5, "C", PUT),
+            ("e5", 1, 3, "D", PUT), ("e5", 6, 3, "D", "confirm"), (None, 1, 1, "E", PUT), (None, 1, 2, None, PUT), (None, None, 2, None, PUT)]
+    want = {("B", "e1"), ("C", "e4"), ("E", None), (None, None)}
+    rnd = random.Random(1)
+    for fan_in in (2, 4):
+        for last in range(3):
+            rnd.shuffle(feed)
+            store = MergeStore(spark, ["k"], ["at", "id"], "op", ["id"], change=["id"], version=["got"], buckets=2, fan_in=fan_in)
+            parts = [feed[i::5] for i in range(5)] if last else [[f for f in feed if f != ("e1", 5, 1, "B", PUT)], [("e1", 5, 1, "B", PUT)]]  # the amendment alone and last
+            for part in parts:
+                store.append(spark.createDataFrame(part, FEED))
+            got = [(r.k, r.id) for r in store.read().collect()]
+            assert len(got) == len(want) and set(got) == want
+            store.close()
+    assert not any(t.name.startswith("runs_") for t in spark.catalog.listTables())
+
+
+def test_merge_store_against_replay(spark):
+    rnd = random.Random(8)
+    feed = [(f"e{rnd.randrange(120)}", rnd.randrange(50), rnd.choice([None, *range(9)]), rnd.choice(["hot", "hot", None, "a", "b", "c"]), rnd.choice([PUT, PATCH, DELETE, "confirm", None])) for _ in range(400)]
+    feed = list({(i, got): (i, got, *more) for i, got, *more in feed}.values())
+    latest = {}
+    for i, got, *more in sorted(feed, key=lambda f: f[1]):
+        latest[i] = more
+    want = replay([(k, at, int(i[1:]), op, i) for i, (at, k, op) in latest.items()])
+    store = MergeStore(spark, ["k"], ["at", "no"], "op", ["id"], change=["id"], version=["got"], buckets=3, fan_in=2)
+    for n in range(0, len(feed), 60):
+        store.append(spark.createDataFrame(feed[n : n + 60] + rnd.sample(feed, 10), FEED).selectExpr("*", "cast(substring(id, 2) as int) as no", "1 as held", "2 as anchor"))
+    assert {r.k: r.id for r in store.read().collect()} == want
+    state = store.read()
+    store.release()
+    assert {r.k: r.id for r in state.collect()} == want  # readable without the catalog
+    assert not any(t.name.startswith("runs_") for t in spark.catalog.listTables())
+
+
+def test_arrivals(spark):
+    df = spark.sql("select id, if(id % 7 = 0, null, timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, int(id % 50))) as at from range(500)")
+    parts = data_problems.arrivals(df, "at", 4)
+    assert sorted(r.id for p in parts for r in p.select("id").collect()) == list(range(500))
+    assert len(parts) == 4 and min(p.count() for p in parts) > 50
+    assert [p.count() for p in data_problems.arrivals(df.limit(0), "at", 4)] == [0]
 
 
 def test_latest_copy(spark):
@@ -114,6 +172,11 @@ def test_snapshot_changes(spark):
     assert snapshot_changes(df.limit(0), ["k"], "snap", "at", ["v"]).count() == 0
 
 
+def test_snapshots_that_were_never_delivered(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (7, "a", "x"), (7, "c", "x"), (9, "a", "y"), (9, "b", "x")], "snap int, k string, v string").withColumn("at", F.lit(1))
+    assert rows(snapshot_changes(df, ["k"], "snap", "at", ["v"])) == sorted([(7, "b", "removed"), (7, "c", "added"), (9, "a", "changed"), (9, "b", "added"), (9, "c", "removed")], key=str)
+
+
 def tree(parent):
     out = {}
     for v in parent:
@@ -153,3 +216,39 @@ def test_hierarchy_below_and_empty(spark):
     df = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "b")], "v string, p string").selectExpr("'x' as g", "v", "p")
     assert rows(below(hierarchy(df, "g", "v", "p", with_path=True), "g")) == [("x", "a", "b", 1), ("x", "a", "c", 2), ("x", "a", "d", 2), ("x", "b", "c", 1), ("x", "b", "d", 1)]
     assert hierarchy(df.limit(0), "g", "v", "p").count() == 0
+
+
+def test_intervals(spark):
+    rnd = random.Random(4)
+    parent = {"n0": None, **{f"n{i}": rnd.choice([f"n{rnd.randrange(i)}", "n0", f"n{i - 1}"]) for i in range(1, 90)}, "other": None, "o1": "other", "self": "self", "below": "self"}
+    df = spark.createDataFrame([("x", v, p) for v, p in parent.items()] + [(None, "b", "a")], "g string, v string, p string")
+    got = {(r.g, r.node): r for r in intervals(df, "g", "v", "p").collect()}
+    assert {k[1] for k in got if k[0]} == set(parent) - {"self", "below"} and len(got) == len(parent)
+    above = {}
+    for v in parent:
+        x, above[v] = parent[v], set()
+        while x and x not in above[v]:
+            above[v].add(x)
+            x = parent[x]
+    for (g, v), r in got.items():
+        inside = {w for (h, w), o in got.items() if h == g and o.root == r.root and r.enter < o.enter < r.leave}
+        assert inside == ({w for w in parent if v in above[w]} - {"self", "below"} if g else {"b"} if v == "a" else set())
+        assert r.leave - r.enter == 2 * len(inside) + 1
+    assert intervals(df.limit(0), "g", "v", "p").count() == 0
+
+
+def test_scratch_is_closed(spark, tmp_path):
+    s = Scratch(spark, "t")
+    kept, n = s.counted(spark.range(10), F.col("id") > 6)
+    assert n == 3 and kept.count() == 10
+    where = s.root.removeprefix("file://")
+    assert os.path.isdir(where)
+    s.close()
+    assert not os.path.exists(where)
+
+
+def test_spread(spark):
+    df = Scratch(spark, "t").write(spark.createDataFrame([(1, "a")], "k int, t string").coalesce(1))
+    assert spread(df, "k").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    big = spark.range(0, 1 << 30, 1, 1)
+    assert spread(big, "id").rdd.getNumPartitions() == 1
