@@ -1,8 +1,8 @@
 """Mixing sources to target weights: min-cost flow over membership patterns.
 
-A text that occurs in several sources may be used for any of them. Texts are grouped by their membership pattern (the set of listed
-sources they occur in, a bit per source), so the flow network has one node per pattern and per source, at most 2 ** sources and few
-arcs, whatever the number of texts. A pattern with T tokens and cap m has m arcs of capacity T with costs 0, 1, ..., m - 1: the r-th
+A text that occurs in several sources may be used for any of them. Texts are grouped by their membership pattern (the sorted numbers of
+the listed sources they occur in), so the flow network has one node per source and per pattern that occurs and few arcs, whatever the
+number of texts. Sizes, quotas and flows are whole tokens. A pattern with T tokens and cap m has m arcs of capacity T with costs 0, 1, ..., m - 1: the r-th
 use of a text costs more than the one before (convex), so nothing is repeated while fresh text is left for the same quota. Each
 source's arc to the sink has its quota. The cheapest flow tells how many tokens of each pattern go to each source; the texts of a
 pattern, in a seeded order that knows nothing of their sizes, are then laid out pass by pass along that many tokens and cut at the
@@ -23,39 +23,39 @@ from quillspan.llm.running import running_total
 from quillspan.llm.tokens import DEFAULT, tokens
 from quillspan.session import Scratch, spread
 
-#: Sources a mix may list: patterns are at most 2 ** MOST_SOURCES.
-MOST_SOURCES = 16
+#: Sources a text occurs in, as sorted numbers.
+Pattern = tuple[int, ...]
 #: Texts that may make up for the error of a border lie within so many texts of mean size of it, on either side.
 REACH = 200
 
 
-def cheapest_flow(sizes: dict[int, int], caps: list[int], quotas: list[float]) -> tuple[dict[tuple[int, int], float], float]:
-    """Tokens of each (pattern, source) at least repetition cost, and the total. sizes: tokens by pattern, a bit mask of sources."""
+def cheapest_flow(sizes: dict[Pattern, int], caps: list[int], quotas: list[int]) -> tuple[dict[tuple[Pattern, int], int], int]:
+    """Tokens of each (pattern, source) at least repetition cost, and the total. sizes: tokens by pattern."""
     patterns = sorted(p for p in sizes if sizes[p] > 0)
     n = 2 + len(patterns) + len(quotas)
     to, cap, cost, out = [], [], [], [[] for _ in range(n)]
+    endless = sum(quotas) + 1
 
-    def arc(a: int, b: int, c: float, w: int) -> int:
+    def arc(a: int, b: int, c: int, w: int) -> int:
         out[a].append(len(to))
         out[b].append(len(to) + 1)
         to.extend((b, a))
-        cap.extend((c, 0.0))
+        cap.extend((c, 0))
         cost.extend((w, -w))
         return len(to) - 2
 
     first = 2 + len(patterns)
     into = {}
     for i, p in enumerate(patterns):
-        mine = [s for s in range(len(quotas)) if p >> s & 1]
-        for r in range(min(caps[s] for s in mine)):
-            arc(0, 2 + i, float(sizes[p]), r)
-        for s in mine:
-            into[p, s] = arc(2 + i, first + s, float("inf"), 0)
+        for r in range(min(caps[s] for s in p)):
+            arc(0, 2 + i, sizes[p], r)
+        for s in p:
+            into[p, s] = arc(2 + i, first + s, endless, 0)
     for s, q in enumerate(quotas):
         arc(first + s, 1, q, 0)
-    height, total, eps = [0.0] * n, 0.0, 1e-6
+    height, total, far = [0] * n, 0, 1 << 60
     while True:
-        dist, via = [float("inf")] * n, [-1] * n
+        dist, via = [far] * n, [-1] * n
         dist[0] = 0
         heap = [(0, 0)]
         while heap:
@@ -63,14 +63,14 @@ def cheapest_flow(sizes: dict[int, int], caps: list[int], quotas: list[float]) -
             if d > dist[a]:
                 continue
             for e in out[a]:
-                if cap[e] > eps and d + cost[e] + height[a] - height[to[e]] < dist[to[e]] - 1e-12:
+                if cap[e] > 0 and d + cost[e] + height[a] - height[to[e]] < dist[to[e]]:
                     dist[to[e]] = d + cost[e] + height[a] - height[to[e]]
                     via[to[e]] = e
                     heapq.heappush(heap, (dist[to[e]], to[e]))
         if via[1] < 0:
             break
         height = [h + min(d, dist[1]) for h, d in zip(height, dist)]
-        b, push = 1, float("inf")
+        b, push = 1, endless
         while b:
             push = min(push, cap[via[b]])
             b = to[via[b] ^ 1]
@@ -80,22 +80,32 @@ def cheapest_flow(sizes: dict[int, int], caps: list[int], quotas: list[float]) -
             cap[via[b] ^ 1] += push
             b = to[via[b] ^ 1]
         total += push
-    return {k: cap[e ^ 1] for k, e in into.items() if cap[e ^ 1] > eps}, total
+    return {k: cap[e ^ 1] for k, e in into.items() if cap[e ^ 1] > 0}, total
 
 
-def largest_total(sizes: dict[int, int], caps: list[int], shares: list[float]) -> float:
+def in_shares(total: int, shares: list[float]) -> list[int]:
+    """Whole tokens of each source at a total."""
+    return [round(q * total) for q in shares]
+
+
+def largest_total(sizes: dict[Pattern, int], caps: list[int], shares: list[float]) -> int:
     """The largest total at which every source that has any text can get its share (relative to those sources) in full."""
-    there = [s for s in range(len(shares)) if shares[s] > 0 and any(p >> s & 1 and n > 0 for p, n in sizes.items())]
+    there = [s for s in range(len(shares)) if shares[s] > 0 and any(s in p and n > 0 for p, n in sizes.items())]
     weight = sum(shares[s] for s in there)
     if not there:
-        return 0.0
+        return 0
     own = [shares[s] / weight if s in there else 0.0 for s in range(len(shares))]
-    low, high = 0.0, min(sum(n for p, n in sizes.items() if p >> s & 1) * caps[s] / own[s] for s in there)
-    if cheapest_flow(sizes, caps, [q * high for q in own])[1] >= high * (1 - 1e-9):
+
+    def fills(total: int) -> bool:
+        quotas = in_shares(total, own)
+        return cheapest_flow(sizes, caps, quotas)[1] == sum(quotas)
+
+    low, high = 0, int(min(sum(n for p, n in sizes.items() if s in p) * caps[s] / own[s] for s in there))
+    if fills(high):
         return high
-    for _ in range(40):
-        mid = (low + high) / 2
-        low, high = (mid, high) if cheapest_flow(sizes, caps, [q * mid for q in own])[1] >= mid * (1 - 1e-9) else (low, mid)
+    while high - low > max(1, low >> 30):
+        mid = (low + high) // 2
+        low, high = (mid, high) if fills(mid) else (low, mid)
     return low
 
 
@@ -161,7 +171,7 @@ class Mix:
                only are not used.
     targets    (source, share, cap) rows: share of the total in tokens, most uses of a text. A text of several sources is used at
                most as often as the least of their caps says, over all sources together.
-    total      tokens wanted. None: the largest total at which every source that has any text gets its share exactly; sources without
+    total      tokens wanted (rounded to whole ones). None: the largest total at which every source that has any text gets its share exactly; sources without
                any text stay at 0. With a total that some source cannot fill, the source gives all it may, and the report shows it.
     part       instead of total: the total as a multiple of the tokens of all texts of listed sources, each counted once.
 
@@ -174,14 +184,12 @@ class Mix:
     def __init__(self, rows: DataFrame, key: str, text: str, source: str, targets: list[tuple[str, float, int]], total: float | None = None, seed: int = 0, tokenizer: str = DEFAULT, part: float | None = None):
         if total is not None and part is not None:
             raise ValueError("a mix takes a total or a part, not both")
-        if len(targets) > MOST_SOURCES or len({t[0] for t in targets}) < len(targets):
-            raise ValueError(f"a mix lists at most {MOST_SOURCES} sources, each once")
+        if len({t[0] for t in targets}) < len(targets):
+            raise ValueError("a mix lists each source once")
         self.spark = rows.sparkSession
         self.targets = targets
         scratch = Scratch(self.spark, "mix")
-        bit = F.lit(0).cast("long")
-        for i, t in enumerate(targets):
-            bit = F.when(F.col(source) == t[0], F.lit(1 << i).cast("long")).otherwise(bit)
+        listed = F.broadcast(self.spark.createDataFrame([(t[0], i) for i, t in enumerate(targets)], "__source string, s int"))  # a row per target
         kind = rows.schema[key].dataType.simpleString()
 
         def count(batches):
@@ -192,49 +200,52 @@ class Mix:
                     if h not in known:
                         known[h] = tokens(tokenizer).count(x)
                     n.append(known[h])
-                yield pa.record_batch([b.column("key"), b.column("bit"), b.column("h0"), b.column("h1"), pa.array(n, pa.int64())], ["key", "bit", "h0", "h1", "n"])
+                yield pa.record_batch([b.column("key"), b.column("s"), b.column("h0"), b.column("h1"), pa.array(n, pa.int64())], ["key", "s", "h0", "h1", "n"])
 
-        texts = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), bit.alias("bit"), F.xxhash64(F.lit(1), text).alias("h0"), F.xxhash64(F.lit(2), text).alias("h1")).filter("bit > 0 and text is not null and text != ''")
-        counted = spread(texts, "key").mapInArrow(count, f"key {kind}, bit long, h0 long, h1 long, n long")
-        units = counted.groupBy("h0", "h1").agg(F.min("key").alias("key"), F.bit_or("bit").alias("pattern"), F.max("n").alias("n")).select("key", "pattern", "n")
+        texts = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).cast("string").alias("__source")).filter("text is not null and text != ''")
+        texts = texts.join(listed, "__source").select("key", "s", F.xxhash64(F.lit(1), "text").alias("h0"), F.xxhash64(F.lit(2), "text").alias("h1"), "text")
+        counted = spread(texts, "key").mapInArrow(count, f"key {kind}, s int, h0 long, h1 long, n long")
+        units = counted.groupBy("h0", "h1").agg(F.min("key").alias("key"), F.concat_ws(",", F.sort_array(F.collect_set("s"))).alias("pattern"), F.max("n").alias("n")).select("key", "pattern", "n")
         self.units = scratch.write(units.filter("n > 0"), "units")
-        totals = self.units.groupBy("pattern").agg(F.sum("n").alias("n"), F.avg("n").alias("mean")).collect()  # at most 2 ** MOST_SOURCES rows
-        sizes = {r.pattern: r.n for r in totals}
+        totals = self.units.groupBy("pattern").agg(F.sum("n").alias("n"), F.avg("n").alias("mean")).collect()  # a row per pattern that occurs
+        as_pattern = lambda text: tuple(map(int, text.split(",")))
+        sizes = {as_pattern(r.pattern): r.n for r in totals}
         caps, shares = [t[2] for t in targets], [t[1] for t in targets]
-        there = [any(p >> s & 1 for p in sizes) for s in range(len(targets))]
+        there = [any(s in p for p in sizes) for s in range(len(targets))]
         weight = sum(q for q, t in zip(shares, there) if t) or 1.0
         if part is not None:
             total = part * sum(sizes.values())
         if total is None:
             total = largest_total(sizes, caps, shares)
             shares = [q / weight if t else 0.0 for q, t in zip(shares, there)]
-        flow, _ = cheapest_flow(sizes, caps, [q * total for q in shares])
+        flow, _ = cheapest_flow(sizes, caps, in_shares(total, shares))
         lines = {}
         for p in sizes:
             mine = [(s, flow[p, s]) for s in range(len(targets)) if (p, s) in flow]
             if mine:
-                lines[p] = (sizes[p], min(caps[s] for s in range(len(targets)) if p >> s & 1), np.cumsum([f for _, f in mine]), [s for s, _ in mine])
+                lines[p] = (sizes[p], min(caps[s] for s in p), np.cumsum([float(f) for _, f in mine]), [s for s, _ in mine])
         order = scratch.write(running_total(self.units, ["pattern"], "key", "n", seed).select("key", "pattern", "n", "before"), "order")
-        around = self.spark.createDataFrame([(r.pattern, float(lo), float(hi)) for r in totals if r.pattern in lines for lo, hi in windows(r.n, lines[r.pattern][2], REACH * r.mean)], "p long, lo double, hi double")
-        near: dict[int, list[tuple[int, int]]] = {}
+        around = self.spark.createDataFrame([(r.pattern, float(lo), float(hi)) for r in totals if as_pattern(r.pattern) in lines for lo, hi in windows(r.n, lines[as_pattern(r.pattern)][2], REACH * r.mean)], "p string, lo double, hi double")
+        near: dict[Pattern, list[tuple[int, int]]] = {}
         # as many rows as lie in the windows, some REACH on either side of each border
         for r in order.join(F.broadcast(around), F.expr("pattern = p and before < hi and before + n > lo")).select("pattern", "before", "n").distinct().collect():
-            near.setdefault(r.pattern, []).append((r.before, r.n))
+            near.setdefault(as_pattern(r.pattern), []).append((r.before, r.n))
         owed, moves = [0.0] * len(targets), {}
-        for p in sorted(lines, key=lambda p: (-p.bit_count(), p)):  # texts of one source come last and make up for the others
+        for p in sorted(lines, key=lambda p: (-len(p), p)):  # texts of one source come last and make up for the others
             size, cap, ends, sources = lines[p]
             moves[p] = np.array(sorted(settle(size, cap, ends, sources, near.get(p, []), owed)), np.int64).reshape(-1, 3)
-        held = self.spark.sparkContext.broadcast({p: (*lines[p], moves[p]) for p in lines})
+        held = self.spark.sparkContext.broadcast({",".join(map(str, p)): (*lines[p], moves[p]) for p in lines})  # a line per pattern that occurs
 
         def lay(batches):
             for b in batches:
                 key_at, src, times = [], [], []
-                pattern, n, before = (b.column(c).to_numpy() for c in ("pattern", "n", "before"))
-                for p in np.unique(pattern).tolist():
+                coded = b.column("pattern").dictionary_encode()
+                pattern, n, before = coded.indices.to_numpy(), b.column("n").to_numpy(), b.column("before").to_numpy()
+                for code, p in enumerate(coded.dictionary.to_pylist()):
                     if p not in held.value:
                         continue
                     size, cap, ends, sources, moved = held.value[p]
-                    rows_at = np.flatnonzero(pattern == p)
+                    rows_at = np.flatnonzero(pattern == code)
                     middle = before[rows_at] + n[rows_at] / 2
                     uses = np.zeros((len(rows_at), len(sources)), np.int64)
                     for r in range(cap):
@@ -263,5 +274,5 @@ class Mix:
 
         zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
         full = want.join(got, "source", "left").select("source", "target_share", "max_repeats", zero("n_texts"), zero("n_uses"), zero("n_tokens"))
-        # at most MOST_SOURCES rows
+        # a row per target
         return full.withColumn("share", F.coalesce(F.try_divide(F.col("n_tokens").cast("double"), F.sum("n_tokens").over(Window.partitionBy(F.lit(0)))), F.lit(0.0)))

@@ -10,7 +10,10 @@ the texts of the same size, in parallel:
 3. the others, from the largest down, go into the smallest gap they fit, as often as they fit; new containers are opened only when
    no gap is left for them.
 
-Steps 2 and 3 move whole groups of equal containers at a time, with the outcome of moving the texts one by one.
+Steps 2 and 3 move whole groups of equal containers at a time, with the outcome of moving the texts one by one. Each size makes at most
+three new groups, and a group holds fewer than sqrt(2 * capacity) different sizes, as these add up to the capacity at most; so a plan has
+fewer than 3 * capacity * sqrt(2 * capacity) places, whatever the number of texts. That bounds what is broadcast; in practice it is some
+three places per size.
 """
 
 from __future__ import annotations
@@ -134,21 +137,24 @@ def pack(sizes: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    kind = sizes.schema["key"].dataType.simpleString()
     items = sizes.select("key", "n_tokens", F.floor(F.col("n_tokens") / capacity).cast("long").alias("full"), (F.col("n_tokens") % capacity).alias("size"))
     rest = items.filter("size > 0").select("key", "size", "full", F.lit(1).cast("long").alias("one"))
     histogram = {r["size"]: r["n"] for r in rest.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most capacity - 1 rows
     places, n_containers = plan(histogram, capacity)
-    held = sizes.sparkSession.sparkContext.broadcast(places)
+    # items in the order of size and rank are numbered through, so a number tells both and is at most the number of items
+    known = np.array(sorted(histogram), np.int64)
+    below = np.cumsum([0, *(histogram[s] for s in sorted(histogram))])[:-1].astype(np.int64)
+    held = sizes.sparkSession.sparkContext.broadcast((places, known, below))
 
     def deal(batches):
-        p = held.value
-        code = p["size"] << 44 | p["first"]
+        p, known, below = held.value
+        number = below[np.searchsorted(known, p["size"])] + p["first"]
         for b in batches:
             size, rank = b.column("size").to_numpy(), b.column("before").to_numpy()
-            at = np.searchsorted(code, size << 44 | rank, "right") - 1
+            at = np.searchsorted(number, below[np.searchsorted(known, size)] + rank, "right") - 1
             yield pa.record_batch([pa.array(p["base"][at] + (rank - p["first"][at]) // p["each"][at]), b.column("key"), b.column("full"), b.column("size")], ["container", "key", "full", "size"])
 
-    kind = sizes.schema["key"].dataType.simpleString()
     ranked = running_total(rest, ["size"], "key", "one")
     dealt = ranked.select("key", "full", "size", "before").mapInArrow(deal, f"container long, key {kind}, full long, size long")
     dealt = dealt.select("container", "key", F.col("full").cast("int").alias("piece"), (F.col("full") * capacity).alias("start_token"), F.col("size").alias("n_tokens"))

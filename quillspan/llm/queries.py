@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.cutting import cut
-from quillspan.llm.mixing import MOST_SOURCES, Mix
+from quillspan.llm.mixing import Mix
 from quillspan.llm.neardup import NearDuplicates
 from quillspan.llm.packing import pack, sized
 from quillspan.llm.termfreq import marked_terms
@@ -76,8 +76,8 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, d: str) -> list[tuple[str, float, int]]:
-    """The listed sources; the table has one row per source and does not grow (more than MOST_SOURCES are refused)."""
-    return sorted((r.s, r.target_share, r.max_repeats) for r in table(spark, d, "mix_targets").select(name_of("source").alias("s"), "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect())
+    """The listed sources; the table has one row per source and does not grow."""
+    return sorted((r.s, r.target_share, r.max_repeats) for r in table(spark, d, "mix_targets").select(name_of("source").alias("s"), "target_share", "max_repeats").collect())
 
 
 def mix(spark: SparkSession, d: str, total: float | None = None, part: float | None = None) -> Mix:

@@ -10,7 +10,7 @@ import pytest
 
 from quillspan.llm import neardup
 from quillspan.llm.cutting import cut, cut_text, read_tree
-from quillspan.llm.mixing import Mix, cheapest_flow, settle
+from quillspan.llm.mixing import Mix, cheapest_flow, largest_total, settle
 from quillspan.llm.neardup import NearDuplicates
 from quillspan.llm.packing import pack, plan
 from quillspan.llm.running import running_total
@@ -172,10 +172,35 @@ def test_pack(spark):
     assert pack(spark.createDataFrame([], "key long, n_tokens long"), 64, Scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("capacity", [1 << 19, 1 << 24])
+def test_pack_large_capacities(spark, capacity):
+    rnd = random.Random(2)
+    data = [(i, rnd.choice([capacity, capacity - 1, capacity + 5, 3 * capacity + 1, capacity // 2, rnd.randrange(capacity)])) for i in range(300)]
+    out = pack(spark.createDataFrame(data, "key long, n_tokens long"), capacity, Scratch(spark, "t")).collect()
+    fill, got = Counter(), Counter()
+    for r in out:
+        if r.container is not None:
+            fill[r.container] += r.n_tokens
+        got[r.key] += r.n_tokens
+    assert got == Counter(dict(data)) and max(fill.values()) <= capacity and set(fill) == set(range(len(fill)))
+
+
 def test_flow_prefers_fresh_text():
-    flow, total = cheapest_flow({1: 10, 2: 100, 3: 50}, [3, 3], [45.0, 100.0])
-    assert total == pytest.approx(145)
-    assert flow[1, 0] == pytest.approx(10) and flow[3, 0] == pytest.approx(35)  # no repeats while shared text is fresh
+    flow, total = cheapest_flow({(0,): 10, (1,): 100, (0, 1): 50}, [3, 3], [45, 100])
+    assert total == 145
+    assert flow[(0,), 0] == 10 and flow[(0, 1), 0] == 35  # no repeats while shared text is fresh
+    huge = 10**14 + 7
+    flow, total = cheapest_flow({(0,): huge, (1,): 3}, [2, 2], [2 * huge, 5])
+    assert total == 2 * huge + 5 and flow[(0,), 0] == 2 * huge  # whole tokens, however many
+    assert largest_total({(0,): huge, (1,): huge // 4}, [1, 2], [0.5, 0.5]) == pytest.approx(huge, rel=1e-8)
+
+
+def test_mix_of_many_sources(spark):
+    names = [f"s{i:02d}" for i in range(40)]
+    data = [(i, f"row {i} alpha beta", names[i % 40]) for i in range(4000)] + [(9000 + i, f"row {i} alpha beta", names[39 - i % 40]) for i in range(0, 400, 3)]
+    m = Mix(spark.createDataFrame(data, "id long, text string, src string"), "id", "text", "src", [(n, 1 / 40, 1) for n in names])
+    shares = [r.share for r in m.report().collect()]
+    assert len(shares) == 40 and max(abs(x - 1 / 40) for x in shares) < 0.002
 
 
 def test_mix(spark):
@@ -215,7 +240,7 @@ def test_mix_takes_texts_of_all_sizes(spark):
     for r in m.report().collect():
         assert r.share == pytest.approx(0.5, abs=0.003)
     a = [r.n_tokens for r in m.uses.collect() if r.source == "a"]
-    all_a = [r.n for r in m.units.filter("pattern = 1").collect()]
+    all_a = [r.n for r in m.units.filter("pattern = '0'").collect()]
     big = lambda ns: sum(n for n in ns if n > 100) / sum(ns)
     assert sum(a) < 0.2 * sum(all_a) and big(a) == pytest.approx(big(all_a), abs=0.15)
 
