@@ -1,10 +1,10 @@
-"""Reading raw programs without executing them: statements, step blocks, tables read and written, macros, includes."""
+"""Reading raw programs without executing them: statements, step blocks, tables read and written, remarks."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from quillspan.lang.lex import Token, tokenize
@@ -126,142 +126,199 @@ def _option(s: Scanned, name: str) -> list[str]:
     return []
 
 
+#: Words that end a list of tables in a query.
+_CLAUSES = frozenset("where group having order union except intersect on using set values as select limit offset into".split())
+
+
+class _Query:
+    """The tables that one PROC SQL statement reads and writes, and whether all of it was understood."""
+
+    def __init__(self, toks: list[Token]):
+        self.toks, self.reads, self.writes, self.clear = toks, [], [], True
+        self.local: set[str] = set()
+        w = [t.low for t in toks]
+        self.i = 0
+        if w[:1] == ["create"] and w[1:2] in (["table"], ["view"]):
+            self.i = 2
+            self.write()
+        elif w[:2] in (["insert", "into"], ["delete", "from"]):
+            self.i = 2
+            self.write()
+        elif w[:1] == ["update"]:
+            self.i = 1
+            self.write()
+        elif w[:1] == ["drop"]:
+            self.i = len(w)
+        self.rest()
+        self.reads = [r for r in self.reads if r.removeprefix("work.") not in self.local]
+
+    def word(self, ahead: int = 0) -> str:
+        at = self.i + ahead
+        return self.toks[at].low if at < len(self.toks) and self.toks[at].kind != "string" else ""
+
+    def name(self) -> str | None:
+        """A table name at this place."""
+        if self.i >= len(self.toks) or self.toks[self.i].kind != "word":
+            return None
+        name = self.word()
+        self.i += 1
+        while self.word() == "." and self.i + 1 < len(self.toks) and self.toks[self.i + 1].kind == "word":
+            name += "." + self.word(1)
+            self.i += 2
+        return name if "." in name else f"work.{name}"
+
+    def write(self) -> None:
+        name = self.name()
+        if name:
+            self.writes.append(name)
+        else:
+            self.clear = False
+
+    def rest(self) -> None:
+        """Everything behind the head. ``lists`` says for each open bracket whether it holds a query, and whether its table list is open."""
+        lists = [{"query": True, "open": False}]
+        while self.i < len(self.toks):
+            w, level = self.word(), lists[-1]
+            if w == "(":
+                lists.append({"query": self.word(1) in ("select", "with"), "open": False})
+                self.i += 1
+            elif w == ")":
+                if len(lists) > 1:
+                    lists.pop()
+                self.i += 1
+            elif w == "with" or (w == "," and level.get("with")):
+                self.i += 1
+                self.with_name(level)
+            elif level["query"] and (w in ("from", "join") or (w == "," and level["open"])):
+                self.i += 1
+                level["open"] = True
+                self.source()
+            else:
+                if w in _CLAUSES:
+                    level["open"] = False
+                    level["with"] = False
+                self.i += 1
+
+    def with_name(self, level: dict) -> None:
+        if self.i < len(self.toks) and self.toks[self.i].kind == "word" and self.word(1) in ("as", "("):
+            self.local.add(self.word())
+            self.i += 2 if self.word(1) == "as" else 1
+            level["with"] = True
+        else:
+            self.clear = False
+
+    def source(self) -> None:
+        """One element of a table list: a name, or a bracket, which is read like everything else."""
+        if self.word() == "(":
+            return
+        name = self.name()
+        if name is None:
+            self.clear = False
+        else:
+            self.reads.append(name)
+
+
+#: Statements that show where a DATA step's rows come from when it reads no table.
+_INLINE = frozenset(("datalines", "cards", "infile", "input"))
+
+
 def _tables(b: Block) -> None:
     head = b.statements[0]
-    if any("&" in s.words or "%" in s.words for s in b.statements):
-        b.status = "PARTIAL"
+    clear = not any("&" in s.words or "%" in s.words for s in b.statements)
     if b.kind == "data":
         b.writes = [n for n in _datasets(head.tokens[1:]) if n != "work._null_"]
         for s in b.statements[1:]:
             if s.words[0] in ("set", "merge", "update", "modify"):
-                b.reads += _datasets(s.tokens[1:])
+                found = _datasets(s.tokens[1:])
+                clear = clear and bool(found)
+                b.reads += found
+            elif s.words[0] == "if" and "then" in s.words and s.words[s.words.index("then") + 1 :][:1] == ["set"]:
+                b.reads += _datasets(s.tokens[s.words.index("then") + 2 :])
         b.flows = [(r, w) for r in b.reads for w in b.writes]
     elif b.kind == "proc sql":
         for s in b.statements[1:]:
-            w = s.words
-            writes = _datasets(s.tokens[2:5])[:1] if w[:1] == ["create"] and w[1:2] in (["table"], ["view"]) else _datasets(s.tokens[2:5])[:1] if w[:2] == ["insert", "into"] else []
-            reads: list[str] = []
-            for i, x in enumerate(w):
-                if x in ("from", "join") and i + 1 < len(w) and w[i + 1] != "(":
-                    name = w[i + 1]
-                    if i + 3 < len(w) and w[i + 2] == ".":
-                        name += "." + w[i + 3]
-                    reads.append(name if "." in name else f"work.{name}")
-            b.writes += writes
-            b.reads += reads
-            b.flows += [(r, x) for r in reads for x in writes]
+            q = _Query(s.tokens)
+            clear = clear and q.clear
+            b.writes += q.writes
+            b.reads += q.reads
+            b.flows += [(r, x) for r in q.reads for x in q.writes]
     elif b.kind in ("proc sort", "proc transpose"):
         b.reads = _option(head, "data")
         b.writes = _option(head, "out") or (b.reads if b.kind == "proc sort" else [])
+        clear = clear and bool(b.reads)
         b.flows = [(r, w) for r in b.reads for w in b.writes]
     elif b.kind == "proc append":
-        b.reads, b.writes = _option(head, "data"), _option(head, "base")
+        b.reads, b.writes = _option(head, "data") or _option(head, "new"), _option(head, "base") or _option(head, "out")
+        clear = clear and bool(b.reads and b.writes)
         b.flows = [(r, w) for r in b.reads for w in b.writes]
     elif b.kind != "libname":
         b.reads, b.writes = _option(head, "data"), _option(head, "out")
         b.flows = [(r, w) for r in b.reads for w in b.writes]
         b.status = "NOT_MATCHED"
+    if not clear and b.status == "PARSED":
+        b.status = "PARTIAL"
     b.reads, b.writes, b.flows = (list(dict.fromkeys(x)) for x in (b.reads, b.writes, b.flows))
 
 
-# ---- macros and includes ----
-_MACRO = re.compile(r"%macro\s+(\w+)\s*(?:\(([^)]*)\))?\s*;(.*?)%mend\b[^;]*;", re.I | re.S)
-_LET = re.compile(r"%let\s+(\w+)\s*=\s*([^;]*);", re.I)
-_INCLUDE = re.compile(r"%include\s+['\"]([^'\"]+)['\"]\s*;", re.I)
-#: Most expansions of a text, and passes over it.
-EXPANSIONS, PASSES, INCLUDE_DEPTH = 50, 5, 5
+# ---- remarks ----
+def remarks(text: str) -> list[tuple[int, str]]:
+    """The remarks of a program: line and text, without their signs. A statement that begins with a star is one too."""
+    out, first = [], True
+    toks = tokenize(text, "sas")
+    i = 0
+    while i < len(toks):
+        t = toks[i]
+        if t.kind == "comment":
+            out.append((t.line, t.text[2:-2].strip()))
+        elif t.kind != "space":
+            if first and t.text == "*":
+                end = next((j for j in range(i, len(toks)) if toks[j].text == ";"), len(toks))
+                out.append((t.line, "".join(x.text for x in toks[i + 1 : end]).strip()))
+                i = end
+            first = i < len(toks) and toks[i].text == ";"
+        i += 1
+    return out
 
 
-@dataclass
-class Macro:
-    name: str
-    params: list[tuple[str, str | None]]
-    body: str
-
-
-def macros(text: str) -> tuple[dict[str, Macro], str]:
-    """Macro definitions by lower-case name, and the text without them."""
-    found = {}
-    for m in _MACRO.finditer(text):
-        params = [(p.split("=", 1)[0].strip().lower(), p.split("=", 1)[1].strip() if "=" in p else None) for p in (m[2] or "").split(",") if p.strip()]
-        found[m[1].lower()] = Macro(m[1].lower(), params, m[3])
-    return found, _MACRO.sub("", text)
-
-
-def substitute(text: str, values: dict[str, str]) -> str:
-    """&name references, in any case; a dot right behind is eaten; unknown ones stay."""
-    return re.sub(r"&(\w+)(\.?)", lambda m: values[m[1].lower()] if m[1].lower() in values else m[0], text)
-
-
-def split_args(text: str) -> list[str]:
-    """Arguments at commas outside brackets and strings."""
-    out, depth, quote, cur = [], 0, "", ""
-    for c in text:
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "'\"":
-            quote = c
-        elif c == "(":
-            depth += 1
-        elif c == ")":
-            depth -= 1
-        if c == "," and not depth and not quote:
-            out.append(cur.strip())
-            cur = ""
+def bare(text: str) -> str:
+    """The program without its remarks, white space squeezed; strings stay as they are, whatever they hold."""
+    out, first, i = [], True, 0
+    toks = tokenize(text, "sas")
+    while i < len(toks):
+        t = toks[i]
+        if t.kind in ("comment", "space"):
+            out.append(" ")
+        elif first and t.text == "*":
+            i = next((j for j in range(i, len(toks)) if toks[j].text == ";"), len(toks))
         else:
-            cur += c
-    return [*out, cur.strip()] if cur.strip() or out else []
-
-
-def expand(text: str, known: dict[str, Macro] | None = None) -> tuple[str, list[tuple[str, dict]]]:
-    """The text with macros and %LET values put in, and the calls made (name, arguments)."""
-    own, text = macros(text)
-    known = (known or {}) | own
-    lets = {m[1].lower(): m[2].strip() for m in _LET.finditer(text)}
-    text = substitute(_LET.sub("", text), lets)
-    calls: list[tuple[str, dict]] = []
-    for _ in range(PASSES):
-        m = next((m for m in re.finditer(r"%(\w+)", text) if m[1].lower() in known), None)
-        if m is None:
-            break
-        while m is not None and len(calls) < EXPANSIONS:
-            macro, end, args = known[m[1].lower()], m.end(), []
-            open_ = re.match(r"\s*\(", text[end:])
-            if open_:
-                start = end = end + open_.end()
-                depth = 1
-                while end < len(text) and depth:
-                    depth += (text[end] == "(") - (text[end] == ")")
-                    end += 1
-                args = split_args(text[start : end - 1])
-            values = {p: d or "" for p, d in macro.params}
-            place = 0
-            for a in args:
-                key = a.split("=", 1)[0].strip().lower()
-                if "=" in a and key in values:
-                    values[key] = a.split("=", 1)[1].strip()
-                elif place < len(macro.params):
-                    values[macro.params[place][0]] = a
-                    place += 1
-            if end < len(text) and text[end] == ";":
-                end += 1
-            calls.append((macro.name, values))
-            text = text[: m.start()] + substitute(macro.body, lets | values) + text[end:]
-            m = next((m for m in re.finditer(r"%(\w+)", text) if m[1].lower() in known), None)
-    return text, calls
-
-
-def include(text: str, read: Callable[[str], str | None], depth: int = INCLUDE_DEPTH) -> tuple[str, list[str]]:
-    """The text with included files put in, to a depth; and the files that are missing."""
-    missing: list[str] = []
-
-    def put(m: re.Match) -> str:
-        body = read(m[1])
-        if body is None or depth == 0:
-            missing.append(m[1])
-            return ""
-        inner, more = include(body, read, depth - 1)
-        missing.extend(more)
-        return inner
-
-    return _INCLUDE.sub(put, text), missing
+            out.append(t.text)
+            first = t.text == ";"
+        i += 1
+    joined: list[str] = []
+    for x in out:
+        if x != " " or (joined and joined[-1] != " "):
+            joined.append(x)
+    return "".join(joined).strip()
+
+
+def attach_remarks(text: str) -> list[tuple[int, str, str, int | None]]:
+    """Each remark with the statement it speaks of: (line, text, position, number of the statement from 0).
+
+    On a statement's lines a remark is ``inline``, on its last line ``trailing``. Between two statements it goes to the nearer one, and
+    to the one that follows where both are as near: ``leading`` in front of a statement, ``trailing`` behind one. In a text without
+    statements it is a ``prologue`` and has no statement.
+    """
+    parts = statements(text)
+    firsts, lasts = [s.first for s in parts], [s.last for s in parts]
+    out = []
+    for line, said in remarks(text):
+        at = bisect_left(lasts, line)  # the first statement that ends on the line or behind it
+        if at < len(parts) and firsts[at] <= line:
+            out.append((line, said, "trailing" if line == lasts[at] else "inline", at))
+        elif at == len(parts):
+            out.append((line, said, "trailing" if parts else "prologue", at - 1 if parts else None))
+        elif at == 0 or firsts[at] - line <= line - lasts[at - 1]:
+            out.append((line, said, "leading", at))
+        else:
+            out.append((line, said, "trailing", at - 1))
+    return out

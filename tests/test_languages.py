@@ -11,7 +11,8 @@ from quillspan.lang import ast as A
 from quillspan.lang.lex import tokenize
 from quillspan.lang.parser import LanguageError, parse_expr, parse_select
 from quillspan.lang.programs import parse_hive, parse_pig, parse_sas
-from quillspan.lang.scan import expand, include, macros, split_args, split_blocks, statements
+from quillspan.lang.macros import expand, include, macros, split_args, step_blocks
+from quillspan.lang.scan import attach_remarks, bare, split_blocks, statements
 from quillspan.plans.programs import Pig, run_hive, run_sas
 
 
@@ -150,13 +151,45 @@ def test_blocks_reads_and_writes():
 
 def test_macros():
     text = "%let lib = Work; %macro load(t, n=3); data &lib..&t; set s_&T(obs=&n.); run; %mend load; %load(alpha, n=5); %load(t=beta)"
-    out, calls = expand(text)
+    out, calls, _ = expand(text)
     assert "data Work.alpha; set s_alpha(obs=5); run;" in out and "data Work.beta; set s_beta(obs=3); run;" in out
     assert calls == [("load", {"t": "alpha", "n": "5"}), ("load", {"t": "beta", "n": "3"})]
     assert macros(text)[0]["load"].params == [("t", None), ("n", "3")]
     assert split_args("a, f(b, c), 'd,e'") == ["a", "f(b, c)", "'d,e'"]
     assert expand("x &unknown y")[0] == "x &unknown y"
-    assert len(expand("%macro r; %r %mend; %r")[1]) <= 50
+    loop = expand("%macro r; %r %mend; %r")
+    assert len(loop.calls) <= 50 and loop.cut and not expand(text).cut
+    left = expand("%macro m(t, u); data &t; set &u..x; run; %mend; %let u = outer; %m(a); %m(b, lib) data c; set '&u' \"&u.1\"; run; /* %m(z) */")
+    assert "data a; set &u..x;" in left.text and "data b; set lib.x;" in left.text and "'&u' \"outer1\"" in left.text and "%m(z)" in left.text
+    assert [b.status for b in split_blocks(left.text)] == ["PARTIAL", "PARSED", "PARTIAL"]
+    m = macros("%macro two(t); %macro inner; x %mend; data a; set &t; run; proc sort data=a out=b; by x; run; %mend two; rest")
+    assert m[1].strip() == "rest" and m[0]["two"].of_steps
+    assert [(b.id, b.reads, b.writes) for b in step_blocks(m[0]["two"], "lib.c", def_id="7:9", instance=2)] == [("7:9#2.1", ["lib.c"], ["work.a"]), ("7:9#2.2", ["work.a"], ["work.b"])]
+
+
+@pytest.mark.parametrize("text, reads, writes, status", [
+    ("proc sql; create table o as select * from a, lib.b as x, (select q from c where z in (select k from d)) s left join e on x.i = e.i where a.t > 1; quit;", ["work.a", "lib.b", "work.c", "work.d", "work.e"], ["work.o"], "PARSED"),
+    ("proc sql; create table o as with t as (select * from raw.s), u as (select * from t) select * from t, u; quit;", ["raw.s"], ["work.o"], "PARSED"),
+    ("proc sql; insert into lib.o select year(d), trim(both ' ' from n) from a; delete from b where 1; update c set x = 1; drop table z; quit;", ["work.a"], ["lib.o", "work.b", "work.c"], "PARSED"),
+    ("proc sql; create table o as select * from , b; quit;", ["work.b"], ["work.o"], "PARTIAL"),
+    ("proc append base=x new=y; run;", ["work.y"], ["work.x"], "PARSED"),
+    ("proc append base=x; run;", [], ["work.x"], "PARTIAL"),
+    ("data a; set ; run;", [], ["work.a"], "PARTIAL"),
+    ("data a; update m t; by k; run;", ["work.m", "work.t"], ["work.a"], "PARSED"),
+    ("data a; infile datalines dsd dlm='|' truncover; input x $; datalines;\n1|2\n;\nrun;", [], ["work.a"], "PARSED"),
+    ("data a; if _n_ = 1 then set one; set two; run;", ["work.one", "work.two"], ["work.a"], "PARSED"),
+])
+def test_tables_of_blocks(text, reads, writes, status):
+    (b,) = split_blocks(text)
+    assert (b.reads, b.writes, b.status) == (reads, writes, status)
+
+
+def test_remarks():
+    text = "/* top */\n\ndata a; /* in */\n  set b; /* end */\n/* after */\n\n\n/* before */\nx = '/* no */';\n* star remark;\nrun;"
+    assert [(line, said, pos) for line, said, pos, _ in attach_remarks(text)] == [(1, "top", "leading"), (3, "in", "trailing"), (4, "end", "trailing"), (5, "after", "trailing"), (8, "before", "leading"), (10, "star remark", "leading")]
+    assert bare(text) == "data a; set b; x = '/* no */'; run;"
+    assert attach_remarks("/* only */") == [(1, "only", "prologue", None)] and bare("") == "" and attach_remarks("") == []
+    assert attach_remarks("data\na /* mid */\nb;")[0][2] == "inline"
 
 
 def test_include():
