@@ -25,7 +25,11 @@ class Catalog:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     formats: dict[str, str] = field(default_factory=dict)
     libs: dict[str, str] = field(default_factory=dict)
+    #: The folder that relative paths of a program mean, and the one that tables a Hive script makes are stored in.
+    folder: str | None = None
+    warehouse: str | None = None
     messages: list[str] = field(default_factory=list)
+    _stored: set = field(default_factory=set)
 
     def key(self, name: str) -> str:
         name = name.lower()
@@ -37,6 +41,23 @@ class Catalog:
         self.tables.pop(self.key(name), None)
         self.tables[self.key(name)] = df
 
+    def located(self, path: str) -> str:
+        """A path of a program; a relative one lies in the folder, if that is set."""
+        whole = "://" in path or path.startswith("/")
+        return path if whole or self.folder is None else f"{self.folder.rstrip('/')}/{path}"
+
+    def store(self, name: str, df: DataFrame, append: bool = False) -> None:
+        """Puts a table that a script makes; where a warehouse is set, its rows are written there and read from there."""
+        if self.warehouse is None:
+            self.put(name, self.get(name).union(df) if append else df)
+            return
+        where = f"{self.warehouse.rstrip('/')}/{self.key(name)}"
+        if append and self.key(name) not in self._stored:
+            df, append = self.get(name).union(df), False
+        df.write.mode("append" if append else "overwrite").parquet(where)
+        self._stored.add(self.key(name))
+        self.put(name, self.spark.read.schema(df.schema).parquet(where))
+
     def raw(self, name: str) -> DataFrame:
         """The table with its hidden order. A missing one is an error message and an empty relation."""
         k = self.key(name)

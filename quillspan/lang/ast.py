@@ -86,6 +86,12 @@ class Scalar:
     query: object
 
 
+@dataclass(frozen=True)
+class Exists:
+    """Whether a SELECT has a row; it may refer to the query around it."""
+    query: object
+
+
 @dataclass(frozen=True)
 class Proj:
     expr: object
@@ -128,6 +134,8 @@ class Select:
     order: tuple = ()  # (expr, descending)
     limit: object = None
     offset: object = None
+    #: Named queries (name, Select) that this one may read.
+    named: tuple = ()
 
 
 AGGREGATES = {"sum", "avg", "mean", "max", "min", "count", "std", "stddev", "var", "variance", "nmiss", "n"}
@@ -140,7 +148,7 @@ def is_aggregate(e) -> bool:
 def walk(e):
     """The node and all below it; a nested SELECT is not entered."""
     yield e
-    if isinstance(e, (Scalar, Derived)):
+    if isinstance(e, (Scalar, Derived, Exists)):
         return
     if is_dataclass(e):
         for f in fields(e):
@@ -203,6 +211,8 @@ def _show(e, level: int) -> str:
             return f"cast({_show(a, 0)} as {to})"
         case Scalar(q):
             return f"({show(q)})"
+        case Exists(q):
+            return f"exists ({show(q)})"
         case Proj(x, alias):
             return _show(x, 0) + (f" as {alias}" if alias else "")
         case Table(name, alias):
@@ -223,7 +233,8 @@ def _show(e, level: int) -> str:
                 parts.append(f"having {show(e.having)}")
             return " ".join(parts)
         case Select():
-            parts = [" union all ".join(map(show, e.cores))]
+            parts = [f"with {', '.join(f'{n} as ({show(q)})' for n, q in e.named)}"] if e.named else []
+            parts.append(" union all ".join(map(show, e.cores)))
             if e.order:
                 parts.append("order by " + ", ".join(show(x) + (" desc" if d else "") for x, d in e.order))
             if e.limit is not None:

@@ -46,3 +46,27 @@ def by_merge(sources: list[tuple[DataFrame, str | None]], by: list[str], last_wi
         cols.append(pick.alias(c))
     flags = [F.when(F.col(f"__n{k}").isNotNull(), 1.0).otherwise(0.0).alias(f) for k, (_, f) in enumerate(sources) if f]
     return out.select(*by, *cols, *flags, F.struct(*by, "__at").alias(SEQ))
+
+
+def by_update(master: DataFrame, transactions: DataFrame, by: list[str]) -> DataFrame:
+    """The master with transactions applied: a value that is not missing replaces the master's; keys only in ``transactions`` are added.
+
+    Both have the hidden order column. Several transactions of a key apply in their order, so the last value that is not missing
+    stands; of several master rows of a key the first takes them, the others stay as they are. A missing key value is a value of its
+    own. Columns are those of the master, then those only transactions have. Transactions are combined before their shuffle, so a key
+    with a third of them costs one row per task; the master side of the join is split by Spark's skew handling.
+    """
+    for df in (master, transactions):
+        if SEQ not in df.columns:
+            raise ValueError("UPDATE needs tables with an order; put them with order=[...]")
+    mine = [c for c in master.columns if c not in by and c != SEQ]
+    theirs = [c for c in transactions.columns if c not in by and c != SEQ]
+    last = transactions.groupBy(*[F.col(k).alias(f"__t_{k}") for k in by]).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(SEQ))).alias(f"__v_{c}") for c in theirs], F.min(SEQ).alias("__at"))
+    first = master.groupBy(*[F.col(k).alias(f"__m_{k}") for k in by]).agg(F.min(SEQ).alias("__first"))
+    on = lambda side: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{side}_{k}")) for k in by])
+    led = master.join(first, on("m")).withColumn("__lead", F.col(SEQ) == F.col("__first"))
+    j = led.join(last, on("t") & F.col("__lead"), "full")
+    keys = [F.when(F.col("__lead").isNull(), F.col(f"__t_{k}")).otherwise(F.col(k)).alias(k) for k in by]
+    new = lambda c: F.coalesce(f"__v_{c}", c) if c in mine else F.col(f"__v_{c}")
+    values = [(new(c) if c in theirs else F.col(c)).alias(c) for c in [*mine, *[c for c in theirs if c not in mine]]]
+    return j.select(*keys, *values, F.struct(*keys, F.col(SEQ).alias("m"), F.col("__at").alias("t")).alias(SEQ))

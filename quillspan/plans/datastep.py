@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,7 @@ from quillspan.functions import sas
 from quillspan.lang import ast as A
 from quillspan.lang.parser import LanguageError
 from quillspan.lang.programs import Statement
-from quillspan.operators.bymerge import by_merge
+from quillspan.operators.bymerge import by_merge, by_update
 from quillspan.plans.lower import Lower, is_boolean
 
 
@@ -38,6 +38,30 @@ def read_lines(df: DataFrame, text: str, fields: list[tuple]) -> DataFrame:
     return df.filter(F.trim(text) != "").select(*[kinds[k](get(i), f).alias(n) for i, (n, k, f) in enumerate(fields)])
 
 
+def infile(spark, path: str, fields: list[tuple], opts: dict) -> DataFrame:
+    """Lines of a file, or of all files of a folder, as rows: values between delimiters, or between blanks where none is given.
+
+    With DSD a quoted value may hold the delimiter and two delimiters in a row are a missing value. A dot is missing, a short line is
+    padded with missing. Rows are ordered by file, by the place of their split in it, and by line.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    names = [n for n, _, _ in fields]
+    if opts["dsd"] or opts["dlm"]:
+        reader = spark.read.option("header", opts["firstobs"] == 2).option("enforceSchema", True).option("quote", '"' if opts["dsd"] else "\u0000")
+        text = ", ".join(f"`{n}` string" for n in names)
+        df = reader.csv(path, schema=text, sep=opts["dlm"] or ",").select(*[F.trim(F.col(f"`{n}`")).alias(n) for n in names], place.alias(SEQ))
+    else:
+        lines = spark.read.text(path).select("value", place.alias(SEQ))
+        if opts["firstobs"] == 2:
+            first = lines.select(F.col(f"{SEQ}.f").alias("__f"), F.col(SEQ).alias("__s")).groupBy("__f").agg(F.min("__s").alias("__s"))
+            lines = lines.join(first, (F.col(f"{SEQ}.f") == F.col("__f")) & (F.col(SEQ) == F.col("__s")), "left_anti")
+        parts = F.split(F.trim("value"), r"\s+")
+        df = lines.filter(F.trim("value") != "").select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)], SEQ)
+    read = {"char": lambda c, f: c, "date": sas.read_date, "num": lambda c, f: c.try_cast("double")}
+    value = lambda n: F.nullif(F.nullif(F.col(f"`{n}`"), F.lit(".")), F.lit(""))
+    return df.select(*[read[k](value(n), f).alias(n) for n, k, f in fields], SEQ)
+
+
 class DataStep:
     def __init__(self, catalog: Catalog):
         self.catalog = catalog
@@ -64,6 +88,15 @@ class DataStep:
             if st[0] == "datalines":
                 fields = next(b[1] for b in body if b[0] == "input")
                 df = datalines(self.catalog.spark, fields, st[1])
+            elif st[0] == "infile":
+                fields = next((b[1] for b in body if b[0] == "input"), None)
+                if fields is None:
+                    raise LanguageError(f"line {s.lines[0]}: INFILE needs INPUT")
+                df = infile(self.catalog.spark, self.catalog.located(st[1]), fields, st[2])
+            elif st[0] == "update":
+                if len(st[1]) != 2 or not by:
+                    raise LanguageError(f"line {s.lines[0]}: UPDATE takes a master, a transaction table and BY")
+                df = by_update(*[self.dataset(d) for d in st[1]], [b for b, _ in by])
             elif st[0] == "format":
                 self.catalog.formats |= st[1]
             elif st[0] == "set":
@@ -76,7 +109,7 @@ class DataStep:
             elif st[0] == "first_row":
                 lookups.append(self.dataset(st[1]))
         if df is None:
-            raise LanguageError(f"line {s.lines[0]}: a DATA step needs SET, MERGE or DATALINES")
+            raise LanguageError(f"line {s.lines[0]}: a DATA step needs SET, MERGE, UPDATE, INFILE or DATALINES")
         for look in lookups:
             df = attach_first_row(look, df)
         if by and any(b[0] == "set" for b in body):
@@ -164,9 +197,14 @@ class DataStep:
 
 
 def _stack(parts: list[DataFrame]) -> DataFrame:
-    """SET of several tables: one after the other, columns by name."""
+    """SET of several tables: one after the other, columns by name; each table keeps its own order behind its number."""
     if all(SEQ in p.columns for p in parts):
-        parts = [p.withColumn("__part", F.lit(i)).withColumn(SEQ, F.struct(F.lit(i).alias("part"), F.to_json(SEQ).alias("at"))).drop("__part") for i, p in enumerate(parts)]
+        kinds = [p.schema[SEQ].dataType for p in parts]
+
+        def order(i: int) -> Column:
+            return F.struct(F.lit(i).alias("part"), *[(F.col(SEQ) if j == i else F.lit(None).cast(k)).alias(f"at{j}") for j, k in enumerate(kinds)])
+
+        parts = [p.withColumn(SEQ, order(i)) for i, p in enumerate(parts)]
     else:
         parts = [visible(p) for p in parts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

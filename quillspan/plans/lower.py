@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from quillspan.functions import sas
 from quillspan.lang import ast as A
 from quillspan.lang.parser import LanguageError
 
-_LOGIC = (A.In, A.Between, A.IsNull)
+_LOGIC = (A.In, A.Between, A.IsNull, A.Exists)
 _COMPARISONS = {"=", "<>", "<", "<=", ">", ">="}
 
 
@@ -55,8 +56,8 @@ _ROWWISE = {"sum": lambda a: F.when(F.coalesce(*a).isNotNull(), sum((F.coalesce(
 class Lower:
     """Lowers expressions over one DataFrame."""
 
-    def __init__(self, dialect: str, df: DataFrame, scalar: Callable | None = None, known: dict | None = None, rowwise: bool = False, names: set | None = None):
-        self.dialect, self.df, self.scalar, self.known, self.rowwise, self.names = dialect, df, scalar, known or {}, rowwise, names
+    def __init__(self, dialect: str, df: DataFrame, plan: SelectPlan | None = None, known: dict | None = None, rowwise: bool = False, names: set | None = None):
+        self.dialect, self.df, self.plan, self.known, self.rowwise, self.names = dialect, df, plan, known or {}, rowwise, names
 
     def kind(self, c: Column) -> T.DataType:
         return self.df.select(c).schema[0].dataType
@@ -87,7 +88,9 @@ class Lower:
             case A.Pos(i):
                 return F.col(f"`{self.df.columns[i]}`")
             case A.Scalar(q):
-                return self.scalar(q)
+                return self.plan.scalar(q)
+            case A.Exists(q):
+                return self.plan.select(q).exists()  # of itself; one that refers to the query around it is a join
             case A.Bin("and", a, b):
                 return self.condition(a) & self.condition(b)
             case A.Bin("or", a, b):
@@ -173,27 +176,43 @@ class SelectPlan:
 
     def __init__(self, catalog: Catalog, dialect: str):
         self.catalog, self.dialect = catalog, dialect
+        #: Named queries in sight, innermost last.
+        self.named: list[dict[str, DataFrame]] = []
 
     def scalar(self, q: A.Select) -> Column:
-        """The first value of the first row, null where there is none; computed once, when the plan runs."""
+        """The first value of the first row, null where there is none; computed once, when the plan runs.
+
+        Where the rows have no order, more than one row is an error, as there is no first.
+        """
         df = self.select(q)
         if SEQ in df.columns:
             df = first_row(df)
-        elif len(q.cores) > 1 or q.cores[0].group or not any(A.is_aggregate(x) for p in q.cores[0].cols for x in A.walk(p)):
-            df = df.orderBy(*df.columns).limit(1)
         return df.select(visible(df).columns[0]).scalar()
 
+    def table(self, name: str) -> DataFrame:
+        for scope in reversed(self.named):
+            if name in scope:
+                return scope[name]
+        return self.catalog.raw(name)
+
     def source(self, s, ordered: bool = True) -> DataFrame:
-        df = self.catalog.raw(s.name) if isinstance(s, A.Table) else self.select(s.query)
+        df = self.table(s.name) if isinstance(s, A.Table) else self.select(s.query)
         if not ordered:
             df = visible(df)
         alias = s.alias or (s.name.rpartition(".")[2] if isinstance(s, A.Table) else None)
         return df.alias(alias) if alias else df
 
     def select(self, q: A.Select) -> DataFrame:
-        out = self.core(q.cores[0], q.order if len(q.cores) == 1 else ())
-        for c in q.cores[1:]:
-            out = visible(out).union(visible(self.core(c, ())))
+        scope: dict[str, DataFrame] = {}
+        self.named.append(scope)
+        try:
+            for name, inner in q.named:  # each sees those before it
+                scope[name] = self.select(inner)
+            out = self.core(q.cores[0], q.order if len(q.cores) == 1 else ())
+            for c in q.cores[1:]:
+                out = visible(out).union(visible(self.core(c, ())))
+        finally:
+            self.named.pop()
         if q.order and len(q.cores) > 1:
             low = Lower(self.dialect, out)
             out = out.orderBy(*[(self._bare(low, e)).desc() if d else self._bare(low, e).asc() for e, d in q.order])
@@ -207,17 +226,51 @@ class SelectPlan:
         return low.value(A.Col(e.name) if isinstance(e, A.Col) else e)
 
     def core(self, c: A.Core, order: tuple) -> DataFrame:
+        return self._selected(c, order, self.tables(c))
+
+    def tables(self, c: A.Core) -> DataFrame:
+        """The tables of FROM, joined."""
         df = self.source(c.source, ordered=not c.joins)
         for j in c.joins:
             right = self.source(j.source, ordered=False)
             if j.kind == "cross":
                 df = df.crossJoin(right)
             else:
-                both = Lower(self.dialect, df.join(right, how="cross"), self.scalar)  # for the types of the condition only
+                both = Lower(self.dialect, df.join(right, how="cross"), self)  # for the types of the condition only
                 df = df.join(right, both.condition(j.on), j.kind)
-        low = Lower(self.dialect, df, self.scalar)
-        if c.where is not None:
-            df = df.filter(low.condition(c.where))
+        return df
+
+    def having_rows(self, df: DataFrame, names: set, q: A.Select, negated: bool) -> DataFrame:
+        """Rows of ``df`` for which a query that refers to it has rows (or none): a semi (or anti) join on what it says of them."""
+        c = q.cores[0]
+        if len(q.cores) > 1 or c.group or c.having is not None or q.limit is not None or any(A.is_aggregate(x) for x in A.walk(c.cols)):
+            raise LanguageError(f"{self.dialect}: EXISTS that refers to the query around it takes a plain SELECT")
+        self.named.append({})
+        try:
+            for name, inner in q.named:
+                self.named[-1][name] = self.select(inner)
+            rows, own = visible(self.tables(c)), source_names(c)
+            parts = conjuncts_of(c.where)
+            tied = [p for p in parts if any(isinstance(x, A.Col) and x.rel in names - own for x in A.walk(p))]
+            for p in parts:
+                if p not in tied:
+                    rows = self.filtered(rows, own, p)
+            both = Lower(self.dialect, df.join(rows, how="cross"), self)  # for the types of the condition only
+            return df.join(rows, reduce(lambda a, b: a & b, [both.condition(p) for p in tied]), "left_anti" if negated else "left_semi")
+        finally:
+            self.named.pop()
+
+    def filtered(self, df: DataFrame, names: set, cond) -> DataFrame:
+        negated = isinstance(cond, A.Un) and cond.op == "not" and isinstance(cond.arg, A.Exists)
+        inner = cond.arg if negated else cond
+        if isinstance(inner, A.Exists) and refers_to(inner.query, names):
+            return self.having_rows(df, names, inner.query, negated)
+        return df.filter(Lower(self.dialect, df, self).condition(cond))
+
+    def _selected(self, c: A.Core, order: tuple, df: DataFrame) -> DataFrame:
+        for part in conjuncts_of(c.where):
+            df = self.filtered(df, source_names(c), part)
+        low = Lower(self.dialect, df, self)
         cols: list[A.Proj] = []
         for p in c.cols:
             if isinstance(p.expr, A.Star):
@@ -238,11 +291,12 @@ class SelectPlan:
             loose = list(dict.fromkeys(x for e in wanted for x in _outside(e, known) if isinstance(x, A.Col)))
             if loose and self.dialect != "sas":
                 raise LanguageError(f"{self.dialect}: {A.show(loose[0])} is neither grouped nor aggregated")
-            # a plain column beside aggregates takes the group's first row
-            first = [(F.min_by(low.value(x), SEQ) if SEQ in df.columns else F.min(low.value(x))).alias(f"_f{i}") for i, x in enumerate(loose)]
-            known |= {x: F.col(f"_f{i}") for i, x in enumerate(loose)}
+            # plain columns beside aggregates take the group's first row; without an order, its least row by these columns
+            row = F.struct(*[low.value(x).alias(f"f{i}") for i, x in enumerate(loose)]) if loose else None
+            first = [(F.min_by(row, SEQ) if SEQ in df.columns else F.min(row)).alias("_first")] if loose else []
+            known |= {x: F.col(f"_first.f{i}") for i, x in enumerate(loose)}
             df = df.groupBy(*[low.value(k).alias(n) for k, n in keys.items()]).agg(*[low.value(a).alias(f"_a{i}") for i, a in enumerate(aggregates)], *first) if aggregates or first else df.select(*[low.value(k).alias(n) for k, n in keys.items()]).distinct()
-            low = Lower(self.dialect, df, self.scalar, known)
+            low = Lower(self.dialect, df, self, known)
             if having is not None:
                 df = df.filter(low.condition(having))
         elif having is not None:
@@ -262,13 +316,27 @@ class SelectPlan:
         return df
 
 
+def source_names(c: A.Core) -> set:
+    """The names by which columns of a query's tables are qualified."""
+    return {s.alias or (s.name.rpartition(".")[2] if isinstance(s, A.Table) else None) for s in (c.source, *(j.source for j in c.joins))}
+
+
+def conjuncts_of(cond) -> list:
+    return [] if cond is None else A.conjuncts(cond)
+
+
+def refers_to(q: A.Select, names: set) -> bool:
+    """Whether a query's WHERE names a source that is not its own but one of ``names``."""
+    return any(isinstance(x, A.Col) and x.rel in names - source_names(c) for c in q.cores for x in A.walk(c.where))
+
+
 def _replace(e, by: dict):
     """The tree with nodes replaced; replaced parts are not entered."""
     from dataclasses import fields, is_dataclass, replace
 
     if isinstance(e, tuple):
         return tuple(_replace(x, by) for x in e)
-    if not is_dataclass(e) or isinstance(e, (A.Scalar, A.Derived)):
+    if not is_dataclass(e) or isinstance(e, (A.Scalar, A.Derived, A.Exists)):
         return e
     if e in by:
         return by[e]
@@ -282,7 +350,7 @@ def _outside(e, known: dict):
     if isinstance(e, tuple):
         for x in e:
             yield from _outside(x, known)
-    elif is_dataclass(e) and e not in known and not isinstance(e, (A.Scalar, A.Derived)):
+    elif is_dataclass(e) and e not in known and not isinstance(e, (A.Scalar, A.Derived, A.Exists)):
         if isinstance(e, A.Col):
             yield e
         for f in fields(e):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspan.catalog import SEQ, Catalog, visible
 from quillspan.lang import ast as A
@@ -40,17 +41,17 @@ def run_hive(catalog: Catalog, text: str) -> DataFrame | None:
         plan = SelectPlan(catalog, "hive")
         if s.kind == "create_external":
             header = int(s.args["props"].get("skip.header.line.count", "0")) > 0
-            catalog.put(s.target, catalog.spark.read.csv(s.args["location"], schema=_ddl(s.args["cols"]), sep=s.args["sep"], header=header, enforceSchema=True))
+            catalog.put(s.target, catalog.spark.read.csv(catalog.located(s.args["location"]), schema=_ddl(s.args["cols"]), sep=s.args["sep"], header=header, enforceSchema=True))
         elif s.kind == "declare":
             catalog.put(s.target, catalog.spark.createDataFrame([], _ddl(s.args["cols"])))
         elif s.kind == "create_table":
-            catalog.put(s.target, plan.select(s.args["query"]))
+            catalog.store(s.target, visible(plan.select(s.args["query"])))
         elif s.kind == "insert":  # appends; columns by place
             old, new = catalog.get(s.target), visible(plan.select(s.args["query"]))
             if len(old.columns) != len(new.columns):
                 raise LanguageError(f"{s.target} has {len(old.columns)} columns, the query {len(new.columns)}")
             new = new.toDF(*old.columns).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in old.schema])
-            catalog.put(s.target, old.union(new))
+            catalog.store(s.target, new, append=True)
         else:
             last = visible(plan.select(s.args["query"]))
     return last
@@ -96,12 +97,15 @@ class Pig:
         if path.lower() in self.catalog.tables:
             df = self.catalog.get(path)
             return df.select(*[F.col(n).cast(spark_type(t)).alias(n) for n, t in cols]) if cols else df
-        return self.catalog.spark.read.csv(path, schema=_ddl(cols), sep=s.args["sep"], header=False)
+        return self.catalog.spark.read.csv(self.catalog.located(path), schema=_ddl(cols), sep=s.args["sep"], header=False)
 
     def _store(self, s: Statement):
         self.stores.append(s)
-        if "://" in s.args["path"] or s.args["path"].startswith("/"):
-            self.rel(s.args["rel"]).write.mode("overwrite").csv(s.args["path"], sep=s.args["sep"], header=False)
+        path = self.catalog.located(s.args["path"])
+        if "://" in path or path.startswith("/"):
+            self.rel(s.args["rel"]).write.mode("overwrite").csv(path, sep=s.args["sep"], header=False)
+        else:
+            self.catalog.messages.append(f"NOTE: {s.args['rel']} was not written: {path} is relative and the catalog has no folder")
 
     def _filter(self, s: Statement):
         return self.rel(s.args["rel"]).filter(self.low(s.args["rel"]).condition(s.args["cond"]))
@@ -221,16 +225,30 @@ def run_sas(catalog: Catalog, text: str, block: int | None = None) -> Catalog:
                 cols = [c for c in df.columns if c not in keys]
                 df = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), SEQ).alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in cols]).select(*df.columns)
             seq = [F.col(SEQ)] if SEQ in df.columns else []
-            # the new order: the keys, then the old order; a descending key counts down by its sort place
-            keys = [(F.col(b), d) for b, d in s.args["by"]]
-            if any(d for _, d in keys):
-                df = df.drop(SEQ).orderBy(*[k.desc_nulls_last() if d else k.asc_nulls_first() for k, d in keys], *[])
-            else:
-                df = df.withColumn(SEQ, F.struct(*[k.alias(f"k{i}") for i, (k, _) in enumerate(keys)], *[x.alias("was") for x in seq]))
-            catalog.put(s.target, df)
+            # the new order: the keys, then the old order
+            keys = [falling(F.col(b), df.schema[b].dataType) if d else F.col(b) for b, d in s.args["by"]]
+            catalog.put(s.target, df.withColumn(SEQ, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], *[x.alias("was") for x in seq])))
     return catalog
 
 
+def falling(c: Column, kind: T.DataType) -> Column:
+    """A value that rises where the column falls; a missing value, the least of all, comes last.
+
+    Numbers and times are negated. Text is turned into the complement of its bytes with an end mark above all of them, so that a text
+    comes behind those it begins.
+    """
+    if isinstance(kind, T.StringType):
+        down = F.concat(F.translate(F.hex(F.encode(c, "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    elif isinstance(kind, T.DateType):
+        down = -F.unix_date(c)
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        down = -F.unix_micros(c.cast("timestamp"))
+    elif isinstance(kind, T.BooleanType):
+        down = -c.cast("int")
+    else:
+        down = -c
+    return F.struct(c.isNull().alias("missing"), down.alias("down"))
+
 
 def schema_union(dfs: list[DataFrame]) -> list[str]:
     """Columns of all tables in first-seen order."""

@@ -196,3 +196,85 @@ def test_include():
     files = {"a.sas": "one; %include 'b.sas'; ", "b.sas": "two;"}
     assert include("%include 'a.sas'; three; %include 'gone.sas';", files.get) == ("one; two;  three; ", ["gone.sas"])
     assert include("%include 'x';", lambda _: "%include 'x';")[1] == ["x"]
+
+
+def order_of(cat, name, *cols):
+    return [tuple(r) for r in cat.raw(name).orderBy("_seq").select(*cols).collect()]
+
+
+def test_set_of_several_keeps_the_order(spark):
+    cat = Catalog(spark)
+    cat.put("a", spark.createDataFrame([(10, "x"), (2, "x"), (9, "y")], "n int, s string"), order=["n"])
+    cat.put("b", spark.createDataFrame([("q", 100), ("p", 5)], "t string, n int"), order=["t", "n"])
+    run_sas(cat, "data c; set a b; run; data d; set b c (drop=s); run; data one; if _n_ = 1 then set c; set b (keep=t); run;")
+    assert order_of(cat, "c", "n") == [(2,), (9,), (10,), (5,), (100,)]
+    assert order_of(cat, "d", "n") == [(5,), (100,), (2,), (9,), (10,), (5,), (100,)]
+    assert {r.n for r in cat.get("one").collect()} == {2}
+
+
+def test_sort_descending_keeps_an_order(spark):
+    cat = Catalog(spark)
+    rows = [(1, "a", 2.5), (2, "ab", None), (3, None, -1.0), (4, "b", 2.5), (5, "a", 7.0), (6, "é", 0.0)]
+    cat.put("t", spark.createDataFrame(rows, "id int, s string, x double"), order=["id"])
+    run_sas(cat, "proc sort data=t out=u; by descending s x; run; proc sort data=t out=v; by descending x; run; data f; set u; by descending s; if first.s; run;")
+    assert order_of(cat, "u", "id") == [(6,), (4,), (2,), (1,), (5,), (3,)]
+    assert order_of(cat, "v", "id") == [(5,), (1,), (4,), (6,), (3,), (2,)]
+    assert sorted(r.id for r in cat.get("f").collect()) == [1, 2, 3, 4, 6]
+
+
+def test_update_step(spark):
+    cat = Catalog(spark)
+    cat.put("m", spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (2, "b2", 2.5), (None, "n", 0.0)], "k int, s string, x double"), order=["k", "s"])
+    cat.put("t", spark.createDataFrame([(1, 1, 5.0, None), (2, 1, None, "z"), (3, 2, 9.0, "y"), (4, 7, 1.0, None), (5, None, 3.0, "w")], "i int, k int, x double, extra string"), order=["i"])
+    run_sas(cat, "data o; update m t (drop=i); by k; run;")
+    assert sorted(map(tuple, cat.get("o").select("k", "s", "x", "extra").collect()), key=str) == sorted([(1, "a", 5.0, "z"), (2, "b", 9.0, "y"), (2, "b2", 2.5, None), (None, "n", 3.0, "w"), (7, None, 1.0, None)], key=str)
+    assert order_of(cat, "o", "k", "s") == [(None, "n"), (1, "a"), (2, "b"), (2, "b2"), (7, None)]
+    run_sas(cat, "data e; set t; if k > 99; run; data p; update m e (drop=i); by k; run;")
+    assert cat.get("p").count() == 4
+
+
+def test_infile(spark, tmp_path):
+    (tmp_path / "a.txt").write_text('id|name|day\n1|"x|y"|01/31/2023\n2||.\n3|z\n')
+    (tmp_path / "b.txt").write_text("  1 a\n\n2 .\n")
+    cat = Catalog(spark, folder=str(tmp_path))
+    run_sas(cat, "data a; infile 'a.txt' dsd dlm='pipe' truncover firstobs=2; input id name $ day :mmddyy10.; run; data b; infile 'b.txt'; input id name $; run; data c; infile 'b.txt' firstobs=2; input id name $; run;")
+    assert order_of(cat, "a", "id", "name", "day") == [(1.0, "x|y", datetime.date(2023, 1, 31)), (2.0, None, None), (3.0, "z", None)]
+    assert order_of(cat, "b", "id", "name") == [(1.0, "a"), (2.0, None)] and order_of(cat, "c", "id") == [(2.0,)]
+    with pytest.raises(LanguageError):
+        run_sas(cat, "data a; infile 'a.txt' recfm=n; input x; run;")
+
+
+def test_with_and_exists(spark):
+    cat = Catalog(spark, default="")
+    cat.put("t", spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "x int, s string"))
+    cat.put("u", spark.createDataFrame([(1, 5), (1, 6), (9, 7)], "x int, y int"))
+    got = run_hive(cat, "with big as (select x, y from u where y > 5), few as (select x from big) select t.x as x from t where exists (select f.x as one from few f where f.x = t.x)")
+    assert [r.x for r in got.collect()] == [1]
+    got = run_hive(cat, "select a.x as x from t a where not exists (select b.y as y from u b where b.x = a.x and b.y > 5) and a.x < (select max(y) as m from u)")
+    assert sorted(r.x for r in got.collect()) == [2, 3]
+    with pytest.raises(Exception, match="more than one row|SCALAR_SUBQUERY_TOO_MANY_ROWS"):
+        run_hive(cat, "select x from t where x = (select x from u)").collect()
+    for q in ["with a as (select x from t) select * from a where exists (select y from u where u.x = a.x) limit 3"]:
+        assert parse_select(A.show(parse_select(q))) == parse_select(q)
+    with pytest.raises(LanguageError):
+        parse_select("select x from t where x in (select x from u)")
+
+
+def test_group_takes_one_row(spark):
+    cat = Catalog(spark)
+    cat.put("t", spark.createDataFrame([(1, "a", 9), (1, "b", 1)], "g int, s string, n int"))
+    run_sas(cat, "proc sql; create table o as select g, s, n, count(*) as c from t group by g; quit;")
+    assert [tuple(r) for r in cat.get("o").collect()] == [(1, "a", 9, 2)]  # a row that exists
+
+
+def test_stored_tables(spark, tmp_path):
+    cat = Catalog(spark, default="", warehouse=str(tmp_path / "w"), folder=str(tmp_path))
+    cat.put("t", spark.createDataFrame([(1, "a"), (2, "b")], "x int, s string"))
+    run_hive(cat, "create table o as select * from t where x > 1; create table p (x int); insert into p select x from t; insert into p select x + 5 as x from t;")
+    assert sorted(r.x for r in spark.read.parquet(str(tmp_path / "w/p")).collect()) == [1, 2, 6, 7] and spark.read.parquet(str(tmp_path / "w/o")).count() == 1
+    p = Pig(cat)
+    p.run("STORE t INTO 'out' USING PigStorage('|'); back = LOAD 'out' USING PigStorage('|') AS (x:int, s:chararray);")
+    assert sorted(map(tuple, p.rels["back"].collect())) == [(1, "a"), (2, "b")]
+    cat.folder = None
+    p.run("STORE t INTO 'gone';")
+    assert "was not written" in cat.messages[-1]
