@@ -23,8 +23,8 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "down"
     front = seen
     for hop in range(1, hops + 1):
         new = front.join(step, F.col("node") == F.col("__a")).select(F.col("__b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
-        front = scratch.write(new, "front")
-        if front.isEmpty():
+        front, n = scratch.counted(new, F.lit(True), "front")
+        if not n:
             break
         seen = seen.union(front)
     return seen
@@ -46,8 +46,8 @@ def closure(edges: DataFrame, within: int | None = None) -> DataFrame:
     while within is None or n < within:
         n += 1
         longer = new.alias("p").join(step.alias("q"), F.col("p.dst") == F.col("q.src")).select(F.col("p.src").alias("src"), F.col("q.dst").alias("dst")).distinct()
-        new = scratch.write(longer.join(known, ["src", "dst"], "left_anti").withColumn("hops", F.lit(n)), "new")
-        if new.isEmpty():
+        new, found = scratch.counted(longer.join(known, ["src", "dst"], "left_anti").withColumn("hops", F.lit(n)), F.lit(True), "new")
+        if not found:
             break
         known = known.union(new)
     return known
@@ -64,15 +64,8 @@ def _tree(e: DataFrame) -> DataFrame:
 def _forest_components(scratch: Scratch, e: DataFrame) -> DataFrame:
     """Where every node has at most one edge in, loops are told by the hierarchy operator; their least node by doubling along them."""
     tree = scratch.write(_tree(e), "tree")
-    ring = tree.filter("depth = -1").select("node")
-    ptr = scratch.write(e.join(ring, F.col("dst") == F.col("node"), "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("next"), F.least("dst", "src").alias("least")), "ring")
-    while not ptr.isEmpty():
-        look = ptr.select(F.col("node").alias("n"), F.col("next").alias("next2"), F.col("least").alias("least2"))
-        new = scratch.write(ptr.join(look, F.col("next") == F.col("n")).select("node", F.col("next2").alias("next"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved")), "ring")
-        if new.filter("moved").isEmpty():
-            break
-        ptr = new.drop("moved")
-    return tree.select("node").join(ptr.select("node", "least"), "node", "left").select("node", F.coalesce("least", "node").alias("component"))
+    least = _ring_least(scratch, e, tree.filter("depth = -1").select("node"))
+    return tree.select("node").join(least, "node", "left").select("node", F.coalesce("least", "node").alias("component"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -98,8 +91,8 @@ def components(edges: DataFrame) -> DataFrame:
         colour = scratch.write(left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")), "colour")
         while True:
             best = left.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("n")).agg(F.min("colour").alias("c"))
-            next_ = scratch.write(colour.join(best, F.col("node") == F.col("n"), "left").select("node", F.least("colour", "c").alias("colour"), (F.col("c") < F.col("colour")).alias("moved")), "colour")
-            if next_.filter("moved").isEmpty():
+            next_, moved = scratch.counted(colour.join(best, F.col("node") == F.col("n"), "left").select("node", F.least("colour", "c").alias("colour"), (F.col("c") < F.col("colour")).alias("moved")), F.coalesce("moved", F.lit(False)), "colour")
+            if not moved:
                 break
             colour = next_.select("node", "colour")
         same = left.join(colour.select(F.col("node").alias("sn"), F.col("colour").alias("sc")), F.col("src") == F.col("sn")).join(colour.select(F.col("node").alias("dn"), F.col("colour").alias("dc")), F.col("dst") == F.col("dn")).filter("sc = dc")
@@ -108,8 +101,8 @@ def components(edges: DataFrame) -> DataFrame:
         front = back
         while True:
             new = front.join(same, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "component").distinct().join(back, "node", "left_anti")
-            front = scratch.write(new, "front")
-            if front.isEmpty():
+            front, n = scratch.counted(new, F.lit(True), "front")
+            if not n:
                 break
             back = back.union(front)
         found.append(back)
@@ -124,15 +117,14 @@ def components(edges: DataFrame) -> DataFrame:
 def run_order(edges: DataFrame) -> DataFrame:
     """Level of each node in the order of runs: the longest way from a source after loops are condensed; node, component, in_loop, level."""
     scratch = Scratch(edges.sparkSession, "order")
-    comp = scratch.write(components(edges), "comp")
+    distinct = scratch.write(edges.select("src", "dst").dropna().distinct(), "edges")
+    if _one_parent(distinct):
+        return _forest_order(scratch, distinct)
+    comp = scratch.write(components(distinct), "comp")
     size = comp.groupBy("component").agg(F.count("*").alias("size"))
-    own = edges.filter("src = dst").select(F.col("src").alias("node")).distinct().withColumn("own", F.lit(True))
-    e = edges.select("src", "dst").dropna().distinct().join(comp.select(F.col("node").alias("sn"), F.col("component").alias("a")), F.col("src") == F.col("sn")).join(comp.select(F.col("node").alias("dn"), F.col("component").alias("b")), F.col("dst") == F.col("dn"))
+    own = distinct.filter("src = dst").select(F.col("src").alias("node")).withColumn("own", F.lit(True))
+    e = distinct.join(comp.select(F.col("node").alias("sn"), F.col("component").alias("a")), F.col("src") == F.col("sn")).join(comp.select(F.col("node").alias("dn"), F.col("component").alias("b")), F.col("dst") == F.col("dn"))
     e = scratch.write(e.filter("a != b").select("a", "b").distinct(), "condensed")
-    if _one_parent(e.withColumnsRenamed({"a": "src", "b": "dst"})):
-        deep = _tree(e.withColumnsRenamed({"a": "src", "b": "dst"})).select(F.col("node").alias("component"), F.col("depth").alias("d"))
-        level = size.select("component").join(deep, "component", "left").select("component", F.coalesce("d", F.lit(0)).alias("level"))
-        return _ordered(comp, level, size, own)
     level = scratch.write(size.select("component", F.lit(0).alias("level")), "level")
     while True:
         next_ = level
@@ -140,8 +132,8 @@ def run_order(edges: DataFrame) -> DataFrame:
             push = e.join(next_, F.col("a") == F.col("component")).groupBy(F.col("b").alias("c")).agg((F.max("level") + 1).alias("l"))
             next_ = next_.join(push, F.col("component") == F.col("c"), "left").select("component", F.greatest("level", "l").alias("level"))
         was = level.select("component", F.col("level").alias("was"))
-        next_ = scratch.write(next_.join(was, "component").withColumn("moved", F.col("level") > F.col("was")), "level")
-        if next_.filter("moved").isEmpty():
+        next_, moved = scratch.counted(next_.join(was, "component").withColumn("moved", F.col("level") > F.col("was")), F.col("moved"), "level")
+        if not moved:
             break
         scratch.drop(level)
         level = next_.select("component", "level")
@@ -149,6 +141,73 @@ def run_order(edges: DataFrame) -> DataFrame:
     return _ordered(comp, level, size, own)
 
 
+def _forest_order(scratch: Scratch, e: DataFrame) -> DataFrame:
+    """Where every node has at most one edge in: a node's depth is its level. Only what lies on or below loops is looked at again."""
+    tree, lost = scratch.counted(_tree(e), F.col("depth") < 0, "tree")
+    calm = tree.filter("depth >= 0").select("node", F.col("node").alias("component"), F.lit(False).alias("in_loop"), F.col("depth").alias("level"))
+    if not lost:
+        return calm
+    ring = tree.filter("depth = -1").select("node")
+    least = _ring_least(scratch, e, ring)
+    # below a loop, the level is the way from the loop: the same without the loop's own edges
+    astray = e.join(tree.filter("depth < 0").select("node"), F.col("dst") == F.col("node"), "left_semi").join(ring, F.col("dst") == F.col("node"), "left_anti")
+    under = _tree(astray).filter("depth > 0").select("node", F.col("node").alias("component"), F.lit(False).alias("in_loop"), F.col("depth").alias("level"))
+    return calm.union(least.select("node", F.col("least").alias("component"), F.lit(True).alias("in_loop"), F.lit(0).alias("level"))).union(under)
+
+
+def _ring_least(scratch: Scratch, e: DataFrame, ring: DataFrame) -> DataFrame:
+    """The least node of each loop, by doubling along it: node, least."""
+    start = e.join(ring, F.col("dst") == F.col("node"), "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("next"), F.least("dst", "src").alias("least"))
+    ptr, n = scratch.counted(start, F.lit(True), "ring")
+    while n:
+        look = ptr.select(F.col("node").alias("n"), F.col("next").alias("next2"), F.col("least").alias("least2"))
+        step = ptr.join(look, F.col("next") == F.col("n")).select("node", F.col("next2").alias("next"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved"))
+        new, n = scratch.counted(step, F.col("moved"), "ring")
+        if n:
+            ptr = new.drop("moved")
+    return ptr.select("node", "least")
+
+
+def break_suggestions(order: DataFrame, edges: DataFrame) -> DataFrame:
+    """For each loop the flow to break so that its nodes can run one after the other: component, members, src, dst, sentence.
+
+    It is the flow into the loop's least node from the greatest node of the loop that feeds it. Members are counted; the first few are
+    named. order: what ``run_order`` gives.
+    """
+    looped = order.filter("in_loop")
+    a, b = looped.select(F.col("node").alias("src"), F.col("component").alias("ca")), looped.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
+    back = edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").filter("ca = cb and dst = cb").groupBy("cb").agg(F.max("src").alias("src"))
+    # the first few names only: a loop may have a third of all nodes
+    first = looped.groupBy("component").agg(F.count("*").alias("members"))
+    named = back.join(first, F.col("cb") == F.col("component")).select("component", "members", "src", F.col("component").alias("dst"))
+    say = F.concat(F.lit("in a loop of "), F.col("members").cast("string"), F.lit(": break the flow "), F.col("src"), F.lit(" -> "), F.col("dst"), F.lit(" to serialize"))
+    return named.withColumn("sentence", say)
+
+
+def reasons(order: DataFrame, edges: DataFrame) -> DataFrame:
+    """Why each node has its level: node, level, reason."""
+    feeds = edges.filter("src != dst").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("by"))
+    level = F.col("level").cast("string")
+    why = F.when(F.col("by").isNull() & (F.col("level") == 0), F.concat(F.lit("score 0: no flows in - nothing feeds "), F.col("node"), F.lit("; it can run first"))).when(F.col("by").isNull(), F.concat(F.lit("score "), level, F.lit(": no direct flows in")))
+    why = why.otherwise(F.concat(F.lit("score "), level, F.lit(": "), F.col("by"), F.lit(" -> "), F.col("node"), F.lit(", ready at level "), F.greatest(F.col("level") - 1, F.lit(0)).cast("string")))
+    return order.join(feeds, "node", "left").select("node", "level", F.concat(why, F.when(F.col("in_loop"), "; in a loop: data feeds back into where it started").otherwise("")).alias("reason"))
+
+
+def radius(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """How many nodes each seed's data reaches, itself left out: node, n_downstream. Semi-naive rounds over (seed, node) pairs."""
+    scratch = Scratch(edges.sparkSession, "radius")
+    step = edges.select("src", "dst").dropna().distinct()
+    start = seeds.select("node").filter("node is not null").distinct()
+    seen, n = scratch.counted(start.join(step, F.col("node") == F.col("src")).select("node", F.col("dst").alias("at")).distinct(), F.lit(True), "seen")
+    front = seen
+    while n:
+        more = front.join(step, F.col("at") == F.col("src")).select("node", F.col("dst").alias("at")).distinct().join(seen, ["node", "at"], "left_anti")
+        front, n = scratch.counted(more, F.lit(True), "front")
+        seen = seen.union(front)
+    counts = seen.filter("node != at").groupBy("node").agg(F.count("*").alias("n"))
+    return start.join(counts, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n_downstream"))
+
+
 def _ordered(comp: DataFrame, level: DataFrame, size: DataFrame, own: DataFrame) -> DataFrame:
     return comp.join(level, "component").join(size, "component").join(own, "node", "left").select("node", "component", ((F.col("size") > 1) | F.coalesce("own", F.lit(False))).alias("in_loop"), "level")
 

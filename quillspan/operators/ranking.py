@@ -36,3 +36,20 @@ def latest_before(df: DataFrame, keys: list[str], order: str, is_source: Column,
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
     local = spans.withColumn("__in", F.max("__src").over(inside))
     return local.join(tops, on).select(*df.columns, F.coalesce("__in", "__earlier").alias(name))
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of the same keys up to and with this one, by ``order`` (whole numbers).
+
+    Rows that tie on ``order`` count together. Spans of ``width`` in ``order`` as in ``latest_before``: no window holds a whole key.
+    """
+    spans = df.withColumn("__span", F.floor(F.col(order) / width))
+    inside = Window.partitionBy(*keys, "__span").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    sums = spans.groupBy(*keys, "__span").agg(F.sum(value).alias("__sum"))
+    earlier = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__span").alias("__s"), F.coalesce(earlier, F.lit(0)).alias("__base"))
+    on = F.col("__span") == F.col("__s")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    local = spans.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return local.join(sums, on).select(*df.columns, (F.col("__in") + F.col("__base")).alias(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.names import file_of, name_of
@@ -115,16 +115,87 @@ def latest_state(log: DataFrame) -> DataFrame:
         F.coalesce(F.max_by(F.when(F.col("event_type") == "file_ingested", True).otherwise(False), F.when(F.col("event_type").isin("file_ingested", "file_removed"), F.col("seq"))), F.lit(False)).alias("present"))
 
 
+def state_at(log: DataFrame, upto: int | None = None, base: DataFrame | None = None) -> DataFrame:
+    """fileid, last_seq, last_event, present after the events numbered up to ``upto``, from an earlier state if one is given.
+
+    Only events behind the state's greatest number are replayed, so recovery from a checkpoint reads the rest of the log.
+    """
+    e = log.select(file_of("fileid").alias("fileid"), "seq", name_of("event_type").alias("event")).filter("fileid is not null")
+    if upto is not None:
+        e = e.filter(F.col("seq") <= upto)
+    if base is not None:
+        e = e.filter(F.col("seq") > base.agg(F.coalesce(F.max("last_seq"), F.lit(0).cast("long"))).scalar())
+    told = F.when(F.col("event").isin("file_ingested", "file_removed"), F.col("seq"))
+    new = e.groupBy("fileid").agg(F.max("seq").alias("last_seq"), F.max_by("event", "seq").alias("last_event"), F.max_by(F.col("event") == "file_ingested", told).alias("present"))
+    if base is None:
+        return new.withColumn("present", F.coalesce("present", F.lit(False)))
+    old = base.select(F.col("fileid").alias("__f"), *[F.col(c).alias(f"__{c}") for c in ("last_seq", "last_event", "present")])
+    j = old.join(new, F.col("__f") == F.col("fileid"), "full")
+    return j.select(F.coalesce("fileid", "__f").alias("fileid"), F.coalesce("last_seq", "__last_seq").alias("last_seq"), F.coalesce("last_event", "__last_event").alias("last_event"), F.coalesce("present", "__present", F.lit(False)).alias("present"))
+
+
+def checkpoint(state: DataFrame, folder: str, number: int) -> str:
+    """Writes a state of the store as a checkpoint; returns its path."""
+    where = f"{folder.rstrip('/')}/checkpoint-{number:012d}"
+    state.write.mode("overwrite").parquet(where)
+    return where
+
+
+def prune(checkpoints: list[tuple[int, float]], now: float, keep_days: int = 35) -> list[int]:
+    """Numbers of the checkpoints (number, time in seconds) that are older than ``keep_days``; the newest always stays."""
+    newest = max((n for n, _ in checkpoints), default=None)
+    return sorted(n for n, at in checkpoints if n != newest and at < now - keep_days * 86400)
+
+
+def recover(spark, path: str, log: DataFrame) -> DataFrame:
+    """The state of the store from a checkpoint and the events behind it; numbering goes on behind the greatest number of both."""
+    return state_at(log, base=spark.read.parquet(path))
+
+
+def block_window(blocks: DataFrame, fileid: str, first: int, end: int) -> DataFrame:
+    """A file's blocks from place ``first`` up to but without ``end``, in order, with their text."""
+    return blocks.filter((F.col("fileid") == fileid) & (F.col("n") >= first) & (F.col("n") < end)).orderBy("n", "block_id")
+
+
+def table_graph(edges: DataFrame, fileid: str) -> DataFrame:
+    """The tables and edges of one file: src, dst, kind."""
+    return edges.filter(F.col("fileid") == fileid).select("src", "dst", "kind").distinct()
+
+
+def file_heads(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each file with how many blocks, of how many kinds, it has, and its first and last line."""
+    b = blocks.groupBy("fileid").agg(F.count_distinct("block_id").alias("n_blocks"), F.count_distinct("kind").alias("n_kinds"), F.min("l0").alias("first_line"), F.max("l1").alias("last_line"))
+    return files.join(b, "fileid", "left").fillna(0, ["n_blocks", "n_kinds"])
+
+
+def found(terms: DataFrame, files: DataFrame, q: str, n: int = 50) -> DataFrame:
+    """At most ``n`` hits of a search: table names, then file ids, that hold ``q`` in any case, by name: kind, name."""
+    like = lambda c: F.contains(F.lower(c), F.lit(q.strip().lower()))
+    t = terms.filter(like("term")).select(F.lit("table").alias("kind"), F.col("term").alias("name")).distinct()
+    f = files.filter(like("fileid")).select(F.lit("file").alias("kind"), F.col("fileid").alias("name")).distinct()
+    return t.union(f).orderBy(F.col("kind").desc(), "name").limit(n)
+
+
 def retained(log: DataFrame, days: int) -> DataFrame:
     """Events not older than ``days`` before the latest; numbering goes on from the greatest seq ever given."""
     newest = log.agg(F.max("ts")).scalar()
     return log.filter(F.col("ts") >= newest - F.expr(f"interval {days} days"))
 
 
-def labels(names: Column, most: int = 2) -> Column:
-    """The first few names, then how many more."""
-    more = F.size(names) - most
-    return F.concat(F.concat_ws(", ", F.slice(names, 1, most)), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"))).otherwise(""))
+def first_names(names: DataFrame, key: str, name: str, most: int = 2) -> DataFrame:
+    """Per key its first few names, then how many more: key, names. names: distinct (key, name) rows.
+
+    Minima and a count, so a key with a third of all names costs one row per task; each further name is one more such pass.
+    """
+    out, left, shown = names.groupBy(key).agg(F.count("*").alias("__n")), names, []
+    for i in range(most):
+        least = left.groupBy(key).agg(F.min(name).alias(f"__m{i}"))
+        out = out.join(least, key, "left")
+        shown.append(f"__m{i}")
+        if i + 1 < most:
+            left = left.join(least, key).filter(F.col(name) > F.col(f"__m{i}")).select(key, name)
+    more = F.col("__n") - most
+    return out.select(key, F.concat(F.concat_ws(", ", *shown), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"))).otherwise("")).alias("names"))
 
 
 def newest_per(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:

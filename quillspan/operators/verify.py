@@ -113,3 +113,44 @@ def leg_coverage(df: DataFrame, cond, dialect: str = "hive") -> DataFrame:
         aggs += [F.count_if(reach & test).alias(f"t{i}"), F.count_if(reach & ~test).alias(f"f{i}")]
     rows = F.array(*[F.struct(F.lit(i).alias("leg_no"), F.lit(A.show(leaf)).alias("leg"), F.col(f"t{i}").alias("n_true"), F.col(f"f{i}").alias("n_false")) for i, (leaf, _) in enumerate(found)])
     return df.agg(*aggs).select(F.inline(rows)).withColumn("covered", (F.col("n_true") > 0) & (F.col("n_false") > 0))
+
+
+def boundary_values(cond) -> list[tuple[int, str, object, str]]:
+    """(leg_no, column, value, polarity) for each leg that compares a column with a constant: rows that lie on, just below and just above the border.
+
+    A number n is tried at n - 1, n and n + 1; a text as it is, one letter longer and empty. The polarity says what the leg makes of the value.
+    """
+    tests = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+    out = []
+    for i, (leaf, _) in enumerate(legs(cond)):
+        if isinstance(leaf, A.Bin) and leaf.op in tests and isinstance(leaf.left, A.Col) and isinstance(leaf.right, A.Lit) and leaf.right.value is not None:
+            v = leaf.right.value
+            near = [v, v + "x", ""] if isinstance(v, str) else [v - 1, v, v + 1]
+            out += [(i, leaf.left.name, x, "true" if tests[leaf.op](x, v) else "false") for x in dict.fromkeys(near)]
+    return out
+
+
+def leg_rows(df: DataFrame, cond, key: str, dialect: str = "hive") -> DataFrame:
+    """For each leg and polarity the least row that reaches the leg and makes it so: leg_no, polarity, witness (null where no row does)."""
+    low = Lower(dialect, df)
+    rows = []
+    for i, (leaf, guards) in enumerate(legs(cond)):
+        reach = reduce(lambda a, g: a & F.coalesce(low.condition(g), F.lit(False)), guards, F.lit(True))
+        test = F.coalesce(low.condition(leaf), F.lit(False))
+        rows += [(i, "true", reach & test), (i, "false", reach & ~test)]
+    seen = df.agg(*[F.min(F.when(c, F.col(key))).alias(f"w{n}") for n, (_, _, c) in enumerate(rows)])
+    return seen.select(F.inline(F.array(*[F.struct(F.lit(i).alias("leg_no"), F.lit(p).alias("polarity"), F.col(f"w{n}").alias("witness")) for n, (i, p, _) in enumerate(rows)])))
+
+
+def listing_verdict(columns: list[str], rows: DataFrame, output: DataFrame | None) -> DataFrame:
+    """What a printed listing says of a table: one row verdict (match, differs, missing), n_mismatch. rows: ``values`` (array) as read.
+
+    Columns must be the same, in the same order; then the rows must be, as multisets.
+    """
+    spark = rows.sparkSession
+    if output is None:
+        return spark.sql("select 'missing' as verdict, 0L as n_mismatch")
+    if [c.lower() for c in columns] != [c.lower() for c in output.columns]:
+        return spark.sql("select 'differs' as verdict, 0L as n_mismatch")
+    listed = rows.select(*[F.get("values", F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    return compare_rows(listed, output).select(F.when(F.col("verdict") == "PASS", "match").otherwise("differs").alias("verdict"), "n_mismatch")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import data_problems, dialect_queries, store_queries
+from quillspan.plans import data_problems, dialect_queries, estate_queries, store_queries
 
-MODULES = [data_problems, dialect_queries, store_queries]
+MODULES = [data_problems, dialect_queries, store_queries, estate_queries]
 
 
 def queries() -> dict:

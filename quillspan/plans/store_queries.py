@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.lang.facts import facts
 from quillspan.lang.parser import parse_expr
-from quillspan.lang.scan import split_blocks
 from quillspan.names import file_of, file_sql, name_of, name_sql
+from quillspan.catalog import SEQ, visible
 from quillspan.lang.workflows import transfer, workflow_tables
-from quillspan.operators import graph, reports, store, verify
+from quillspan.operators import graph, lineage, reports, store, verify
+from quillspan.operators.bymerge import by_update
 from quillspan.operators.ranking import global_rank, latest_before
-from quillspan.session import Scratch, spread, table
+from quillspan.session import Scratch, table
 from quillspan.sources.readers import scan_term, synthetic_edges
 from quillspan.sources.writers import numbered, upsert, with_overflow, write_partitioned
 
@@ -113,110 +111,81 @@ def lin_file_flow_asof(spark, d):
     return latest_before(occurrences(spark, d), ["fileid", "tbl"], "n", F.col("role") == "write", "writer").filter("role = 'read' and writer is not null").select("fileid", "tbl", F.col("n").alias("reader"), "writer")
 
 
-_FLOW5 = f"x as (select distinct {f('fileid')} fileid, {n('block_id')} block_id, {n('source_canonical_name')} src, {n('target_canonical_name')} dst from lineage where snapshot_no = 5)"
+_LATEST = f"x as (select distinct {f('fileid')} fileid, {n('block_id')} block_id, {n('source_canonical_name')} src, {n('target_canonical_name')} dst from lineage where snapshot_no = (select max(snapshot_no) from lineage))"
 
 
-@query(f"with {_FLOW5}, w as (select distinct fileid, dst tbl from x where dst is not null), r as (select distinct fileid, src tbl from x where src is not null) select w.fileid src_file, r.fileid dst_file, count(*) n_tables, string_agg(tbl, ',' order by tbl) as tables from w join r using (tbl) where w.fileid <> r.fileid group by 1, 2")
+@query(f"with {_LATEST}, w as (select distinct fileid, dst tbl from x where dst is not null), r as (select distinct fileid, src tbl from x where src is not null) select w.fileid src_file, r.fileid dst_file, count(*) n_tables, string_agg(tbl, ',' order by tbl) as tables from w join r using (tbl) where w.fileid <> r.fileid group by 1, 2")
 def lin_project_flow(spark, d):
-    """Files that write a table that another file reads, with the tables."""
-    e = provided(spark, d, 5)
-    w, r = e.select(F.col("dst").alias("tbl"), F.col("fileid").alias("src_file")).distinct(), e.select(F.col("src").alias("tbl"), F.col("fileid").alias("dst_file")).distinct()
-    return w.join(r, "tbl").filter("src_file != dst_file").groupBy("src_file", "dst_file").agg(F.count("*").alias("n_tables"), F.concat_ws(",", F.sort_array(F.collect_set("tbl"))).alias("tables"))
+    return lineage.project_flow(provided(spark, d))
 
 
-@query(f"with {_FLOW5}, b as (select *, try_cast(split_part(block_id, '_', 2) as int) no from x where block_id is not null), w as (select fileid, dst tbl, max(no) writer from b where dst is not null group by 1, 2), r as (select distinct fileid, src tbl, no from b where src is not null) select w.fileid src_file, writer, r.fileid dst_file, r.no reader, tbl from w join r using (tbl) where r.fileid <> w.fileid")
+@query(f"with {_LATEST}, b as (select *, try_cast(split_part(block_id, '_', 2) as int) no from x where block_id is not null), w as (select fileid, dst tbl, max(no) writer from b where dst is not null group by 1, 2), r as (select distinct fileid, src tbl, no from b where src is not null) select w.fileid src_file, writer, r.fileid dst_file, r.no reader, tbl from w join r using (tbl) where r.fileid <> w.fileid")
 def lin_block_links(spark, d):
-    """Latest writing block of each file and table, linked to all reading blocks in other files."""
-    b = provided(spark, d, 5).filter("block_id is not null").withColumn("no", F.split_part("block_id", F.lit("_"), F.lit(2)).try_cast("int"))
-    w = b.filter("dst is not null").groupBy(F.col("dst").alias("tbl"), F.col("fileid").alias("src_file")).agg(F.max("no").alias("writer"))
-    r = b.filter("src is not null").select(F.col("src").alias("tbl"), F.col("fileid").alias("dst_file"), F.col("no").alias("reader")).distinct()
-    return w.join(r, "tbl").filter("src_file != dst_file").select("src_file", "writer", "dst_file", "reader", "tbl")
+    return lineage.block_links(provided(spark, d))
 
 
 @query(f"with {_OCC} select w.fileid, w.tbl, w.n writer, r.n reader from occ w join occ r on w.fileid = r.fileid and w.tbl = r.tbl and r.n > w.n where w.role = 'write' and r.role = 'read'")
 def lin_range_flow(spark, d):
-    """All earlier writers of each reader."""
-    o = occurrences(spark, d)
-    return o.filter("role = 'write'").select("fileid", "tbl", F.col("n").alias("writer")).join(o.filter("role = 'read'").select("fileid", "tbl", F.col("n").alias("reader")), ["fileid", "tbl"]).filter("reader > writer")
+    return lineage.earlier_writers(occurrences(spark, d))
 
 
 @query(f"with {_OCC} select fileid, n, 'b_' || dense_rank() over (partition by fileid order by n // 10) || ':t_' || row_number() over (partition by fileid, n // 10 order by role, n) occ_id from occ")
 def lin_occurrence_ids(spark, d):
     """Occurrences numbered within their block, reads first (a block is ten events of a user)."""
-    o = occurrences(spark, d).withColumn("b", F.floor(F.col("n") / 10))
-    return o.select("fileid", "n", F.concat(F.lit("b_"), F.dense_rank().over(Window.partitionBy("fileid").orderBy("b")).cast("string"), F.lit(":t_"), F.row_number().over(Window.partitionBy("fileid", "b").orderBy("role", "n")).cast("string")).alias("occ_id"))
+    return lineage.occurrence_ids(occurrences(spark, d), 10)
 
 
 @query(f"with b as (select distinct {f('fileid')} fileid, {n('block_id')} block_id, n, l0, l1 from blocks) select fileid, block_id, l0, coalesce(lead(l0) over (partition by fileid order by n, block_id, l0, l1) - 1, l1) line_end from b")
 def lin_line_ranges(spark, d):
-    b = table(spark, d, "blocks").select(file_of("fileid").alias("fileid"), name_of("block_id").alias("block_id"), "n", "l0", "l1").distinct()
-    return b.select("fileid", "block_id", "l0", F.coalesce(F.lead("l0").over(Window.partitionBy("fileid").orderBy("n", "block_id", "l0", "l1")) - 1, F.col("l1")).alias("line_end"))
+    return lineage.line_ranges(table(spark, d, "blocks").select(file_of("fileid").alias("fileid"), name_of("block_id").alias("block_id"), "n", "l0", "l1").distinct())
 
 
 @query("with t as (select user_id, event_id, event_type, sum(case when event_type = 'signup' then 1 else 0 end) over (partition by user_id order by event_id) step from events) select user_id, step, min(event_id) first_id, max(event_id) last_id, count(*) n from t group by 1, 2")
 def lin_step_islands(spark, d):
     """Steps as islands: an opener (here: signup) starts a step that lasts until the next."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    t = table(spark, d, "events").withColumn("step", F.sum(F.when(F.col("event_type") == "signup", 1).otherwise(0)).over(w).cast("long"))
-    return t.groupBy("user_id", "step").agg(F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.count("*").alias("n"))
+    return lineage.step_islands(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "signup")
 
 
-@query(f"""with recursive b as (select fileid, n, len, row_number() over (partition by fileid order by n, len) i from (select distinct {f('fileid')} fileid, n, l1 - l0 + 1 len from blocks)),
- w as (select fileid, n, i, len acc, 0 run from b where i = 1 union all select b.fileid, b.n, b.i, case when acc + b.len <= 15 and acc < 7 then acc + b.len else b.len end, case when acc + b.len <= 15 and acc < 7 then run else run + 1 end from w join b on b.fileid = w.fileid and b.i = w.i + 1)
+@query(f"""with recursive b as (select fileid, n, l0, l1, row_number() over (partition by fileid order by n, l0, l1) i from (select distinct {f('fileid')} fileid, n, l0, l1 from blocks where l0 is not null and l1 is not null)),
+ w as (select fileid, n, i, l0 a, l1 z, 0 run, l1 - l0 + 1 < 7 free from b where i = 1 union all
+  select fileid, n, i, if(fits, a, l0), if(fits, greatest(z, l1), l1), if(fits, run, run + 1), if(fits, greatest(z, l1) - a, l1 - l0) + 1 < 7
+  from (select b.*, w.a, w.z, w.run, w.free and greatest(w.z, b.l1) - w.a + 1 <= 15 fits from w join b on b.fileid is not distinct from w.fileid and b.i = w.i + 1))
  select fileid, n, run from w""")
 def lin_block_law(spark, d):
-    """Runs of source lines per file: a run takes the next step while it stays within 15 lines (and closes from 7 on), else a new one begins. A fold, so by file in one array."""
-    b = table(spark, d, "blocks").select(file_of("fileid").alias("fileid"), "n", (F.col("l1") - F.col("l0") + 1).alias("len")).distinct()
-    steps = b.groupBy("fileid").agg(F.sort_array(F.collect_list(F.struct("n", "len"))).alias("steps"))
-    zero = F.struct(F.lit(0).alias("run"), F.lit(0).cast("int").alias("len"), F.array().cast("array<struct<n:int,run:int>>").alias("out"))
-
-    def fold(acc, x):
-        fits = (acc["len"] + x["len"] <= 15) & (acc["len"] < 7)
-        run = F.when((acc["len"] == 0) | fits, acc["run"]).otherwise(acc["run"] + 1)
-        return F.struct(run.alias("run"), F.when(fits, acc["len"] + x["len"]).otherwise(x["len"]).alias("len"), F.array_append(acc["out"], F.struct(x["n"].alias("n"), run.alias("run"))).alias("out"))
-
-    return steps.select("fileid", F.explode(F.aggregate("steps", zero, fold)["out"]).alias("o")).select("fileid", "o.n", "o.run")
+    """Runs of 7 to 15 source lines per file, measured from the first to the last line with the gaps between."""
+    return lineage.block_law(table(spark, d, "blocks").select(file_of("fileid").alias("fileid"), "n", "l0", "l1").distinct())
 
 
 @query("with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*\\.[a-z_][a-z0-9_]*')) term from documents where text is not null) select doc_id, term, count(*) n from w group by 1, 2")
 def lin_terms_mentions(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z_][a-z0-9_]*\.[a-z_][a-z0-9_]*"), F.lit(0))).alias("term"))
-    return t.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return lineage.qualified_terms(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("select block_key, md5(trim(regexp_replace(regexp_replace(sas_text, '/\\*.*?\\*/', ' ', 'gs'), '\\s+', ' ', 'g'))) h, length(sas_text) n_chars from blocks where sas_text is not null")
+@query("""select block_key, md5(trim(regexp_replace(regexp_replace(regexp_replace(sas_text, '(^|;)(\\s*)\\*[^;]*;', '\\1\\2', 'g'), '(''[^'']*''|"[^"]*")|/\\*(?:[^*]|\\*+[^*/])*\\*+/', '\\1 ', 'g'), '\\s+', '', 'g'))) h, length(sas_text) n_chars from blocks where sas_text is not null""")
 def lin_comment_strip(spark, d):
-    bare = F.regexp_replace(F.regexp_replace("sas_text", r"(?s)/\*.*?\*/", " "), r"\s+", " ")
-    return table(spark, d, "blocks").filter("sas_text is not null").select("block_key", F.md5(F.trim(bare)).alias("h"), F.length("sas_text").cast("long").alias("n_chars"))
+    """Programs without remarks; those in strings stay. Held against SQL without any blanks, as a remark leaves one there."""
+    t = table(spark, d, "blocks").filter("sas_text is not null").select("block_key", "sas_text").distinct().withColumn("row", F.struct("block_key", "sas_text"))
+    found = lineage.bare_programs(t.select("row", "sas_text").withColumn("row", F.to_json("row")), "row", "sas_text")
+    rows = table(spark, d, "blocks").filter("sas_text is not null").select("block_key", "sas_text").withColumn("row", F.to_json(F.struct("block_key", "sas_text")))
+    return rows.join(found, "row").select("block_key", F.md5(F.regexp_replace("bare", r"\s+", "")).alias("h"), F.length("sas_text").cast("long").alias("n_chars"))
 
 
 @query("select block_key, substr(sha256(sas_code), 1, 16) file_hash, 'b_' || n || '_' || substr(sha1(sas_code), 1, 8) block_hash from blocks where sas_code is not null")
 def lin_hashes(spark, d):
-    b = table(spark, d, "blocks").filter("sas_code is not null")
-    return b.select("block_key", F.substring(F.sha2("sas_code", 256), 1, 16).alias("file_hash"), F.concat(F.lit("b_"), F.col("n").cast("string"), F.lit("_"), F.substring(F.sha1("sas_code"), 1, 8)).alias("block_hash"))
+    return lineage.hashes(table(spark, d, "blocks").filter("sas_code is not null"), "block_key", "sas_code", "n")
 
 
-@query(f"with e as (select {n('block_id')} b, {f('fileid')} fl, {n('source_canonical_name')} s, {n('target_canonical_name')} t from lineage where snapshot_no = 5), r as (select distinct fl, b, s from e where s is not null and b is not null), w as (select distinct fl, b, t from e where t is not null and b is not null) select r.fl fileid, r.b block_id, s src, t dst from r join w on r.fl = w.fl and r.b = w.b where s <> t")
+@query(f"with e as (select {n('block_id')} b, {f('fileid')} fl, {n('source_canonical_name')} s, {n('target_canonical_name')} t from lineage where snapshot_no = (select max(snapshot_no) from lineage)), r as (select distinct fl, b, s from e where s is not null and b is not null), w as (select distinct fl, b, t from e where t is not null and b is not null) select r.fl fileid, r.b block_id, s src, t dst from r join w on r.fl = w.fl and r.b = w.b where s <> t")
 def lin_block_flow(spark, d):
     """Tables read by a block times tables it writes."""
-    e = store.provided_edges(table(spark, d, "lineage").filter("snapshot_no = 5")).filter("block_id is not null")
-    r, w = e.filter("src is not null").select("fileid", "block_id", "src").distinct(), e.filter("dst is not null").select("fileid", "block_id", "dst").distinct()
-    return r.join(w, ["fileid", "block_id"]).filter("src != dst")
+    return lineage.block_flow(provided(spark, d))
 
 
 @query()
 def lin_block_scan(spark, d):
-    """Tables read and written by each block's text, by the statement scanner (Arrow batches; a program's grammar has no SQL)."""
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for blk in split_blocks(text or ""):
-                    out.append((key, blk.kind, blk.status, ",".join(blk.reads), ",".join(blk.writes)))
-            cols = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), *[pa.string()] * 4])], ["block_key", "kind", "status", "reads", "writes"])
-
-    return spread(table(spark, d, "blocks").select("block_key", F.coalesce("sas_text", "sas_code").alias("text")), "block_key").mapInArrow(scan, "block_key long, kind string, status string, reads string, writes string")
+    """Tables read and written by each step of each block's text."""
+    found = lineage.scanned_blocks(table(spark, d, "blocks").select("block_key", F.coalesce("sas_text", "sas_code").alias("text")), "block_key", "text")
+    return found.select("block_key", "kind", "status", "reads", "writes")
 
 
 _PROGRAM = """data work.o; set tpch.orders; yr = year(o_orderdate); if o_totalprice > 10; keep o_custkey o_totalprice yr; run;
@@ -233,16 +202,19 @@ def lin_column_facts(spark, d):
 
 
 # ---- graph ----
-_E = f"(select distinct {n('src_table')} src, {n('dst_table')} dst from edges where {n('level')} = 'project' and {n('src_table')} is not null and {n('dst_table')} is not null)"
-_SEEDS = f"(select distinct src node from {_E} where src < 'fin')"
+#: Nodes are tables within a level, as each level has its own principal sources.
+_E = f"(select distinct {n('level')} || '/' || {n('src_table')} src, {n('level')} || '/' || {n('dst_table')} dst from edges where {n('level')} is not null and {n('src_table')} is not null and {n('dst_table')} is not null)"
+_SEEDS = f"(select distinct src node from {_E} where split_part(src, '/', 2) < 'fin')"
 
 
-def project_edges(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "edges").filter(name_of("level") == "project").select(name_of("src_table").alias("src"), name_of("dst_table").alias("dst")).dropna().distinct()
+def level_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of all levels between tables named by their level."""
+    at = lambda c: F.concat(name_of("level"), F.lit("/"), name_of(c))
+    return table(spark, d, "edges").select(at("src_table").alias("src"), at("dst_table").alias("dst")).dropna().distinct()
 
 
 def seeds(e: DataFrame) -> DataFrame:
-    return e.filter("src < 'fin'").select(F.col("src").alias("node")).distinct()
+    return e.filter(F.split_part("src", F.lit("/"), F.lit(2)) < "fin").select(F.col("src").alias("node")).distinct()
 
 
 def _hop_sql(a: str, b: str, hops: int) -> str:
@@ -251,20 +223,20 @@ def _hop_sql(a: str, b: str, hops: int) -> str:
 
 @query(_hop_sql("src", "dst", 3))
 def grf_k_hop_down(spark, d):
-    e = project_edges(spark, d)
+    e = level_edges(spark, d)
     return graph.reach(e, seeds(e), 3, "down")
 
 
 @query(_hop_sql("dst", "src", 2))
 def grf_k_hop_up(spark, d):
-    e = project_edges(spark, d)
+    e = level_edges(spark, d)
     return graph.reach(e, seeds(e), 2, "up")
 
 
 @query(f"""with recursive e as {_E}, d as (select node, 0 hop from {_SEEDS} union select e.dst, d.hop + 1 from d join e on e.src = d.node where d.hop < 1), u as (select node, 0 hop from {_SEEDS} union select e.src, u.hop + 1 from u join e on e.dst = u.node where u.hop < 1),
  x as (select node, 1 u, 0 d, (hop = 0)::int s from u union all select node, 0, 1, (hop = 0)::int from d) select node, case when max(s) = 1 then 'seed' when max(u) = 1 and max(d) = 1 then 'both' when max(u) = 1 then 'up' else 'down' end as role from x group by 1""")
 def grf_roles(spark, d):
-    e = project_edges(spark, d)
+    e = level_edges(spark, d)
     return graph.roles(e, seeds(e), 1, 1)
 
 
@@ -272,13 +244,13 @@ def grf_roles(spark, d):
  x as (select node, 1 u, 0 d, (hop = 0)::int s from u union all select node, 0, 1, (hop = 0)::int from d) select node, case when max(s) = 1 then 'seed' when max(u) = 1 and max(d) = 1 then 'both' when max(u) = 1 then 'up' else 'down' end as role from x group by 1 order by max(s) desc, node limit 200""")
 def grf_neighbourhood(spark, d):
     """The neighbourhood two steps up and down, seeds first; at most 200 nodes are shown."""
-    e = project_edges(spark, d)
+    e = level_edges(spark, d)
     return graph.roles(e, seeds(e), 2, 2).orderBy((F.col("role") == "seed").desc(), "node").limit(200)
 
 
 @query(f"with recursive e as {_E}, c as (select src, dst from e union select c.src, e.dst from c join e on c.dst = e.src) select src, dst from c")
 def grf_transitive_closure(spark, d):
-    return graph.closure(project_edges(spark, d)).select("src", "dst")
+    return graph.closure(level_edges(spark, d)).select("src", "dst")
 
 
 _SCC = f"e as {_E}, c as (select src, dst from e union select c.src, e.dst from c join e on c.dst = e.src), nodes as (select src node from e union select dst from e), comp as (select node, least(node, coalesce((select min(x.dst) from c x join c y on x.dst = y.src and y.dst = x.src where x.src = node), node)) component from nodes)"
@@ -286,32 +258,37 @@ _SCC = f"e as {_E}, c as (select src, dst from e union select c.src, e.dst from
 
 @query(f"with recursive {_SCC} select node, component from comp")
 def grf_components(spark, d):
-    return graph.components(project_edges(spark, d))
+    return graph.components(level_edges(spark, d))
 
 
 @query(f"""with recursive {_SCC}, k as (select distinct a.component x, b.component y from e join comp a on a.node = e.src join comp b on b.node = e.dst where a.component <> b.component),
  l as (select component c, 0 level from comp union select k.y, l.level + 1 from l join k on k.x = l.c), m as (select c, max(level)::int level from l group by 1)
  select node, component, node in (select src from c where src = dst) in_loop, level from comp join m on m.c = comp.component""")
 def grf_run_order(spark, d):
-    return graph.run_order(project_edges(spark, d))
+    return graph.run_order(level_edges(spark, d))
 
 
 @query(f"""with e as {_E}, p as (select src, dst, src || '>' || dst table_name, case when length(src) % 2 = 0 then 'fact' else 'inferred' end provenance from e)
  select split_part(src, '.', 1) src, split_part(dst, '.', 1) dst, count(distinct table_name) n_tables, max(case when provenance = 'fact' then 1 else 0 end) is_fact from p where split_part(src, '.', 1) <> split_part(dst, '.', 1) group by 1, 2""")
 def grf_collapse(spark, d):
-    e = project_edges(spark, d).withColumn("table_name", F.concat("src", F.lit(">"), "dst")).withColumn("provenance", F.when(F.length("src") % 2 == 0, "fact").otherwise("inferred"))
+    e = level_edges(spark, d).withColumn("table_name", F.concat("src", F.lit(">"), "dst")).withColumn("provenance", F.when(F.length("src") % 2 == 0, "fact").otherwise("inferred"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("container", F.substring_index("node", ".", 1))
     return graph.collapse(e, nodes)
 
 
 # ---- store ----
-def _provided(snapshot: int) -> str:
+def _provided(back: int = 0) -> str:
+    """The lineage as of the latest snapshot, or so many snapshots before it."""
+    no = f"(select s from (select distinct snapshot_no s from lineage where snapshot_no is not null) order by s desc limit 1 offset {back})"
     return f"""(select distinct {f('fileid')} fileid, {n('block_id')} block_id, {n('source_canonical_name')} src, {n('target_canonical_name')} dst, {n('source_canonical_name')} table_name, case when {n('edge_type')} = 'block_flow' then 'block' else 'file' end as level,
- case when {n('edge_type')} = 'block_flow' then 'fact' else 'inferred' end provenance, coalesce({n('freshness')}, 'green') freshness from lineage where snapshot_no = {snapshot})"""
+ case when {n('edge_type')} = 'block_flow' then 'fact' else 'inferred' end provenance, coalesce({n('freshness')}, 'green') freshness from lineage where snapshot_no = {no})"""
 
 
-def provided(spark: SparkSession, d: str, snapshot: int) -> DataFrame:
-    return store.provided_edges(table(spark, d, "lineage").filter(F.col("snapshot_no") == snapshot)).distinct()
+def provided(spark: SparkSession, d: str, back: int = 0) -> DataFrame:
+    """The lineage as of the latest snapshot, or so many snapshots before it."""
+    rows = table(spark, d, "lineage")
+    numbers = rows.agg(F.sort_array(F.collect_set("snapshot_no"), asc=False)).scalar()  # one number per snapshot
+    return store.provided_edges(rows.filter(F.col("snapshot_no") == F.get(numbers, F.lit(back)))).distinct()
 
 
 def full_edits(spark: SparkSession, d: str) -> DataFrame:
@@ -327,37 +304,37 @@ _EDITS = f"""ed as (select edit_id, edited_at, {n('action')} as action, {n('src'
  from (select *, row_number() over (partition by edit_id order by received_at desc nulls last, edited_at desc nulls last) rn from human_edits) where rn = 1)"""
 
 
-@query(f"""with {_EDITS}, e as {_provided(5)}, live as (select * from ed where not rc),
+@query(f"""with {_EDITS}, e as {_provided()}, live as (select * from ed where not rc),
  said as (select block_id, fileid, max((action = 'reject')::int) no, max((action = 'confirm')::int) yes from live where block_id is not null and action in ('reject', 'confirm') group by 1, 2),
  heard as (select e.*, coalesce(max(no), 0) no, coalesce(max(yes), 0) yes from e left join said s on s.block_id = e.block_id and (s.fileid = e.fileid or s.fileid is null) group by all)
  select fileid, block_id, src, dst, table_name, level, if(yes = 1, 'human_gold', provenance) provenance, freshness from heard where no = 0
  union all select coalesce(fileid, src), block_id, src, dst, table_name, level, 'human_gold', 'green' from live where action in ('add', 'correct')""")
 def grf_merged_edges(spark, d):
-    return store.merged_edges(provided(spark, d, 5), full_edits(spark, d))
+    return store.merged_edges(provided(spark, d), full_edits(spark, d))
 
 
-@query(f"""with {_EDITS}, e as {_provided(5)} select edit_id, case when exists (select 1 from e where e.fileid = ed.fileid and e.block_id = ed.block_id) then 'green' when exists (select 1 from e where e.fileid = ed.fileid and e.src = ed.src and e.dst = ed.dst) then 'yellow' else 'red' end colour from ed where block_id is not null""")
+@query(f"""with {_EDITS}, e as {_provided()} select edit_id, case when exists (select 1 from e where e.fileid = ed.fileid and e.block_id = ed.block_id) then 'green' when exists (select 1 from e where e.fileid = ed.fileid and e.src = ed.src and e.dst = ed.dst) then 'yellow' else 'red' end colour from ed where block_id is not null""")
 def grf_stale_colour(spark, d):
-    return store.stale_colour(full_edits(spark, d), provided(spark, d, 5))
+    return store.stale_colour(full_edits(spark, d), provided(spark, d))
 
 
-@query(f"""with a as {_provided(4)}, b as {_provided(5)} select b.*, case when b.fileid not in (select fileid from a where fileid is not null) or exists (select 1 from a where a.fileid = b.fileid and a.block_id is not distinct from b.block_id) then 'green'
+@query(f"""with a as {_provided(1)}, b as {_provided()} select b.*, case when b.fileid not in (select fileid from a where fileid is not null) or exists (select 1 from a where a.fileid = b.fileid and a.block_id is not distinct from b.block_id) then 'green'
   when exists (select 1 from a where a.fileid = b.fileid and a.src = b.src and a.dst = b.dst and a.level = b.level) then 'yellow' else 'red' end colour from b where fileid is not null""")
 def grf_freshness(spark, d):
-    return store.freshness(provided(spark, d, 5).filter("fileid is not null"), provided(spark, d, 4))
+    return store.freshness(provided(spark, d).filter("fileid is not null"), provided(spark, d, 1))
 
 
-@query(f"with a as {_provided(4)}, b as {_provided(5)} select fileid, src, dst, level, max(block_id) block_id from a where fileid in (select fileid from b) and src is not null and dst is not null and (fileid, src, dst, level) not in (select fileid, src, dst, level from b where src is not null and dst is not null and fileid is not null) group by all")
+@query(f"with a as {_provided(1)}, b as {_provided()} select fileid, src, dst, level, max(block_id) block_id from a where fileid in (select fileid from b) and src is not null and dst is not null and (fileid, src, dst, level) not in (select fileid, src, dst, level from b where src is not null and dst is not null and fileid is not null) group by all")
 def grf_ghosts(spark, d):
     named = "fileid is not null and src is not null and dst is not null"
-    return store.lost_flows(provided(spark, d, 5).filter(named), provided(spark, d, 4).filter(named))
+    return store.lost_flows(provided(spark, d).filter(named), provided(spark, d, 1).filter(named))
 
 
-@query(f"""with a as (select distinct fileid, src, dst, level from {_provided(2)} where src is not null and dst is not null), b as (select distinct fileid, src, dst, level from {_provided(3)} where src is not null and dst is not null)
+@query(f"""with a as (select distinct fileid, src, dst, level from {_provided(3)} where src is not null and dst is not null), b as (select distinct fileid, src, dst, level from {_provided(2)} where src is not null and dst is not null)
  select *, 'added' as change from (select * from b except select * from a) union all select *, 'removed' from (select * from a except select * from b)""")
 def grf_save_delta(spark, d):
     named = "fileid is not null and src is not null and dst is not null"
-    return store.save_delta(provided(spark, d, 3).filter(named), provided(spark, d, 2).filter(named))
+    return store.save_delta(provided(spark, d, 2).filter(named), provided(spark, d, 3).filter(named))
 
 
 @query(f"with {_EDITS} select edit_id, action, src, dst, level from ed where rc and not dm")
@@ -366,16 +343,16 @@ def grf_pending(spark, d):
     return e.filter(F.coalesce("requires_check", F.lit(False)) & ~F.coalesce("dismissed", F.lit(False))).orderBy("edited_at", "edit_id").select("edit_id", "action", "src", "dst", "level")
 
 
-@query(f"with e as {_provided(5)}, rd as (select src t, count(distinct fileid) c from e group by 1), wr as (select dst t, count(distinct fileid) c from e group by 1), al as (select t, count(distinct fileid) c from (select src t, fileid from e union select dst, fileid from e) group by 1) select t table_name, coalesce(rd.c, 0) n_reading, coalesce(wr.c, 0) n_writing, al.c n_files from al left join rd using (t) left join wr using (t) where t is not null")
+@query(f"with e as {_provided()}, rd as (select src t, count(distinct fileid) c from e group by 1), wr as (select dst t, count(distinct fileid) c from e group by 1), al as (select t, count(distinct fileid) c from (select src t, fileid from e union select dst, fileid from e) group by 1) select t table_name, coalesce(rd.c, 0) n_reading, coalesce(wr.c, 0) n_writing, al.c n_files from al left join rd using (t) left join wr using (t) where t is not null")
 def grf_pivot_by_table(spark, d):
-    return store.pivot_by_table(provided(spark, d, 5))
+    return store.pivot_by_table(provided(spark, d))
 
 
 def _by_file(spark: SparkSession, d: str) -> tuple:
-    return table(spark, d, "files").select(file_of("fileid").alias("fileid")).distinct(), table(spark, d, "blocks").select(file_of("fileid").alias("fileid"), name_of("block_id").alias("block_id")).distinct(), provided(spark, d, 5)
+    return table(spark, d, "files").select(file_of("fileid").alias("fileid")).distinct(), table(spark, d, "blocks").select(file_of("fileid").alias("fileid"), name_of("block_id").alias("block_id")).distinct(), provided(spark, d)
 
 
-_BYFILE = f"fi as (select distinct {f('fileid')} fileid from files), b as (select distinct {f('fileid')} fileid, {n('block_id')} block_id from blocks), e as {_provided(5)}"
+_BYFILE = f"fi as (select distinct {f('fileid')} fileid from files), b as (select distinct {f('fileid')} fileid, {n('block_id')} block_id from blocks), e as {_provided()}"
 
 
 @query(f"with {_BYFILE} select fi.fileid, count(distinct b.block_id) n_blocks, count(e.fileid) n_edges from fi left join b using (fileid) left join e on e.fileid = fi.fileid group by 1")
@@ -395,36 +372,9 @@ def grf_search_top20(spark, d):
     return store.search(m, table(spark, d, "files").select("sasfilename", file_of("fileid").alias("fileid")), "client")
 
 
-@query(f"select * from {_provided(5)} where (contains(src, 'cash') or contains(dst, 'cash')) and level = 'block' order by src nulls first, dst nulls first, table_name nulls first, fileid nulls first, block_id nulls first, level, provenance, freshness limit 50 offset 100")
+@query(f"select * from {_provided()} where (contains(src, 'dwh') or contains(dst, 'dwh')) and level = 'block' order by src nulls first, dst nulls first, table_name nulls first, fileid nulls first, block_id nulls first, level, provenance, freshness limit 50 offset 100")
 def grf_paged_edges(spark, d):
-    return store.paged(provided(spark, d, 5), "cash", "block", 100, 50)
-
-
-_WORDS = "w as (select distinct p_brand, unnest(string_split(lower(p_name), ' ')) x from part), g as (select p_brand, list(x) xs, count(*) c from w group by 1)"
-
-
-@query(f"with {_WORDS} select a.p_brand a, b.p_brand b, round(len(list_intersect(a.xs, b.xs))::double / len(list_distinct(list_concat(a.xs, b.xs))), 2) jaccard from g a join g b on a.p_brand < b.p_brand and len(list_intersect(a.xs, b.xs)) > 0")
-def grf_similar_jaccard(spark, d):
-    """Jaccard of word sets of brands: counts of shared words by an equi-join on words, sizes beside."""
-    w = table(spark, d, "part").select("p_brand", F.explode(F.split(F.lower("p_name"), " ")).alias("x")).distinct()
-    size = w.groupBy("p_brand").agg(F.count("*").alias("c"))
-    both = w.select(F.col("p_brand").alias("a"), "x").join(w.select(F.col("p_brand").alias("b"), "x"), "x").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    j = both.join(size.select(F.col("p_brand").alias("a"), F.col("c").alias("ca")), "a").join(size.select(F.col("p_brand").alias("b"), F.col("c").alias("cb")), "b")
-    return j.select("a", "b", F.round(F.col("n") / (F.col("ca") + F.col("cb") - F.col("n")), 2).alias("jaccard"))
-
-
-@query(f"with {_WORDS} select a.p_brand sub, b.p_brand sup from g a join g b on a.p_brand <> b.p_brand where len(list_intersect(a.xs, b.xs)) = len(a.xs)")
-def grf_subset_links(spark, d):
-    w = table(spark, d, "part").select("p_brand", F.explode(F.split(F.lower("p_name"), " ")).alias("x")).distinct()
-    size = w.groupBy(F.col("p_brand").alias("sub")).agg(F.count("*").alias("c"))
-    both = w.select(F.col("p_brand").alias("sub"), "x").join(w.select(F.col("p_brand").alias("sup"), "x"), "x").filter("sub != sup").groupBy("sub", "sup").agg(F.count("*").alias("n"))
-    return both.join(size, "sub").filter("n = c").select("sub", "sup")
-
-
-@query("select n_name, levenshtein(lower(n_name), 'chinna') dist from nation where levenshtein(lower(n_name), 'chinna') <= 4")
-def grf_levenshtein_suggest(spark, d):
-    dist = F.levenshtein(F.lower("n_name"), F.lit("chinna"))
-    return table(spark, d, "nation").filter(dist <= 4).select("n_name", dist.cast("long").alias("dist"))
+    return store.paged(provided(spark, d), "dwh", "block", 100, 50)
 
 
 _SOURCE_WORDS = f"w as (select distinct {n('source')} s, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) x from documents where {n('source')} is not null), g as (select s, count(*) c from w group by 1)"
@@ -434,10 +384,7 @@ _SOURCE_WORDS = f"w as (select distinct {n('source')} s, unnest(regexp_extract_a
 def grf_similar_sources(spark, d):
     """Jaccard of the word sets of all documents of a source; a word is in at most as many sets as there are sources."""
     w = table(spark, d, "documents").select(name_of("source").alias("s"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("x")).filter("s is not null").distinct()
-    size = w.groupBy("s").agg(F.count("*").alias("c"))
-    both = w.select(F.col("s").alias("a"), "x").join(w.select(F.col("s").alias("b"), "x"), "x").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    j = both.join(size.select(F.col("s").alias("a"), F.col("c").alias("ca")), "a").join(size.select(F.col("s").alias("b"), F.col("c").alias("cb")), "b")
-    return j.select("a", "b", F.round(F.col("n") / (F.col("ca") + F.col("cb") - F.col("n")), 6).alias("jaccard"))
+    return lineage.jaccard(w, "s", "x")
 
 
 _TERM_FILES = f"m as (select distinct {n('term')} term, {f('fileid')} x from mentions where {n('term')} is not null and {f('fileid')} is not null), g as (select term, count(*) c from m group by 1)"
@@ -447,29 +394,25 @@ _TERM_FILES = f"m as (select distinct {n('term')} term, {f('fileid')} x from men
 def grf_subset_terms(spark, d):
     """Terms whose files all mention another term too; the join is by file, so it grows with the files."""
     m = table(spark, d, "mentions").select(name_of("term").alias("term"), file_of("fileid").alias("x")).dropna().distinct()
-    size = m.groupBy(F.col("term").alias("sub")).agg(F.count("*").alias("c"))
-    both = m.select(F.col("term").alias("sub"), "x").join(m.select(F.col("term").alias("sup"), "x"), "x").filter("sub != sup").groupBy("sub", "sup").agg(F.count("*").alias("n"))
-    return both.join(size, "sub").filter("n = c").select("sub", "sup")
+    return lineage.subsets(m, "term", "x")
 
 
 @query(f"select distinct {n('term')} term, levenshtein({n('term')}, 'dwh.calender_dim') dist from mentions where levenshtein({n('term')}, 'dwh.calender_dim') <= 8")
 def grf_suggest_terms(spark, d):
     """Distinct terms near a misspelt one."""
-    dist = F.levenshtein("term", F.lit("dwh.calender_dim"))
-    return table(spark, d, "mentions").select(name_of("term").alias("term")).distinct().filter(dist <= 8).select("term", dist.cast("long").alias("dist"))
+    return lineage.suggestions(table(spark, d, "mentions").select(name_of("term").alias("term")), "term", "dwh.calender_dim", 8)
 
 
 @query(f"select fileid, case when ok = n then 'converted' when ok > 0 then 'partial' else 'not converted' end status, n n_blocks, ok n_parsed from (select {f('fileid')} fileid, count(*) n, count(*) filter ({n('status')} = 'parsed') ok from (select distinct fileid, block_key, status from blocks) group by 1)")
 def grf_conversion_coverage(spark, d):
     b = table(spark, d, "blocks").select("fileid", "block_key", "status").distinct().select(file_of("fileid").alias("fileid"), name_of("status").alias("status"))
-    g = b.groupBy("fileid").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("status") == "parsed").alias("n_parsed"))
-    return g.select("fileid", F.when(F.col("n_parsed") == F.col("n_blocks"), "converted").when(F.col("n_parsed") > 0, "partial").otherwise("not converted").alias("status"), "n_blocks", "n_parsed")
+    return lineage.conversion_coverage(b)
 
 
 @query(f"with t as (select distinct {f('fileid')} fileid, {n('term')} term from mentions where {n('term')} is not null and {f('fileid')} is not null), a as (select fileid, list(term order by term) l from t group by 1) select fileid, array_to_string(l[1:2], ', ') || case when len(l) > 2 then ' +' || (len(l) - 2) else '' end as label from a")
 def grf_labels(spark, d):
     m = table(spark, d, "mentions").select(file_of("fileid").alias("fileid"), name_of("term").alias("term")).dropna().distinct()
-    return m.groupBy("fileid").agg(F.sort_array(F.collect_set("term")).alias("l")).select("fileid", store.labels(F.col("l")).alias("label"))
+    return store.first_names(m, "fileid", "term").withColumnRenamed("names", "label")
 
 
 @query(f"select * exclude (rn) from (select block_key, {n('kind')} kind, parsed_at, row_number() over (partition by block_key order by parsed_at desc nulls last, {n('kind')} desc nulls last) rn from blocks) where rn = 1")
@@ -494,20 +437,19 @@ def evt_append(spark, d):
     return numbered(table(spark, d, "store_log"), table(spark, d, "events").select("event_id"), ["event_id"])
 
 
-@query("select p_partkey, p_size from part where p_brand not in (select p_brand from part where p_size = 7) union all select p_partkey, -p_size from part where p_brand in (select p_brand from part where p_size = 7) and p_size % 2 = 0")
+@query("select p_brand, p_partkey, p_size from part where p_brand not in (select p_brand from part where p_size = 7) union all select p_brand, min(p_partkey), -7 from part where p_size = 7 group by 1")
 def snk_upsert(spark, d):
+    """All rows of a brand that has a part of size 7 are replaced by one."""
     p = table(spark, d, "part").select("p_brand", "p_partkey", "p_size")
-    hit = p.join(p.filter("p_size = 7").select("p_brand").distinct(), "p_brand", "left_semi").filter("p_size % 2 = 0").withColumn("p_size", -F.col("p_size"))
-    # a brand whose rows are all odd keeps nothing; its key must still count as replaced
-    gone = p.join(p.filter("p_size = 7").select("p_brand").distinct(), "p_brand", "left_anti")
-    return upsert(gone, hit, "p_brand").select("p_partkey", "p_size")
+    new = p.filter("p_size = 7").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"), F.lit(-7).alias("p_size"))
+    return upsert(p, new, "p_brand")
 
 
-@query(f"select {f('folder_path')} folder, count(*) n from files where folder_path is not null group by 1")
+@query(f"select {f('folder_path')} folder, count(*) n from files group by 1")
 def snk_partitioned_parquet(spark, d):
     """Files written by folder and read back with their partitions."""
     where = Scratch(spark, "partitioned").path("files")
-    write_partitioned(table(spark, d, "files").filter("folder_path is not null").withColumn("folder_path", file_of("folder_path")), where)
+    write_partitioned(table(spark, d, "files").withColumn("folder_path", file_of("folder_path")), where)
     return spark.read.parquet(where).groupBy(F.col("folder_path").cast("string").alias("folder")).agg(F.count("*").alias("n"))
 
 
@@ -532,17 +474,18 @@ def src_synthetic_edges_scale(spark, d):
     return synthetic_edges(spark, 30_000, 100).groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
-@query("select c_custkey, coalesce(o.p, c_acctbal) bal from customer left join (select o_custkey, max(o_totalprice) p from orders where o_totalprice > 300000 group by 1) o on o_custkey = c_custkey")
+@query("""select c_custkey, coalesce(o.p, c_acctbal) bal from customer left join (select o_custkey, arg_max(o_totalprice, o_orderkey) p from orders where o_totalprice > 300000 group by 1) o on o_custkey = c_custkey""")
 def jon_update_step(spark, d):
-    """UPDATE: master rows with the transaction's value where it has one."""
-    t = table(spark, d, "orders").filter("o_totalprice > 300000").groupBy("o_custkey").agg(F.max("o_totalprice").alias("p"))
-    return table(spark, d, "customer").join(t, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("p", "c_acctbal").alias("bal"))
+    """UPDATE: master rows with the value of their last transaction where they have one."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("bal"), F.struct("c_custkey").alias(SEQ))
+    t = table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("bal"), F.struct("o_orderkey").alias(SEQ))
+    return visible(by_update(c, t, ["c_custkey"]))
 
 
-@query(f"select a.src, a.dst from (select src, dst from {_provided(5)} where src is not null and dst is not null) a except select src, dst from {_provided(1)}")
+@query(f"select a.src, a.dst from (select src, dst from {_provided()} where src is not null and dst is not null) a except select src, dst from {_provided(4)}")
 def set_lineage_except(spark, d):
     named = "src is not null and dst is not null"
-    return provided(spark, d, 5).filter(named).select("src", "dst").subtract(provided(spark, d, 1).filter(named).select("src", "dst"))
+    return provided(spark, d).filter(named).select("src", "dst").subtract(provided(spark, d, 4).filter(named).select("src", "dst"))
 
 
 _AT = f"ea as (select edit_id, coalesce(edited_at, received_at) tm, {n('action')} as action, {n('src')} src, {n('dst')} dst, {n('table_name')} table_name, {n('level')} as level, coalesce(requires_check, false) rc from (select *, row_number() over (partition by edit_id order by received_at desc nulls last) rn from human_edits) where rn = 1)"
@@ -558,22 +501,27 @@ def grf_edit_lifecycle(spark, d):
     return reports.edit_lifecycle(e, ["src", "dst", "table_name", "level"]).select("edit_id", "cleared", "out_of_queue")
 
 
-@query(f"""with e as {_E}, i as (select dst node, count(distinct src) c, list(distinct src order by src) l from e where src <> dst group by 1), o as (select src node, count(distinct dst) c, list(distinct dst order by dst) l from e where src <> dst group by 1)
- select s.node, s.node || ': ' || case when i.c > 0 then 'fed by ' || i.c || ' (' || array_to_string(i.l[1:2], ', ') || ')' else 'fed by none' end || '; ' || case when o.c > 0 then 'feeds ' || o.c || ' (' || array_to_string(o.l[1:2], ', ') || ')' else 'feeds none' end || '.' sentence from {_SEEDS} s left join i using (node) left join o using (node)""")
+@query(f"""with recursive e as {_E}, i as (select dst node, count(distinct src) c, list(distinct src order by src) l from e where src <> dst group by 1), o as (select src node, count(distinct dst) c, list(distinct dst order by dst) l from e where src <> dst group by 1),
+ dn as (select s.node, e.dst x from {_SEEDS} s join e on e.src = s.node union select dn.node, e.dst from dn join e on e.src = dn.x), k as (select node, count(*) filter (x <> node) n from dn group by 1)
+ select s.node, s.node || ': ' || case when i.c > 0 then 'fed by ' || i.c || ' (' || array_to_string(i.l[1:2], ', ') || ')' else 'fed by none' end || '; ' || case when o.c > 0 then 'feeds ' || o.c || ' (' || array_to_string(o.l[1:2], ', ') || ')' else 'feeds none' end
+  || '; if it changes, ' || coalesce(k.n, 0) || ' downstream are affected.' sentence from {_SEEDS} s left join i using (node) left join o using (node) left join k using (node)""")
 def grf_story(spark, d):
-    e = project_edges(spark, d)
+    e = level_edges(spark, d)
     return reports.story(e, seeds(e))
 
 
-@query(f"select distinct fileid, block_id, src, dst, case when contains(src, '.') then split_part(src, '.', 1) else 'work' end src_schema, split_part(src, '.', -1) src_name, case when contains(dst, '.') then split_part(dst, '.', 1) else 'work' end dst_schema, split_part(dst, '.', -1) dst_name, level from {_provided(5)} where src is not null and dst is not null")
+@query(f"""select distinct fileid, block_id, src, dst, case when contains(src, '.') then split_part(src, '.', 1) else 'work' end src_schema, split_part(src, '.', -1) src_name, case when contains(dst, '.') then split_part(dst, '.', 1) else 'work' end dst_schema, split_part(dst, '.', -1) dst_name, level,
+ case split_part(src, '.', 1) when 'dwh' then '/data/dwh' when 'ref' then '/data/ref' else '' end src_lib_path, case split_part(dst, '.', 1) when 'dwh' then '/data/dwh' when 'ref' then '/data/ref' else '' end dst_lib_path,
+ case split_part(src, '.', 1) when 'stg' then 'staging' else '' end new_src_schema, case split_part(dst, '.', 1) when 'stg' then 'staging' else '' end new_dst_schema from {_provided()} where src is not null and dst is not null""")
 def lin_export_rows(spark, d):
-    return reports.export_rows(provided(spark, d, 5).filter("src is not null and dst is not null")).distinct()
+    named = provided(spark, d).filter("src is not null and dst is not null")
+    return reports.export_rows(named, {"dwh": "/data/dwh", "ref": "/data/ref"}, {"stg": "staging"}).distinct()
 
 
-@query(f"with b as (select distinct block_key, n, {n('name')} nm, sas_code from blocks where sas_code is not null), o as (select distinct split_part(nm, '.', 2) nm from b where nm is not null), w as (select block_key, n, unnest(list_distinct(regexp_extract_all(lower(sas_code), '[a-z0-9_]+'))) word from b) select o.nm as name, arg_max(block_key, row(n, block_key)) block from o join w on w.word = o.nm group by 1")
+@query(f"with b as (select distinct block_key, n, {n('name')} nm, coalesce(sas_code, sas_text) sas_code from blocks), o as (select distinct split_part(nm, '.', 2) nm from b where nm is not null), w as (select block_key, n, unnest(list_distinct(regexp_extract_all(lower(sas_code), '[a-z0-9_]+'))) word from b) select o.nm as name, arg_max(block_key, row(n, block_key)) block from o join w on w.word = o.nm group by 1")
 def win_attribute_outputs(spark, d):
     """The block that mentions each written table last."""
-    b = table(spark, d, "blocks").filter("sas_code is not null").select(F.col("block_key").alias("block"), F.col("n").alias("seq"), F.col("sas_code").alias("term"), name_of("name").alias("nm")).distinct()
+    b = table(spark, d, "blocks").select(F.col("block_key").alias("block"), F.col("n").alias("seq"), F.coalesce("sas_code", "sas_text").alias("term"), name_of("name").alias("nm")).distinct()
     return reports.attribute_outputs(b, b.filter("nm is not null").select(F.split_part("nm", F.lit("."), F.lit(2)).alias("name")))
 
 
@@ -583,10 +531,10 @@ def ver_block_verdict(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), reports.block_verdict(bal > -900, bal > -700, nat != 3, F.when(nat != 4, nat), F.when(bal > 9000, 1).otherwise(0), F.col("c_mktsegment") == "BUILDING").alias("verdict"))
 
 
-@query(f"select (select count(distinct {f('fileid')}) from files) n_files, (select count(distinct block_key) from blocks) n_blocks, (select count(*) from {_provided(5)}) n_edges, (select count(distinct {n('term')}) from mentions where {n('term')} is not null) n_tables")
+@query(f"select (select count(distinct {f('fileid')}) from files) n_files, (select count(distinct block_key) from blocks) n_blocks, (select count(*) from {_provided()}) n_edges, (select count(distinct {n('term')}) from mentions where {n('term')} is not null) n_tables")
 def grf_counts(spark, d):
     one = lambda t, c, name: table(spark, d, t).agg(F.count_distinct(c).alias(name)).scalar().alias(name)
-    return spark.range(1).select(one("files", file_of("fileid"), "n_files"), one("blocks", F.col("block_key"), "n_blocks"), provided(spark, d, 5).agg(F.count("*")).scalar().alias("n_edges"), one("mentions", name_of("term"), "n_tables"))
+    return spark.range(1).select(one("files", file_of("fileid"), "n_files"), one("blocks", F.col("block_key"), "n_blocks"), provided(spark, d).agg(F.count("*")).scalar().alias("n_edges"), one("mentions", name_of("term"), "n_tables"))
 
 
 _WORKFLOW = """<workflow-app xmlns="uri:oozie:workflow:0.5" name="nightly"><start to="split"/><fork name="split"><path start="load"/><path start="clean"/></fork>

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import sas
+from quillspan.operators.ranking import latest_before
 
 _KINDS = {"num": "double", "char": "string", "date": "string"}
 
@@ -31,12 +32,17 @@ def part_files(spark: SparkSession, path: str, names: list[str], sep: str = ",")
 
 
 def listing(lines: DataFrame, order: str, text: str) -> DataFrame:
-    """Rows of a printed listing: title, obs, values (array). A title is a line ``Table: name``; its next line names the columns."""
-    w = Window.orderBy(order)  # a listing is one report; it is read in order
-    title = F.regexp_extract(text, r"^Table:\s+(\S+)", 1)
-    tagged = lines.filter(F.trim(text) != "").withColumn("__t", F.when(title != "", title)).withColumn("title", F.last("__t", ignorenulls=True).over(w)).withColumn("__before", F.lag("__t").over(w))
-    rows = tagged.filter(F.col("__t").isNull() & F.col("__before").isNull() & F.col("title").isNotNull())
+    """Rows of printed listings: title, obs, values (array). lines: ``order`` (whole numbers, unique) and ``text``.
+
+    A title is a line ``Table: name``; a row begins with its number, so the line with the names of the columns is none. The title of a row
+    is that of the latest title line before it, found over spans of lines, so a report of any length is read in parallel. Lines before
+    the first title belong to no table.
+    """
+    name = F.nullif(F.regexp_extract(text, r"^Table:\s+(\S+)", 1), F.lit(""))
+    tagged = latest_before(lines.select(order, text), [], order, name.isNotNull(), "__title")
+    titles = lines.filter(name.isNotNull()).select(F.col(order).alias("__at"), name.alias("title"))
     parts = F.split(F.trim(text), r"\s+")
+    rows = tagged.filter(name.isNull() & parts[0].try_cast("int").isNotNull()).join(titles, F.col("__title") == F.col("__at"))
     return rows.select("title", parts[0].try_cast("int").alias("obs"), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))).alias("values"))
 
 
