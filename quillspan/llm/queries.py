@@ -114,10 +114,30 @@ ORACLE = {
     "p6_found": f"with {_TERMS} select term, mark from k where mark is not null",
     "p6_terms": f"with {_TERMS} select term, n, n_files, mark from k",
 }
-_ALIKE = """b as (select distinct block_key, lower(coalesce(sas_code, sas_text)) x from blocks where block_key is not null),
- w as (select block_key, regexp_extract_all(x, '[a-z0-9_]+') w from b),
- s as (select distinct block_key, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) g from w),
- n as (select block_key, count(*) n from s group by 1),
- o as (select x.block_key a, y.block_key z, count(*) both_n from s x join s y on x.g = y.g and x.block_key < y.block_key group by 1, 2),
- p as (select a, z from o join n p on p.block_key = a join n q on q.block_key = z where both_n * 10 >= 7 * (p.n + q.n - both_n))"""
-ORACLE["p4_found"] = f"with {_ALIKE} select a block_key_a, z block_key_z from p".replace("block_key_z", "block_key_b")
+def _alike(source: str, k: int, share: tuple[int, int]) -> str:
+    """Sets of word runs by record id, the classes of equal sets, and the pairs of classes with at least ``share`` in common.
+
+    Sets are compared as sorted lists of hashes; pairs are found through every run that two classes share.
+    """
+    run = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
+    a, b = share
+    return f"""b as ({source}), w as (select id, regexp_extract_all(lower(x), '[a-z0-9_]+') w from b),
+ s as (select distinct id, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: hash({run}))) g from w),
+ l as (select id, list(g order by g) gs, count(*) n from s group by 1),
+ c as (select gs, any_value(n) n, min(id) least, count(*) size from l group by 1), e as (select least, n, unnest(gs) g from c),
+ o as (select x.least a, y.least z, count(*) both_n from e x join e y on x.g = y.g and x.least < y.least group by 1, 2),
+ p as (select a, z, both_n / (u.n + v.n - both_n) similarity from o join c u on u.least = a join c v on v.least = z where both_n * {b} >= {a} * (u.n + v.n - both_n))"""
+
+
+_BLOCKS = _alike("select distinct block_key id, coalesce(sas_code, sas_text) x from blocks where block_key is not null", 3, (7, 10))
+_DOCS = _alike("select distinct doc_id id, text x from documents where doc_id is not null", 5, (8, 10))
+_CLASSES = """, k as (select least, count(*) n from (select a least from p union all select z from p) group by 1), ids as (select distinct id from b)
+ select ids.id {id}, coalesce(c.least, ids.id) {cls}, coalesce(c.size - 1, 0) n_copies, coalesce(k.n, 0) n_links from ids left join l on l.id = ids.id left join c on c.gs = l.gs left join k on k.least = c.least"""
+ORACLE |= {
+    "p4_found": f"""with {_BLOCKS}, m as (select l.id, c.least from l join c on c.gs = l.gs),
+ r as (select x.id i, y.id j from p join m x on x.least = p.a join m y on y.least = p.z union all select x.id, y.id from m x join m y on x.least = y.least and x.id < y.id)
+ select distinct least(i, j) block_key_a, greatest(i, j) block_key_b from r where i <> j""",
+    "p4_classes": f"with {_BLOCKS} {_CLASSES.format(id='block_key', cls='class_block_key')}",
+    "p4_documents": f"with {_DOCS} {_CLASSES.format(id='doc_id', cls='class_doc_id')}",
+    "p4_links": f"with {_DOCS} select a class_doc_id_a, z class_doc_id_b, similarity from p",
+}

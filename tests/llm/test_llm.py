@@ -73,6 +73,36 @@ def test_near_duplicates(spark, monkeypatch, chunk):
         assert (classes[i].class_key, classes[i].n_copies, classes[i].n_links) == (min(same), len(same) - 1, len(links))
 
 
+def test_large_sets(spark):
+    """Sets of all sizes on both sides of the bands and signature widths, many of them nearly alike."""
+    rnd = random.Random(11)
+    texts = []
+    for n in (60, 99, 101, 110, 300, 390, 401, 405, 430, 800, 1300, 3000):
+        base = [f"u{n}_{i}" for i in range(n + 4)]
+        texts.append(base)
+        for share in (0.02, 0.05, 0.1, 0.2):
+            new = base[: int(len(base) * (1 - share * rnd.random()))]
+            for _ in range(max(1, int(share * n / 10))):
+                new[rnd.randrange(len(new))] = f"x{rnd.randrange(10**6)}"
+            texts.append(new)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, t string").repartition(3)
+    sets = [word_sets(" ".join(t), 5) for t in texts]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j])}
+    assert len(want) > 20 and {tuple(r) for r in NearDuplicates(df, "id", "t").pairs().collect()} == want
+
+
+@pytest.mark.parametrize("t", [0.5, 0.7, 0.8, 0.95])
+def test_bands(t):
+    bands = neardup.Bands(t)
+    n = np.arange(1, 5000)
+    band = bands.of(n)
+    assert (bands.low[band] <= n).all() and (n < bands.low[band + 1]).all()
+    for a in range(1, 700, 7):
+        for b in range(a, int(a / t + 1e-9) + 1):  # similar sizes lie in one band or two neighbours, the larger then meets the band below
+            x, y = band[a - 1], band[b - 1]
+            assert x == y or (y == x + 1 and bands.meets_below(np.array([b]), np.array([y]))[0])
+
+
 def test_near_duplicates_class_links(spark):
     texts = fixture(random.Random(8))
     found = NearDuplicates(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t", k=3, t=0.7)
