@@ -252,7 +252,8 @@ def _tables(b: Block) -> None:
         clear = clear and bool(b.reads and b.writes)
         b.flows = [(r, w) for r in b.reads for w in b.writes]
     elif b.kind != "libname":
-        b.reads, b.writes = _option(head, "data"), _option(head, "out")
+        # no rule for this step: what its options name is listed, an OUTPUT statement's table among it
+        b.reads, b.writes = _option(head, "data"), [w for s in b.statements for w in _option(s, "out")]
         b.flows = [(r, w) for r in b.reads for w in b.writes]
         b.status = "NOT_MATCHED"
     if not clear and b.status == "PARSED":
@@ -280,8 +281,17 @@ def remarks(text: str) -> list[tuple[int, str]]:
     return out
 
 
+def _data_only(text: str) -> str:
+    """Lines of data without the remarks that stand between them."""
+    out, at = [], 0
+    while (start := text.find("/*", at)) >= 0 and (end := text.find("*/", start + 2)) >= 0:
+        out.append(text[at:start])
+        at = end + 2
+    return " ".join([*out, text[at:]])
+
+
 def bare(text: str) -> str:
-    """The program without its remarks, white space squeezed; strings stay as they are, whatever they hold."""
+    """The program without its remarks, white space squeezed; strings stay as they are, whatever they hold. Remarks among data lines go too."""
     out, first, i = [], True, 0
     toks = tokenize(text, "sas")
     while i < len(toks):
@@ -290,6 +300,9 @@ def bare(text: str) -> str:
             out.append(" ")
         elif first and t.text == "*":
             i = next((j for j in range(i, len(toks)) if toks[j].text == ";"), len(toks))
+        elif t.kind == "datalines":
+            out.append(_data_only(t.text))
+            first = t.text.rstrip().endswith(";")  # no data at all
         else:
             out.append(t.text)
             first = t.text == ";"

@@ -38,19 +38,27 @@ def roles(edges: DataFrame, seeds: DataFrame, up: int, down: int) -> DataFrame:
 
 
 def closure(edges: DataFrame, within: int | None = None) -> DataFrame:
-    """All (src, dst) with a path from src to dst, and its least length; semi-naive rounds over the new pairs only."""
+    """All (src, dst) with a path from src to dst, and its least length ``hops``; as many rows as there are such pairs.
+
+    Paths are doubled: ``leap`` holds the pairs joined by a path of exactly 2^k edges, ``known`` those of up to 2^k. A round adds every
+    known pair that goes on by a leap, so the rounds grow with the logarithm of the longest path.
+    """
     scratch = Scratch(edges.sparkSession, "closure")
-    step = scratch.write(edges.select("src", "dst").dropna().distinct(), "step")
-    new = known = step.withColumn("hops", F.lit(1))
-    n = 1
-    while within is None or n < within:
-        n += 1
-        longer = new.alias("p").join(step.alias("q"), F.col("p.dst") == F.col("q.src")).select(F.col("p.src").alias("src"), F.col("q.dst").alias("dst")).distinct()
-        new, found = scratch.counted(longer.join(known, ["src", "dst"], "left_anti").withColumn("hops", F.lit(n)), F.lit(True), "new")
-        if not found:
+    leap = scratch.write(edges.select("src", "dst").dropna().distinct(), "leap")
+    known, n = leap.withColumn("hops", F.lit(1)), None
+    length = 1
+    while within is None or length < within:
+        on = known.alias("p").join(leap.alias("q"), F.col("p.dst") == F.col("q.src")).select(F.col("p.src").alias("src"), F.col("q.dst").alias("dst"), (F.col("p.hops") + length).alias("hops"))
+        more, count = scratch.counted(known.union(leap.withColumn("hops", F.lit(length))).union(on).groupBy("src", "dst").agg(F.min("hops").alias("hops")), F.lit(True), "known")
+        if count == n:
             break
-        known = known.union(new)
-    return known
+        leap, known, n, length = scratch.write(_leaps(leap), "leap"), more, count, 2 * length
+    return known if within is None else known.filter(F.col("hops") <= within)
+
+
+def _leaps(leap: DataFrame) -> DataFrame:
+    """Pairs joined by two leaps."""
+    return leap.alias("p").join(leap.alias("q"), F.col("p.dst") == F.col("q.src")).select(F.col("p.src").alias("src"), F.col("q.dst").alias("dst")).distinct()
 
 
 def _one_parent(e: DataFrame) -> bool:
@@ -194,16 +202,17 @@ def reasons(order: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def radius(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """How many nodes each seed's data reaches, itself left out: node, n_downstream. Semi-naive rounds over (seed, node) pairs."""
+    """How many nodes each seed's data reaches, itself left out: node, n_downstream. (seed, node) pairs grow by leaps, as in ``closure``."""
     scratch = Scratch(edges.sparkSession, "radius")
-    step = edges.select("src", "dst").dropna().distinct()
     start = seeds.select("node").filter("node is not null").distinct()
-    seen, n = scratch.counted(start.join(step, F.col("node") == F.col("src")).select("node", F.col("dst").alias("at")).distinct(), F.lit(True), "seen")
-    front = seen
-    while n:
-        more = front.join(step, F.col("at") == F.col("src")).select("node", F.col("dst").alias("at")).distinct().join(seen, ["node", "at"], "left_anti")
-        front, n = scratch.counted(more, F.lit(True), "front")
-        seen = seen.union(front)
+    leap = scratch.write(edges.select("src", "dst").dropna().distinct(), "leap")
+    seen, n = start.withColumn("at", F.col("node")), None
+    while True:
+        on = seen.join(leap, F.col("at") == F.col("src")).select("node", F.col("dst").alias("at"))
+        more, count = scratch.counted(seen.union(on).distinct(), F.lit(True), "seen")
+        if count == n:
+            break
+        leap, seen, n = scratch.write(_leaps(leap), "leap"), more, count
     counts = seen.filter("node != at").groupBy("node").agg(F.count("*").alias("n"))
     return start.join(counts, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n_downstream"))
 

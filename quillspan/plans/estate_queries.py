@@ -250,14 +250,14 @@ def grf_pivot_by_macro(spark, d):
     return reports.pivot_by_macro(defs, calls)
 
 
-@query(f"with {_BYTABLE} select 'by_table' pivot, t as name, coalesce(rd.c, 0) + coalesce(wr.c, 0) n from al left join rd using (t) left join wr using (t) union all select 'by_file', fileid, count(*) from (select distinct {f('fileid')} fileid, {n('block_id')} b from blocks) group by 2")
+@query(f"with {_BYTABLE} select 'by_table' which, t as name, coalesce(rd.c, 0) + coalesce(wr.c, 0) n from al left join rd using (t) left join wr using (t) union all select 'by_file', fileid, count(*) from (select distinct {f('fileid')} fileid, {n('block_id')} b from blocks) group by 2")
 def snk_pivot_files(spark, d):
     """Pivots written as parquet, one folder each, and read back."""
     s = Scratch(spark, "pivots")
     s.write(store.pivot_by_table(provided(spark, d)), "by_table")
     blocks = table(spark, d, "blocks").select(file_of("fileid").alias("fileid"), name_of("block_id").alias("block_id")).distinct()
     s.write(store.pivot_by_file(blocks.select("fileid").distinct(), blocks, provided(spark, d)), "by_file")
-    t = spark.read.parquet(f"{s.root}/001-by_table").select(F.lit("by_table").alias("pivot"), F.col("table_name").alias("name"), (F.col("n_reading") + F.col("n_writing")).alias("n"))
+    t = spark.read.parquet(f"{s.root}/001-by_table").select(F.lit("by_table").alias("which"), F.col("table_name").alias("name"), (F.col("n_reading") + F.col("n_writing")).alias("n"))
     return t.union(spark.read.parquet(f"{s.root}/002-by_file").select(F.lit("by_file"), "fileid", "n_blocks"))
 
 
@@ -271,13 +271,13 @@ def programs(spark: SparkSession, d: str) -> DataFrame:
 
 def _mapped(df: DataFrame, fields: str, types: list, rows) -> DataFrame:
     """(key, text) rows through a function of one text that gives rows, in Arrow batches."""
-    names = [x.strip().split(" ")[0] for x in fields.split(",")]
+    names = [df.columns[0], *[x.strip().split(" ")[0] for x in fields.split(",")]]
 
     def run(batches):
         for b in batches:
             out = [(k, *r) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in rows(t or "")]
             cols = list(zip(*out)) if out else [()] * (len(types) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b.column(0).type, *types])], [df.columns[0], *names])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b.column(0).type, *types])], names)
 
     return df.mapInArrow(run, f"{df.columns[0]} {df.schema[0].dataType.simpleString()}, {fields}")
 

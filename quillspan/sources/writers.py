@@ -141,7 +141,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def numbered(log: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     """New events with the numbers that follow the greatest ever given, in a total order; a batch of any size is ranked in parallel."""
     last = log.agg(F.coalesce(F.max("seq"), F.lit(0).cast("long"))).scalar()
-    return global_rank(new, order, "__at").withColumn("seq", last + F.col("__at")).drop("__at")
+    return global_rank(new, order, "__number").withColumn("seq", last + F.col("__number")).drop("__number")
 
 
 def with_overflow(df: DataFrame, order: list[str], most: int, note: str = "more rows were left out") -> DataFrame:

@@ -9,8 +9,9 @@ import pytest
 
 from quillspan.lang.facts import facts
 from quillspan.lang.parser import parse_expr
-from quillspan.operators import graph, store, verify
-from quillspan.operators.ranking import global_rank, latest_before
+from quillspan.operators import graph, lineage, store, verify
+from quillspan.operators.ranking import global_rank, latest_before, running_sum
+from quillspan.operators.registry import SCHEMA, Conflict, MacroRegistry
 from quillspan.sources import readers, writers
 from quillspan.streaming import eventlog
 from pyspark.sql import functions as F
@@ -114,11 +115,18 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.write_canonical(df, str(tmp_path / "c"), {"d": "mmddyy10"})
     back, formats = readers.schema_csv(spark, str(tmp_path / "c"), '[{"name": "name", "type": "char"}, {"name": "n", "type": "num"}, {"name": "d", "type": "date", "format": "mmddyy10"}]')
     assert formats == {"d": "mmddyy10"} and sorted(map(str, back.select("name", "d").collect())) == sorted(map(str, df.select("name", "d").collect()))
-    text = writers.listing_text(df, "work.x")
+    text = writers.listing_text(df, "work.x", ["d"])
+    assert writers.listing_text(df, "work.x", ["d"], most=2).endswith("more rows were left out\n") and writers.listing_text(df, "work.x", ["d"], most=3) == text
+    assert len(writers.listing_text(df.limit(0), "work.x", ["d"]).splitlines()) == 2
     lines = spark.createDataFrame(list(enumerate(text.splitlines())), "i int, line string")
-    assert [(r.title, r.obs, r["values"][0]) for r in readers.listing(lines, "i", "line").orderBy("obs").collect()] == [("work.x", 1, "a"), ("work.x", 2, "."), ("work.x", 3, "c")]
-    table = pa.ipc.open_stream(io.BytesIO(writers.arrow_stream(spark.createDataFrame([("same",)] * 500, "s string")))).read_all()
-    assert table.num_rows == 500 and pa.types.is_dictionary(table.schema[0].type)
+    assert [(r.title, r.obs, r["values"][0]) for r in readers.listing(lines, "i", "line").orderBy("obs").collect()] == [("work.x", 1, "."), ("work.x", 2, "c"), ("work.x", 3, "a")]
+    same, sink = spark.createDataFrame([("same",)] * 500, "s string"), io.BytesIO()
+    assert writers.arrow_stream(same, sink) == 500 and pa.ipc.open_stream(io.BytesIO(sink.getvalue())).read_all().num_rows == 500
+    blob = writers.arrow_parts(same).first().blob
+    assert pa.types.is_dictionary(pa.ipc.open_stream(bytes(blob)).schema[0].type)
+    assert writers.from_arrow_parts(writers.arrow_parts(same), "s string").distinct().count() == 1
+    empty = io.BytesIO()
+    assert writers.arrow_stream(same.limit(0), empty) == 0 and pa.ipc.open_stream(io.BytesIO(empty.getvalue())).read_all().num_rows == 0
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "part-0.csv").write_text("a,b\n1,2\n")
     (tmp_path / "p" / "_SUCCESS").write_text("")
@@ -202,3 +210,83 @@ def test_delimited_and_single_block(spark):
     cat.put("a", spark.createDataFrame([(1,), (5,)], "x int"), ["x"])
     run_sas(cat, "data work.a; set work.none; run; data work.b; set work.a; if x > 2; run;", block=1)
     assert [r.x for r in cat.get("b").collect()] == [5] and not cat.messages
+
+
+def test_listing_of_several_tables(spark):
+    text = ["no title yet", "1 lost", "Table: a.x", "Obs v", "1 p", "", "2 q", "Table: b.y", "Obs v", "1 r"] + ["filler"] * 9000 + ["2 s"]
+    got = readers.listing(spark.createDataFrame(list(enumerate(text)), "i int, line string").repartition(3), "i", "line").collect()
+    assert sorted((r.title, r.obs, r["values"][0]) for r in got) == [("a.x", 1, "p"), ("a.x", 2, "q"), ("b.y", 1, "r"), ("b.y", 2, "s")]
+
+
+def test_running_sum(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["hot", "hot", "a", None]), rnd.randrange(-9000, 30000), rnd.choice([1, 0, None, 3])) for _ in range(2000)]
+    got = running_sum(spark.createDataFrame(rows, "k string, o int, v int"), ["k"], "o", "v", "s").collect()
+    assert len(got) == len(rows)
+    for r in rnd.sample(got, 60):
+        assert r.s == sum(v or 0 for k, o, v in rows if k == r.k and o <= r.o)
+
+
+def test_block_law(spark):
+    rows = [("f", 1, 1, 3), ("f", 2, 5, 6), ("f", 3, 12, 13), ("f", 4, 14, 14), ("f", 5, 16, 40), ("f", 6, 41, 41), (None, 1, 1, 2), ("g", 1, 10, 10), ("g", 2, 30, 31)]
+    got = {(r.fileid, r.n): r.run for r in lineage.block_law(spark.createDataFrame(rows, "fileid string, n int, l0 int, l1 int")).collect()}
+    assert got == {("f", 1): 0, ("f", 2): 0, ("f", 3): 0, ("f", 4): 1, ("f", 5): 2, ("f", 6): 3, (None, 1): 0, ("g", 1): 0, ("g", 2): 1}
+
+
+def test_registry_refuses_the_slower_writer(spark, tmp_path):
+    r = MacroRegistry(spark, str(tmp_path / "reg"))
+    row = lambda f, h, m: spark.createDataFrame([(f, h, m, ["a"], f"body {h}")], SCHEMA)
+    assert r.version() == 0 and r.read().count() == 0
+    seen = r.version()
+    assert r.write(row("f.sas", "1", "M"), seen) == 1
+    with pytest.raises(Conflict):
+        r.write(row("g.sas", "1", "n"), seen)
+    assert r.write(row("f.sas", "1", "other"), 1) == 1  # a known hash changes nothing
+    assert r.write(row("f.sas", "2", "M"), 1) == 2 and r.macros() == {"m": (["a"], "body 2")}
+    (tmp_path / "reg" / "claim3").write_text("")
+    with pytest.raises(Conflict):
+        r.write(row("g.sas", "1", "n"), 2)
+
+
+def test_prune_checkpoints():
+    day = 86400.0
+    assert store.prune([(1, 0.0), (2, 10 * day), (3, 40 * day)], 50 * day) == [1, 2] and store.prune([(1, 0.0)], 99 * day) == [] and store.prune([], 0.0) == []
+
+
+def test_order_of_loops(spark):
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("s", "s"), ("s", "t"), ("x", "y")]
+    for extra in ([], [("x", "b"), ("y", "e")]):  # with and without nodes of several sources
+        e = spark.createDataFrame([*links, *extra, links[0]], "src string, dst string")
+        got = {r.node: (r.component, r.in_loop, r.level) for r in graph.run_order(e).collect()}
+        up = 1 if extra else 0
+        assert got["a"] == ("a", True, up) and got["b"][0] == got["c"][0] == "a" and got["d"] == ("d", False, up + 1) and got["e"][2] == up + 2
+        assert got["s"] == ("s", True, 0) and got["t"][2] == 1 and got["x"][2] == 0 and got["y"][2] == 1
+        said = {r.component: (r.members, r.src, r.dst) for r in graph.break_suggestions(graph.run_order(e), e).collect()}
+        assert said == {"a": (3, "c", "a"), "s": (1, "s", "s")}
+
+
+def test_closure_by_leaps(spark):
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(70)] + [("l0", "l1"), ("l1", "l2"), ("l2", "l0"), ("n005", "l0")]
+    e = spark.createDataFrame(chain, "src string, dst string")
+    got = {(r.src, r.dst): r.hops for r in graph.closure(e).collect()}
+    assert got["n000", "n070"] == 70 and got["l0", "l0"] == 3 and got["n004", "l2"] == 4 and len(got) == 71 * 70 // 2 + 9 + 6 * 3
+    assert {k for k, h in got.items() if h <= 5} == {(r.src, r.dst) for r in graph.closure(e, 5).collect()}
+    reached = {r.node: r.n_downstream for r in graph.radius(e, spark.createDataFrame([("n000",), ("l1",), ("gone",), (None,)], "node string")).collect()}
+    assert reached == {"n000": 73, "l1": 2, "gone": 0}
+
+
+def test_folder_links(spark):
+    files = spark.createDataFrame([("d", "full.sas", "sas"), ("d", "q1.sas", "sas"), ("d", "part.sas", "sas"), ("d", "other.sas", "sas"), ("d", "part_x.py", "py"), ("d", "zzz.py", "py"), ("e", "q1.sas", "sas")], "folder string, name string, kind string")
+    rules = spark.createDataFrame([("d", n, s, t) for n in ("full.sas", "q1.sas") for s, t in (("a", "b"), ("b", "c"))] + [("d", "part.sas", "a", "b"), ("d", "other.sas", "c", "z"), ("e", "q1.sas", "c", "k")], "folder string, name string, src string, dst string")
+    got = {(r.from_name, r.to_name, r.kind) for r in lineage.folder_links(files, rules).collect()}
+    assert got == {("full.sas", "other.sas", "flow"), ("q1.sas", "other.sas", "flow"), ("full.sas", "q1.sas", "same"), ("full.sas", "part.sas", "subset"), ("part.sas", "part_x.py", "derived")}
+
+
+def test_partitioned_folders_are_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "FOLDER_ROWS", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('f', id % 5)) as folder_path")
+    writers.write_partitioned(df, str(tmp_path / "p"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "p" / "folder_path=hot").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 1000
