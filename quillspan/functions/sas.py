@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,8 +50,8 @@ def read_date(c: Column, informat: str) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _digits(x: pd.Series) -> pd.Series:
-    # no built-in prints 12 significant digits without trailing zeros
-    return x.map(lambda v: None if v != v else str(int(v)) if v == int(v) and abs(v) < 1e15 else f"{v:.12g}")
+    # no built-in rounds the exact binary value to 12 significant digits; the JVM's formats round its shortest decimal once more
+    return x.map(lambda v: None if v != v else f"{v + 0.0:.0f}" if abs(v) < 1e15 and v == math.floor(v) else f"{v:.12g}")
 
 
 def show_number(c: Column) -> Column:

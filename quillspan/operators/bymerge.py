@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quillspan.catalog import SEQ
 
 
+#: Places of a key that are laid out at once.
+PLACES = 65_536
+
+
 def by_merge(sources: list[tuple[DataFrame, str | None]], by: list[str], last_wins: bool = False) -> DataFrame:
     """Merges (table, flag name) sources on ``by``; each table has the hidden order column.
 
@@ -28,7 +32,10 @@ def by_merge(sources: list[tuple[DataFrame, str | None]], by: list[str], last_wi
     sizes = [f"__n{k}" for k in range(len(sources))]
     spine = spine.groupBy(*by).agg(*[F.max(n).alias(n) for n in sizes])
     most = F.greatest(*sizes) if len(sizes) > 1 else F.col(sizes[0])
-    out = spine.withColumn("__at", F.explode(F.sequence(F.lit(1).cast("long"), most)))
+    # places are laid out in blocks, so no array grows with a key's rows
+    out = spine.withColumn("__most", most).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__most") - 1) / PLACES))))
+    first, last = F.col("__block") * PLACES + 1, F.least(F.col("__block") * PLACES + PLACES, F.col("__most"))
+    out = out.withColumn("__at", F.explode(F.sequence(first, last))).drop("__most", "__block")
     have: dict[str, list[str]] = {}
     for k, side in enumerate(sides):
         s = side.select(*[F.col(c).alias(f"__s{k}_{c}") for c in side.columns])

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from quillspan.catalog import Catalog
 from quillspan.lang import ast as A
+from quillspan.lang.exchange import from_json, to_json
 from quillspan.lang.lex import tokenize
 from quillspan.lang.parser import LanguageError, parse_expr, parse_select
 from quillspan.lang.programs import parse_hive, parse_pig, parse_sas
@@ -39,6 +40,20 @@ def test_print_then_parse_is_identity(e):
     assert parse_expr(A.show(e)) == e
 
 
+@given(_cond)
+@settings(max_examples=100, deadline=None)
+def test_trees_as_json(e):
+    assert from_json(to_json(e)) == e
+
+
+def test_trees_of_queries_as_json():
+    q = parse_select("with a as (select x from t) select count(*) as n from a join b on a.x = b.x where exists (select y from u) order by n desc limit 3")
+    assert from_json(to_json(q)) == q
+    for bad in ('{"node": "Nope"}', '{"node": "Col", "name": "a", "more": 1}', '{"name": "a"}'):
+        with pytest.raises(ValueError):
+            from_json(bad)
+
+
 def test_select_round_trip():
     for q in ["select distinct a.x as y, count(*) as n from t a left join (select k from u where k > 1) v on a.k = v.k cross join w where a.x in (1, 2) and not a.y between 1 and 2 group by a.x having count(*) > 2 union all select * from z order by y desc, n limit 3 offset 1",
               "select case x when 1 then 'a' end as c, (select max(q) from s) as m from t"]:
