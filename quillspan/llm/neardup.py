@@ -37,7 +37,8 @@ LOAD_SLOTS = 1 << 20
 CHUNK, BLOCK = 8192, 1 << 20
 #: A band is so many steps of 1 / t wide; one in so many rows then also meets the band below.
 BAND_STEPS = 4
-#: Largest sets whose bitmaps are carried in tile rows, by bits; larger sets have one signature of two bits or more per run, by class.
+#: Bits of the bitmaps carried in tile rows, and the largest sets of a band that has them; from larger bands on a class has one signature
+#: of two bits or more per run.
 NARROW, WIDE = (128, 100), (256, 400)
 
 
@@ -62,6 +63,11 @@ class Bands:
         """Whether sets of size n can be alike with one of the band below."""
         return (band > 0) & (np.ceil(self.t * n - 1e-9) < self.low[band])
 
+    @property
+    def signed(self) -> int:
+        """The least size in a band whose tiles carry no bitmaps: sets from it on have a signature."""
+        return int(self.low[int(np.argmin(self.bits(np.arange(len(self.low) - 1))))])
+
     def bits(self, band: np.ndarray) -> np.ndarray:
         """Bits of the bitmaps in a band's tiles, 0 where none are carried."""
         top = self.low[band + 1] - 1
@@ -95,9 +101,11 @@ def signature(run: np.ndarray) -> bytes:
     return _bitmaps(run, np.zeros(len(run), np.int64), 1, words).tobytes()
 
 
-def _sets(texts: DataFrame, k: int) -> DataFrame:
+def _sets(texts: DataFrame, k: int, t: float) -> DataFrame:
     """key, c0, c1, n, runs (the sorted set), sig (of large sets). Sets are given once per class and task, and not for texts without runs."""
 
+    signed = Bands(t).signed
+
     def emit(batches):
         seen: set = set()
         for b in batches:
@@ -110,7 +118,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
                     seen.add(c)
                     mine = run[first[i] : first[i] + count[i]]
                     runs[i] = mine.tobytes()
-                    if count[i] > WIDE[1]:
+                    if count[i] >= signed:
                         sigs[i] = signature(mine)
             yield pa.record_batch({"key": b.column("key"), "c0": c0, "c1": c1, "n": count.astype(np.int32), "runs": pa.array(runs, pa.binary()), "sig": pa.array(sigs, pa.binary())})
 
@@ -298,6 +306,13 @@ def _candidates(rows: DataFrame, t: float) -> DataFrame:
     return pairs.filter(F.col("shared") >= need - (F.ceil(t * F.greatest("na", "nz") - 1e-9) - 1)).drop("shared")
 
 
+def _held(sets: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """c0, c1 and a column of each class that is in a pair, once."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a0").alias("c0"), F.col("a1").alias("c1")), F.struct(F.col("z0").alias("c0"), F.col("z1").alias("c1")))).alias("c"))
+    mine = sets.filter(F.col(column).isNotNull()).select("c0", "c1", column).join(ends.select("c.c0", "c.c1").distinct(), ["c0", "c1"], "left_semi")
+    return mine.groupBy("c0", "c1").agg(F.first(column).alias(column))
+
+
 def _both(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
     """Pairs with a column of both classes beside them, as x and y."""
     a = held.select(F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col(column).alias("x"))
@@ -357,21 +372,19 @@ class NearDuplicates:
         spark = rows.sparkSession
         self.scratch = scratch = Scratch(spark, "neardup")
         texts = spread(rows.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).filter("key is not null"), "key")
-        read = scratch.write(_sets(texts, k), "sets")
+        read = scratch.write(_sets(texts, k, t), "sets")
         self.members = scratch.write(read.select("key", "c0", "c1", "n").distinct(), "members")
         sets = read.filter("runs is not null")
         load = spark.sparkContext.broadcast(_load_table(sets))
         large = scratch.write(_large_tiles(sets, t, load), "large")
         candidates = scratch.write(_candidates(_chunked(_tile_rows(sets, t, load), large), t), "candidates")
-        wanted = candidates.select(F.explode(F.array(F.struct(F.col("a0").alias("c0"), F.col("a1").alias("c1")), F.struct(F.col("z0").alias("c0"), F.col("z1").alias("c1")))).alias("c"))
-        wanted = scratch.write(wanted.select("c.c0", "c.c1").distinct(), "wanted")
-        held = sets.join(wanted, ["c0", "c1"], "left_semi").groupBy("c0", "c1").agg(F.first("runs").alias("runs"), F.first("sig").alias("sig"))
-        held = scratch.write(held, "held")
-        # pairs of two large classes meet by their signatures first; the bitmaps of the others were compared in the tiles
-        both_large = (F.col("na") > WIDE[1]) & (F.col("nz") > WIDE[1])
-        near = candidates.filter(~both_large).unionAll(_near(_both(candidates.filter(both_large), held.filter("sig is not null"), "sig"), t))
+        # pairs of the larger bands meet by their signatures; the bitmaps of the others were compared in the tiles
+        signed = F.least("na", "nz") >= Bands(t).signed
+        far = candidates.filter(signed)
+        near = candidates.filter(~signed).unionAll(_near(_both(far, _held(sets, far, "sig"), "sig"), t))
+        near = scratch.write(near, "near")
         #: Links between different classes: a0, a1, z0, z1, similarity.
-        self.links = scratch.write(_exact(_both(near, held, "runs"), t), "links")
+        self.links = scratch.write(_exact(_both(near, scratch.write(_held(sets, near, "runs"), "held"), "runs"), t), "links")
 
     def classes(self) -> DataFrame:
         """key, class_key (the least key with the same set), n_copies (others in the class), n_links (links of the class to others)."""
