@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.shingles import class_ids, mix, shingle_sets
+from quillspan.llm.shingles import class_ids, mix, pack_runs, shingle_sets, unpack_runs
 from quillspan.session import Scratch, spread
 
 #: Slots of the load table, a byte each.
@@ -117,7 +117,7 @@ def _sets(texts: DataFrame, k: int, t: float) -> DataFrame:
                 if count[i] and c not in seen:
                     seen.add(c)
                     mine = run[first[i] : first[i] + count[i]]
-                    runs[i] = mine.tobytes()
+                    runs[i] = pack_runs(mine)
                     if count[i] >= signed:
                         sigs[i] = signature(mine)
             yield pa.record_batch({"key": b.column("key"), "c0": c0, "c1": c1, "n": count.astype(np.int32), "runs": pa.array(runs, pa.binary()), "sig": pa.array(sigs, pa.binary())})
@@ -129,8 +129,7 @@ def _sets(texts: DataFrame, k: int, t: float) -> DataFrame:
 def _unpack(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All runs of a batch of sets, the set of each, and the sizes."""
     n = b.column("n").to_numpy().astype(np.int64)
-    run = np.concatenate([np.frombuffer(x, np.uint64) for x in b.column("runs").to_pylist()]) if len(n) else np.empty(0, np.uint64)
-    return run, np.repeat(np.arange(len(n)), n), n
+    return unpack_runs(b.column("runs").to_pylist()), np.repeat(np.arange(len(n)), n), n
 
 
 def _load_table(sets: DataFrame) -> np.ndarray:
@@ -306,10 +305,11 @@ def _candidates(rows: DataFrame, t: float) -> DataFrame:
     return pairs.filter(F.col("shared") >= need - (F.ceil(t * F.greatest("na", "nz") - 1e-9) - 1)).drop("shared")
 
 
-def _held(sets: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
-    """c0, c1 and a column of each class that is in a pair, once."""
+def _held(scratch: Scratch, sets: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """c0, c1 and a column of each class that is in a pair, once. The classes are written, so that their size is known to the join."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a0").alias("c0"), F.col("a1").alias("c1")), F.struct(F.col("z0").alias("c0"), F.col("z1").alias("c1")))).alias("c"))
-    mine = sets.filter(F.col(column).isNotNull()).select("c0", "c1", column).join(ends.select("c.c0", "c.c1").distinct(), ["c0", "c1"], "left_semi")
+    wanted = scratch.write(ends.select("c.c0", "c.c1").distinct(), "wanted")
+    mine = sets.filter(F.col(column).isNotNull()).select("c0", "c1", column).join(wanted, ["c0", "c1"], "left_semi")
     return mine.groupBy("c0", "c1").agg(F.first(column).alias(column))
 
 
@@ -347,7 +347,7 @@ def _exact(pairs: DataFrame, t: float) -> DataFrame:
         for b in batches:
             sim = np.empty(b.num_rows)
             for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = unpack_runs(x), unpack_runs(y)
                 at = y.searchsorted(x)
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 sim[i] = both / (len(x) + len(y) - both)
@@ -381,10 +381,10 @@ class NearDuplicates:
         # pairs of the larger bands meet by their signatures; the bitmaps of the others were compared in the tiles
         signed = F.least("na", "nz") >= Bands(t).signed
         far = candidates.filter(signed)
-        near = candidates.filter(~signed).unionAll(_near(_both(far, _held(sets, far, "sig"), "sig"), t))
+        near = candidates.filter(~signed).unionAll(_near(_both(far, _held(scratch, sets, far, "sig"), "sig"), t))
         near = scratch.write(near, "near")
         #: Links between different classes: a0, a1, z0, z1, similarity.
-        self.links = scratch.write(_exact(_both(near, scratch.write(_held(sets, near, "runs"), "held"), "runs"), t), "links")
+        self.links = scratch.write(_exact(_both(near, scratch.write(_held(scratch, sets, near, "runs"), "held"), "runs"), t), "links")
 
     def classes(self) -> DataFrame:
         """key, class_key (the least key with the same set), n_copies (others in the class), n_links (links of the class to others)."""

@@ -60,6 +60,23 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix(words + length.astype(np.uint64)), np.searchsorted(off, start, "right") - 1
 
 
+#: Bytes that a run's hash is kept in. Two sets of n runs are mistaken in one of them with a chance of n * n / 2 ** 56.
+RUN_BYTES = 7
+_KEPT = np.uint64((1 << 64) - (1 << (64 - 8 * RUN_BYTES)))
+
+
+def pack_runs(run: np.ndarray) -> bytes:
+    """Hashes of runs without the bytes that are always zero."""
+    return run.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - RUN_BYTES :].tobytes()
+
+
+def unpack_runs(packed: bytes | list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(packed if isinstance(packed, bytes) else b"".join(packed), np.uint8).reshape(-1, RUN_BYTES)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 8 - RUN_BYTES :] = raw
+    return out.view("<u8").reshape(-1).astype(np.uint64, copy=False)
+
+
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct runs of k words of each text: (hashes sorted within each text, the text of each, how many each text has)."""
     words, text = word_hashes(texts)
@@ -70,7 +87,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     for i in range(k):
         run = mix(run * _MIX[0] + words[i : i + n] + _MIX[1])
     same = text[:n] == text[k - 1 :]
-    run, text = run[same], text[:n][same]
+    run, text = run[same] & _KEPT, text[:n][same]
     order = np.lexsort((run, text))
     run, text = run[order], text[order]
     new = np.ones(len(run), bool)

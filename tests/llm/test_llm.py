@@ -14,7 +14,7 @@ from quillspan.llm.mixing import Mix, cheapest_flow, largest_total, settle
 from quillspan.llm.neardup import NearDuplicates
 from quillspan.llm.packing import pack, plan
 from quillspan.llm.running import running_total
-from quillspan.llm.shingles import shingle_sets
+from quillspan.llm.shingles import RUN_BYTES, pack_runs, shingle_sets, unpack_runs
 from quillspan.llm.termfreq import marked_terms, term_counts
 from quillspan.llm.tokens import tokens
 from quillspan.session import Scratch
@@ -35,6 +35,12 @@ def test_shingle_sets():
             assert len(np.intersect1d(run[doc == i], run[doc == j])) == len(word_sets(texts[i], 3) & word_sets(texts[j], 3))
 
 
+def test_packed_runs():
+    run, _, _ = shingle_sets(pa.array(["a b c d e f g h"]), 3)
+    assert (unpack_runs(pack_runs(run)) == run).all() and len(pack_runs(run)) == RUN_BYTES * len(run)
+    assert (unpack_runs([pack_runs(run[:2]), b"", pack_runs(run[2:])]) == run).all() and len(unpack_runs([])) == len(unpack_runs(b"")) == 0
+
+
 def fixture(rnd):
     words = [f"w{i}" for i in range(300)]
     texts = []
