@@ -64,6 +64,8 @@ class Pig:
     def __init__(self, catalog: Catalog):
         catalog.default = ""
         self.catalog, self.rels, self.grouped, self.registered, self.stores = catalog, {}, {}, [], []
+        #: COGROUP statements by target, for a FOREACH that only aggregates their bags.
+        self.cogrouped: dict[str, Statement] = {}
         #: Names by which a relation's fields can be qualified: its own, or those of a join's sides.
         self.names: dict[str, set] = {}
 
@@ -121,6 +123,8 @@ class Pig:
     def _foreach(self, s: Statement):
         rel, projs = s.args["rel"], s.args["projs"]
         names = [p.alias or (p.expr.name if isinstance(p.expr, A.Col) else f"_auto{i + 1}") for i, p in enumerate(projs)]
+        if rel in self.cogrouped and (counted := self._of_bags(self.cogrouped[rel], [p.expr for p in projs], names)) is not None:
+            return counted
         if rel not in self.grouped:
             df = self.rel(rel)
             low = self.low(rel, rowwise=True)
@@ -152,22 +156,60 @@ class Pig:
         return df
 
     def _cogroup(self, s: Statement):
-        sides = []
-        for i, (name, keys, inner) in enumerate(s.args["sides"]):
-            df = self.rel(name)
+        """Whole bags, for what needs them; a FOREACH that only aggregates them never builds them (``_of_bags``)."""
+        self.cogrouped[s.target] = s
+        sides = [F.collect_list(F.struct(*self.rel(name).columns)).alias(name) for name, _, _ in s.args["sides"]]
+        out = self._met(s, [[bag] for bag in sides], [F.col(name) for name, _, _ in s.args["sides"]])
+        bags = [F.coalesce(n, F.array().cast(out.schema[n].dataType)).alias(n) for n, _, _ in s.args["sides"]]
+        return out.select(self._group_key(s), *bags)
+
+    def _group_key(self, s: Statement) -> Column:
+        n = len(s.args["sides"][0][1])
+        return (F.col("_k0") if n == 1 else F.struct(*[F.col(f"_k{j}") for j in range(n)])).alias("group")
+
+    def _met(self, s: Statement, wanted: list[list[Column]], there: list[Column]) -> DataFrame:
+        """The sides of a COGROUP, each aggregated by its keys, met on them: _k0, _k1, ... and the aggregates. ``there`` tells that a side has rows."""
+        ks = [f"_k{j}" for j in range(len(s.args["sides"][0][1]))]
+        out = None
+        for (name, keys, _), aggs in zip(s.args["sides"], wanted):
             low = self.low(name)
-            sides.append(df.groupBy(*[low.value(k).alias(f"_k{j}") for j, k in enumerate(keys)]).agg(F.collect_list(F.struct(*df.columns)).alias(name)))
-        n_keys = len(s.args["sides"][0][1])
-        ks = [f"_k{j}" for j in range(n_keys)]
-        out = sides[0]
-        for d in sides[1:]:
+            d = self.rel(name).groupBy(*[low.value(k).alias(c) for c, k in zip(ks, keys)]).agg(*aggs)
+            if out is None:
+                out = d
+                continue
             d = d.withColumnsRenamed({k: f"r{k}" for k in ks})
             out = out.join(d, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"r{k}") for k in ks]), "full").withColumns({k: F.coalesce(k, f"r{k}") for k in ks}).drop(*[f"r{k}" for k in ks])
-        for name, _, inner in s.args["sides"]:
+        for (_, _, inner), has in zip(s.args["sides"], there):
             if inner:
-                out = out.filter(F.col(name).isNotNull())
-        bags = [F.coalesce(F.col(n), F.array().cast(out.schema[n].dataType)).alias(n) for n, _, _ in s.args["sides"]]
-        return out.select((F.col("_k0") if n_keys == 1 else F.struct(*ks)).alias("group"), *bags)
+                out = out.filter(has.isNotNull())
+        return out
+
+    def _of_bags(self, s: Statement, exprs: list, names: list[str]) -> DataFrame | None:
+        """A FOREACH over a COGROUP whose bags occur only in SIZE, COUNT and other aggregates: combined before the shuffle, no bag is built.
+
+        None where a bag is used as a whole.
+        """
+        sides = [name for name, _, _ in s.args["sides"]]
+        wanted = [[F.count("*").alias(f"_n{i}")] for i in range(len(sides))]
+        known: dict = {}
+        for x in dict.fromkeys(x for e in exprs for x in A.walk(e) if isinstance(x, A.Call) and len(x.args) == 1 and isinstance(x.args[0], A.Col)):
+            c = x.args[0]
+            if c.rel is None and c.name in sides and x.name in ("size", "count"):
+                known[x] = F.coalesce(F.col(f"_n{sides.index(c.name)}"), F.lit(0)).cast("int" if x.name == "size" else "long")
+            elif c.rel in sides and A.is_aggregate(x):
+                i = sides.index(c.rel)
+                column = f"_s{i}_{len(wanted[i])}"
+                wanted[i].append(self.low(c.rel).aggregate(A.Call(x.name, (A.Col(c.name),), x.distinct)).alias(column))
+                known[x] = F.coalesce(column, F.lit(0)) if x.name == "count" else F.col(column)
+        from quillspan.plans.lower import _replace
+
+        bare = [_replace(e, {x: A.Lit(0) for x in known}) for e in exprs]
+        if any(isinstance(y, A.Col) and (y.name in sides or y.rel in sides) for e in bare for y in A.walk(e)):
+            return None
+        met = self._met(s, wanted, [F.col(f"_n{i}") for i in range(len(sides))])
+        known[A.Col("group")] = self._group_key(s)
+        low = Lower("pig", met, known=known, rowwise=True)
+        return met.select(*[low.value(e).alias(n) for e, n in zip(exprs, names)])
 
     def _order(self, s: Statement):
         df = self.rel(s.args["rel"])

@@ -293,3 +293,14 @@ def test_stored_tables(spark, tmp_path):
     cat.folder = None
     p.run("STORE t INTO 'gone';")
     assert "was not written" in cat.messages[-1]
+
+
+def test_cogroup_aggregates_without_bags(spark):
+    cat = Catalog(spark, default="")
+    cat.put("t", spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 5.0)], "x int, y double"))
+    cat.put("u", spark.createDataFrame([(1, "a"), (3, "b"), (3, "c")], "k int, s string"))
+    rels = Pig(cat).run("c = COGROUP t BY x, u BY k; a = FOREACH c GENERATE group AS g, SIZE(t) AS n, COUNT(u) AS m, SUM(t.y) AS total, MAX(u.s) AS top; b = FOREACH c GENERATE group AS g, t, SIZE(u) AS m; d = COGROUP t BY x INNER, u BY k INNER; e = FOREACH d GENERATE group, COUNT(t) AS n;")
+    assert sorted(map(tuple, rels["a"].collect())) == [(1, 2, 1, 5.0, "a"), (2, 1, 0, 5.0, None), (3, 0, 2, None, "c")]
+    assert "collect_list" not in rels["a"]._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.g, len(r.t), r.m) for r in rels["b"].collect()) == [(1, 2, 1), (2, 1, 0), (3, 0, 2)]
+    assert [tuple(r) for r in rels["e"].collect()] == [(1, 2)]
