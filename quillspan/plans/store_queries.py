@@ -372,9 +372,9 @@ def grf_search_top20(spark, d):
     return store.search(m, table(spark, d, "files").select("sasfilename", file_of("fileid").alias("fileid")), "client")
 
 
-@query(f"select * from {_provided()} where (contains(src, 'dwh') or contains(dst, 'dwh')) and level = 'block' order by src nulls first, dst nulls first, table_name nulls first, fileid nulls first, block_id nulls first, level, provenance, freshness limit 50 offset 100")
+@query(f"select * from {_provided()} where (contains(src, 'dwh') or contains(dst, 'dwh')) and level = 'block' order by src nulls first, dst nulls first, table_name nulls first, fileid nulls first, block_id nulls first, level, provenance, freshness limit 50 offset 10")
 def grf_paged_edges(spark, d):
-    return store.paged(provided(spark, d), "dwh", "block", 100, 50)
+    return store.paged(provided(spark, d), "dwh", "block", 10, 50)
 
 
 _SOURCE_WORDS = f"w as (select distinct {n('source')} s, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) x from documents where {n('source')} is not null), g as (select s, count(*) c from w group by 1)"
