@@ -203,8 +203,9 @@ class Mix:
                 yield pa.record_batch([b.column("key"), b.column("s"), b.column("h0"), b.column("h1"), pa.array(n, pa.int64())], ["key", "s", "h0", "h1", "n"])
 
         texts = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).cast("string").alias("__source")).filter("text is not null and text != ''")
-        texts = texts.join(listed, "__source").select("key", "s", F.xxhash64(F.lit(1), "text").alias("h0"), F.xxhash64(F.lit(2), "text").alias("h1"), "text")
-        counted = spread(texts, "key").mapInArrow(count, f"key {kind}, s int, h0 long, h1 long, n long")
+        # spread before the join, whose size the optimizer cannot tell
+        texts = spread(texts, "key").join(listed, "__source").select("key", "s", F.xxhash64(F.lit(1), "text").alias("h0"), F.xxhash64(F.lit(2), "text").alias("h1"), "text")
+        counted = texts.mapInArrow(count, f"key {kind}, s int, h0 long, h1 long, n long")
         units = counted.groupBy("h0", "h1").agg(F.min("key").alias("key"), F.concat_ws(",", F.sort_array(F.collect_set("s"))).alias("pattern"), F.max("n").alias("n")).select("key", "pattern", "n")
         self.units = scratch.write(units.filter("n > 0"), "units")
         totals = self.units.groupBy("pattern").agg(F.sum("n").alias("n"), F.avg("n").alias("mean")).collect()  # a row per pattern that occurs
